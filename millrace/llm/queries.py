@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import near_dup
+from millrace.llm import decontaminate, near_dup
 
 
 def queries() -> dict:
     return {
         "op2_near_dup": near_dup.op2_near_dup,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
         "pipeline": corpus_pipeline.run,
     }
 
