@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import decontaminate, near_dup
+from millrace.llm import decontaminate, near_dup, packing
 
 
 def queries() -> dict:
     return {
         "op2_near_dup": near_dup.op2_near_dup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_packing": packing.op8_packing,
         "pipeline": corpus_pipeline.run,
     }
 
