@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import decontaminate, near_dup, packing
+from millrace.llm import ann, decontaminate, near_dup, packing
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_near_dup": near_dup.op2_near_dup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_packing": packing.op8_packing,
+        "op9_ann": ann.op9_ann,
         "pipeline": corpus_pipeline.run,
     }
 
