@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm import textvec
 from millrace.llm.components import connected_components
@@ -138,15 +139,42 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _sharing_rare_shingles(rest: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (x, y, nx, ny) of ``rest`` (rep, n, part) in different parts that may still reach
+    the similarity; none that does is missing.
+
+    Each set is ordered from its rarest shingle on. Similar sets must share one among the
+    first n - ceil(percent% of n) + 1, and at their first common shingle enough of either
+    set must be left. What many texts have in common comes last and proposes nothing.
+    """
+    held = rest.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "n", "part", F.explode("shingles").alias("s"))
+    often = held.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    shared = held.join(often, "s")
+    own = Window.partitionBy("rep")
+    rare_first = own.orderBy("df", "s")
+    prefix = scratch.save(
+        shared.select("*", (F.col("n") - F.count("*").over(own) + F.row_number().over(rare_first) - 1).alias("i"))
+        .where(F.col("i") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+        .select("s", "rep", "n", "part", "i")
+    )
+    split = prefix.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("s")
+    x = prefix.join(split, "s", "left_semi").select("s", *[F.col(c).alias(d) for c, d in (("rep", "x"), ("n", "nx"), ("part", "px"), ("i", "ix"))])
+    y = prefix.select("s", *[F.col(c).alias(d) for c, d in (("rep", "y"), ("n", "ny"), ("part", "py"), ("i", "iy"))])
+    left = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
+    return x.join(
+        y,
+        (x.s == y.s) & (F.col("x") < F.col("y")) & (F.col("px") != F.col("py")) & ((100 + percent) * left >= percent * (F.col("nx") + F.col("ny"))),
+    ).select("x", "y", "nx", "ny")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, n_links, component_id, kept) for each row of ``docs``.
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
     Texts with one shingle set form a class, represented by its smallest doc_id. Bands
     propose pairs of representatives; in each bucket the member with most collisions is
-    compared first, which joins nearly all of a family to it, and only members that are
-    still apart are then compared with each other. Every comparison uses the full sets.
+    compared first, which joins nearly all of a family to it; members that are still
+    apart are then paired by rare shingles they share. Every comparison uses the full sets.
 
-    n_links counts confirmed links of the row's representative to other representatives.
     Empty or null texts have no shingles and stay alone. Rows with a null doc_id take the
     class of their set if it has an id, else a null component, and are not kept. Rows
     sharing a doc_id share its component. Extra columns are ignored; an empty table gives
@@ -178,34 +206,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     parts = scratch.save(connected_components(links, scratch))
 
     placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-    apart = (
-        placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    )
-    rest = scratch.save(placed.join(apart, "key").select("key", "rep", "n", "part"))
-    across = rest.select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px")).join(
-        rest.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py")), "key"
-    )
-    second = _pairs(across.where("x < y AND px <> py"), percent).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    apart = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    rest = scratch.save(placed.join(apart, "key", "left_semi").select("rep", "n", "part").distinct())
+    second = _pairs(_sharing_rare_shingles(rest, sets, percent, scratch), percent)
     more = scratch.save(_confirmed(second, sets, percent))
-    if more.isEmpty():
-        every = links
-    else:
-        every = links.union(more)
-        parts = scratch.save(connected_components(every, scratch))
+    if not more.isEmpty():
+        parts = scratch.save(connected_components(links.union(more), scratch))
     scratch.drop(members, first, sets, rest)
 
-    counts = every.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    placed = (
-        classes.join(counts, "rep", "left")
-        .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(*key, F.coalesce("component", "rep").alias("component"), "n_links")
-    )
+    placed = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     out = base.drop("bands").join(placed, key, "left")
     component = F.coalesce("component", "doc_id")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
     )
