@@ -92,7 +92,7 @@ def alignments(docs: DataFrame, benchmark: DataFrame, window: int = 13, slop: in
     pairs = rare.groupBy("item").agg(F.collect_list(F.struct("p1", "p2")).alias("pairs"))
     both = lambda held: F.exists("pairs", lambda x: F.array_contains(held, x.p1) & F.array_contains(held, x.p2))
     return (
-        met.join(items.join(pairs, "item"), "item")
+        met.join(_lookup(items.join(pairs, "item")), "item")
         .select("doc_id", "item_id", "w", "delta", both(F.col("on")).alias("exact"), both(F.col("beside")).alias("near"))
         .where("near")
     )
