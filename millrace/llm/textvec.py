@@ -6,20 +6,28 @@ letters keep their case. Every function works on whole texts, in pieces of bound
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
 
+WordFunction = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
 _P_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-IS_SPACE = np.zeros(256, dtype=bool)
-IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def lower(raw: np.ndarray) -> np.ndarray:
+    """A-Z in lower case; comparisons of bytes run many to an instruction, tables do not."""
+    return raw + (raw - np.uint8(65) < 26).view(np.uint8) * np.uint8(32)
+
+
+def is_space(raw: np.ndarray) -> np.ndarray:
+    return (raw - np.uint8(9) < 5) | (raw == 32)
+
 
 _powers: list[np.ndarray] = []
 
@@ -66,7 +74,7 @@ def bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(raw)
     solid = np.empty(n + 2, dtype=bool)
     solid[0] = solid[-1] = False
-    np.logical_not(IS_SPACE[raw], out=solid[1:-1])
+    np.logical_not(is_space(raw), out=solid[1:-1])
     first = np.zeros(n + 1, dtype=bool)
     first[offsets] = True
     starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | first[:n]))
@@ -84,47 +92,57 @@ def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix(h + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
-def _pieces(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of about PIECE_BYTES; a longer text is a range of its own."""
+def pieces(offsets: np.ndarray, size: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes; a longer text is a range of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = int(np.searchsorted(offsets, offsets[i] + PIECE_BYTES, side="right")) - 1
+        j = int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1
         j = min(max(j, i + 1), n)
         yield i, j
         i = j
 
 
-def _long_words(raw: np.ndarray) -> np.ndarray:
-    """Word hashes of one long text, in slices cut at white space."""
-    out, at = [], 0
+def _long_words(raw: np.ndarray, extra: WordFunction | None) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of one long text, and the extra values, in slices cut at white space."""
+    out, more, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
     while at < len(raw):
         end = min(at + PIECE_BYTES, len(raw))
         while end < len(raw):
-            gap = np.flatnonzero(IS_SPACE[raw[at:end]])
+            gap = np.flatnonzero(is_space(raw[at:end]))
             if len(gap):
                 end = at + int(gap[-1]) + 1
                 break
             end = min(end + PIECE_BYTES, len(raw))
-        part = LOWER[raw[at:end]]
+        part = lower(raw[at:end])
         s, e = bounds(part, np.zeros(1, np.int64))
         out.append(span_hash(part, s, e))
+        if extra:
+            more.append(extra(raw[at:end], s, e))
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out), np.concatenate(more)
 
 
-def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Yields (first row, word hashes, row offsets into them) for bounded runs of rows."""
+def words_with(texts: pa.Array, extra: WordFunction | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Yields (first row, word hashes, row offsets into them, extra(bytes, starts, ends))
+    for bounded runs of rows; extra sees the bytes before lower-casing."""
     raw, offsets = flat(texts)
-    for i, j in _pieces(raw, offsets):
+    for i, j in pieces(offsets):
         lo, hi = offsets[i], offsets[j]
         if hi - lo > 2 * PIECE_BYTES:
-            w = _long_words(raw[lo:hi])
-            yield i, w, np.array([0, len(w)])
+            w, more = _long_words(raw[lo:hi], extra)
+            yield i, w, np.array([0, len(w)]), more
             continue
-        part = LOWER[raw[lo:hi]]
+        part = lower(raw[lo:hi])
         own = offsets[i : j + 1] - lo
         s, e = bounds(part, own)
-        yield i, span_hash(part, s, e), np.searchsorted(s, own)
+        more = extra(raw[lo:hi], s, e) if extra else np.zeros(0, np.uint64)
+        yield i, span_hash(part, s, e), np.searchsorted(s, own), more
+
+
+def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Yields (first row, word hashes, row offsets into them) for bounded runs of rows."""
+    for first, words, offsets, _ in words_with(texts, None):
+        yield first, words, offsets
 
 
 def shingle_hashes(words: np.ndarray, row_offsets: np.ndarray, k: int) -> list[np.ndarray]:
