@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import ann, decontaminate, near_dup, packing
+from millrace.llm import ann, decontaminate, near_dup, packing, quality
 
 
 def queries() -> dict:
     return {
         "op2_near_dup": near_dup.op2_near_dup,
+        "op3_quality": quality.op3_quality,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_packing": packing.op8_packing,
         "op9_ann": ann.op9_ann,
