@@ -22,6 +22,9 @@ BUCKETS = 1 << 18
 #: a hash of doc_id. This bounds what the driver holds; scoring covers every text.
 TRAIN_PER_CLASS = 2000
 
+#: An n-gram of fewer training texts says nothing about the class and gets no weight.
+MIN_TEXTS = 5
+
 _U = np.uint64
 
 
@@ -78,7 +81,8 @@ class Model:
 
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     counts = {s: np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t == s]), minlength=BUCKETS) + 1.0 for s in (1, -1)}
-    return np.log(counts[1] / counts[1].sum()) - np.log(counts[-1] / counts[-1].sum())
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[-1] / counts[-1].sum())
+    return np.where(counts[1] + counts[-1] - 2 >= MIN_TEXTS, ratio, 0.0)
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], x: list[np.ndarray], y: np.ndarray, cost: float = 1.0, epochs: int = 12) -> tuple[np.ndarray, float]:
