@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import ann, decontaminate, near_dup, packing, quality
+from millrace.llm import ann, decontaminate, near_dup, packing, quality, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_url_filter": url_filter.op1_url_filter,
         "op2_near_dup": near_dup.op2_near_dup,
         "op3_quality": quality.op3_quality,
         "op7_decontaminate": decontaminate.op7_decontaminate,
