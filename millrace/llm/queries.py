@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import ann, chat, decontaminate, near_dup, packing, quality, url_filter
+from millrace.llm import ann, chat, decontaminate, html_text, near_dup, packing, quality, url_filter
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_packing": packing.op8_packing,
         "op9_ann": ann.op9_ann,
+        "op10_html_text": html_text.op10_html_text,
         "pipeline": corpus_pipeline.run,
     }
 
