@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import ann, chat, decontaminate, html_text, near_dup, packing, quality, url_filter
+from millrace.llm import ann, chat, decontaminate, html_text, near_dup, packing, pii, quality, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_near_dup": near_dup.op2_near_dup,
         "op3_quality": quality.op3_quality,
+        "op4_pii": pii.op4_pii,
         "op6_chat_windows": chat.op6_chat_windows,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_packing": packing.op8_packing,
