@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import ann, chat, decontaminate, html_text, near_dup, packing, pii, quality, url_filter
+from millrace.llm import ann, chat, decontaminate, html_text, lm_score, near_dup, packing, pii, quality, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_near_dup": near_dup.op2_near_dup,
         "op3_quality": quality.op3_quality,
         "op4_pii": pii.op4_pii,
+        "op5_lm_score": lm_score.op5_lm_score,
         "op6_chat_windows": chat.op6_chat_windows,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_packing": packing.op8_packing,
