@@ -19,9 +19,11 @@ from millrace.llm.scratch import Scratch
 #: Bounds of what reaches the driver: vectors that the tree is fitted on, and queries whose
 #: exact neighbours calibrate it. Every vector is indexed.
 SAMPLE_ROWS, CALIBRATION_QUERIES = 16_384, 200
-BRANCH, LEAF_SAMPLE = 8, 256
+BRANCH, LEAF_SAMPLE, LEAVES = 8, 512, 64
 #: Vectors and queries that meet in one group.
 CELL_ROWS = 1024
+#: Leaves of the first round; further ones only report what beats the k-th score so far.
+FIRST_LEAVES = 3
 
 
 @dataclass
@@ -130,8 +132,9 @@ def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query index, candidate index, score) of each query's k best candidates but itself."""
+def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | float = -np.inf) -> tuple[np.ndarray, ...]:
+    """(query index, candidate index, score) of each query's k best candidates but itself,
+    without those under its floor."""
     scores = q @ x.T
     scores[q_ids[:, None] == ids[None, :]] = -np.inf
     if scores.shape[1] > k:
@@ -139,6 +142,8 @@ def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k
         least = least - 1e-9 * np.maximum(np.abs(least), 1e-30)
     else:
         least = np.full((len(q), 1), -np.inf)
+    floor = np.broadcast_to(floor, len(q))[:, None]
+    least = np.maximum(least, floor - 1e-9 * np.maximum(np.abs(np.where(np.isfinite(floor), floor, 0)), 1e-30))
     i, j = np.nonzero((scores >= least) & (scores > -np.inf))
     s = _exact(q[i], x[j])
     order = np.lexsort((ids[j], -s, i))
@@ -195,7 +200,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
     ready = ready.where(F.size("v") == dim)
     sample = np.array([v for v in sample if len(v) == dim])
     bound = ready.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)))).first()[0]
-    tree = fit_tree(sample, bound)
+    tree = fit_tree(sample, bound, leaf_sample=max(4 * BRANCH, min(LEAF_SAMPLE, len(sample) // LEAVES)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,42 +212,46 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
     queries = placed.where(is_query).select("vec_id", "v")
     leaves = _calibrated(tree, placed, queries, filled, k, recall)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            order = tree.visits(_matrix(b.column("v")), leaves, filled, k + 1)
-            row = np.repeat(np.arange(len(order)), [len(o) for o in order])
-            leaf = np.array([x for o in order for x in o], dtype=np.int64)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(at), b.column("v").take(at), pa.array(leaf)], names=["query_id", "q", "leaf"])
-
-    asked = scratch.save(queries.mapInArrow(ask, "query_id long, q array<double>, leaf long"))
-    many = {r.leaf: r["count"] for r in asked.groupBy("leaf").count().collect()}
-    cells = spark.createDataFrame(
-        [(n, -(-filled[n] // CELL_ROWS), -(-many[n] // CELL_ROWS)) for n in sorted(filled.keys() & many.keys())],
-        "leaf long, own long, ask long",
-    )
+    keys = ["leaf", "cs", "qs"]
     deal = F.monotonically_increasing_id()
-    c = (
-        placed.join(F.broadcast(cells), "leaf")
-        .withColumn("cs", F.pmod(deal, F.col("own")))
-        .select("vec_id", "v", "leaf", "cs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ask") - 1)).alias("qs"))
-    )
-    q = (
-        asked.join(F.broadcast(cells), "leaf")
-        .withColumn("qs", F.pmod(deal, F.col("ask")))
-        .select("query_id", "q", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("cs"), "qs")
-    )
+
+    def visit(asking: DataFrame, start: int) -> DataFrame:
+        """(query_id, vec_id, score) from the leaves after the first ``start`` of each query."""
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                order = tree.visits(_matrix(b.column("v")), leaves, filled, k + 1)
+                order = [o[start:] if start else o[:FIRST_LEAVES] for o in order]
+                at = pa.array(np.repeat(np.arange(len(order)), [len(o) for o in order]))
+                leaf = np.array([x for o in order for x in o], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("vec_id").take(at), b.column("v").take(at), b.column("floor").take(at), pa.array(leaf)], names=["query_id", "q", "floor", "leaf"]
+                )
+
+        asked = scratch.save(asking.mapInArrow(ask, "query_id long, q array<double>, floor double, leaf long"))
+        many = {r.leaf: r["count"] for r in asked.groupBy("leaf").count().collect()}
+        cells = F.broadcast(
+            spark.createDataFrame(
+                [(n, -(-filled[n] // CELL_ROWS), -(-many[n] // CELL_ROWS)) for n in sorted(filled.keys() & many.keys())], "leaf long, own long, ask long"
+            )
+        )
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        c = placed.join(cells, "leaf").withColumn("cs", F.pmod(deal, F.col("own"))).select("vec_id", "v", "leaf", "cs", each("ask").alias("qs"))
+        q = asked.join(cells, "leaf").withColumn("qs", F.pmod(deal, F.col("ask"))).select("query_id", "q", "floor", "leaf", each("own").alias("cs"), "qs")
+        return c.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         if left.empty or right.empty:
-            return empty
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         ids, q_ids = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
-        i, j, s = _nearest(q_ids, np.stack(right["q"]), ids, np.stack(left["v"]), k)
+        i, j, s = _nearest(q_ids, np.stack(right["q"]), ids, np.stack(left["v"]), k, right["floor"].to_numpy())
         return pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[j], "score": s})
 
-    keys = ["leaf", "cs", "qs"]
-    found = c.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
+    first = scratch.save(_best(visit(queries.withColumn("floor", F.lit(float("-inf"))), 0), k).drop("rank"))
+    floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    floors = floors.select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("least")).alias("least"))
+    wider = queries.join(floors, "vec_id", "left").select("vec_id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("floor"))
+    found = first.union(visit(wider, FIRST_LEAVES))
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
