@@ -1,21 +1,59 @@
-"""The corpus pipeline: near-dedup so far."""
+"""The corpus pipeline: quality, near-dedup, decontamination, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
+and reread as the next stage's docs. Stages with filters keep every row they do not judge
+bad, rows with a null doc_id included; other columns of documents pass through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import near_dup
+from millrace.llm import decontaminate, near_dup, packing, pii, quality
 from millrace.llm.scratch import Scratch
 
 
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate component."""
-    keep = near_dup.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi")
+def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is not in bad."""
+    return docs.join(bad.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__doc")), F.col("doc_id") == F.col("__doc"), "left_anti")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject (3)."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each near-duplicate component (2)."""
+    return _without(docs, near_dup.near_duplicates(docs).where("NOT kept"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark passages do not contaminate (7)."""
+    judged = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return judged.where("NOT contaminated").select(docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data spans replaced by their kinds (4)."""
+    return pii.masked(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of at most 1024 ids (8)."""
+    return packing.pack(docs, packing.vocabulary_path())
+
 
+STAGES = [
+    ("quality", keep_quality),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("pii", mask_personal_data),
+    ("packing", pack_sequences),
+]
 
-STAGES = [("dedup", dedup)]
+#: Training, hashing and tokenizing are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -209,14 +209,8 @@ def proposals(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id long, base {shape}, loose {shape}")
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, spans): arrays of (kind, start, stop) in code points, ordered by kind
-    as in KINDS and then start; ``spans`` are the base spans and the accepted loose ones.
-
-    Votes are counted over all spans of ``docs``; there are at most 4 * 3^5 * 8 patterns, and
-    only their counts reach the driver. Null and empty texts have no spans. Each row is
-    judged by itself, repeated rows and null ids included; extra columns are ignored.
-    """
+def _judged(docs: DataFrame) -> tuple[DataFrame, list[int]]:
+    """The proposals of ``docs``, and the patterns of loose ones that the classifier accepts."""
     scratch = Scratch(docs.sparkSession, "pii")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = scratch.save(proposals(plain))
@@ -227,6 +221,54 @@ def find_spans(docs: DataFrame) -> DataFrame:
         kind, vote, bits = _unpack(ids)
         p, _ = estimate_reliabilities(vote, n)
         accepted = ids[train_classifier(kind, vote, bits, p, n) >= 0].tolist()
+    return found, accepted
+
+
+def masked(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span of ``find_spans`` replaced by its kind in brackets, and
+    n_chars, if there is such a column, counted anew for texts that changed. The spans are
+    found again where the text stands, so no text is shuffled."""
+    _, accepted = _judged(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = set(accepted)
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            worth = pc.fill_null(pc.match_substring_regex(b.column("text"), _WORTH_READING), False).to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(worth).tolist():
+                own = base_spans(texts[i])
+                more = [(k, s, e) for k, s, e in loose_spans(texts[i], own) if pattern_id(k, *votes(texts[i], k, s, e, False)) in keep]
+                texts[i] = replace_spans(texts[i], own + more)
+            at = b.schema.get_field_index("text")
+            b = b.set_column(at, "text", pa.array(texts, b.schema.field("text").type))
+            if "n_chars" in b.schema.names:
+                at = b.schema.get_field_index("n_chars")
+                n = [len(texts[i]) if w else old for i, (w, old) in enumerate(zip(worth.tolist(), b.column("n_chars").to_pylist(), strict=True))]
+                b = b.set_column(at, "n_chars", pa.array(n, b.schema.field("n_chars").type))
+            yield b
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def replace_spans(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """Each span gives way to its kind in brackets; spans that overlap become one."""
+    out, at = [], 0
+    for start, stop, kind in sorted((s, e, k) for k, s, e in spans):
+        if start >= at:
+            out += [text[at:start], f"[{KINDS[kind]}]"]
+        at = max(at, stop)
+    return "".join(out) + text[at:]
+
+
+def find_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, base, spans): arrays of (kind, start, stop) in code points, ordered by kind
+    as in KINDS and then start; ``spans`` are the base spans and the accepted loose ones.
+
+    Votes are counted over all spans of ``docs``; there are at most 4 * 3^5 * 8 patterns, and
+    only their counts reach the driver. Null and empty texts have no spans. Each row is
+    judged by itself, repeated rows and null ids included; extra columns are ignored.
+    """
+    found, accepted = _judged(docs)
     plain_span = lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.stop.alias("stop"))
     take = F.array(*[F.lit(i) for i in accepted]).cast("array<int>")
     more = F.filter("loose", lambda s: F.array_contains(take, s.pattern))
@@ -243,25 +285,6 @@ def describe(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start, s.stop)), ",")
 
 
-def mask(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the
-    first counts."""
-    names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.stop.alias("stop"), s.kind.alias("kind"))))
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(state: Column, s: Column) -> Column:
-        start = F.greatest(s.start, state.at)
-        kept = F.substr(text, (state.at + 1).cast("int"), (start - state.at).cast("int"))
-        return F.when(
-            s.stop > state.at,
-            F.struct(F.concat(state.out, kept, F.element_at(names, s.kind + 1)).alias("out"), s.stop.alias("at")),
-        ).otherwise(state)
-
-    rest = lambda state: F.concat(state.out, F.substr(text, (state.at + 1).cast("int"), F.lit(2147483647)))
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, begin, step, rest)).otherwise(text)
-
-
 def op4_pii(spark, sf_dir: str) -> DataFrame:
     found = find_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long").alias(f"n_{KINDS[k]}")
