@@ -1 +1,3 @@
+"""Queries over the test tables, registered with their oracle SQL."""
 
+from millrace.plans import filters, joins, search  # noqa: F401
