@@ -1,3 +1,3 @@
 """Queries over the test tables, registered with their oracle SQL."""
 
-from millrace.plans import aggregates, filters, joins, ordered, search  # noqa: F401
+from millrace.plans import aggregates, filters, joins, ordered, scalars, search  # noqa: F401
