@@ -169,7 +169,10 @@ def signed(messages: pd.Series, keys: pd.Series) -> pd.Series:
     return pd.Series([hmac.new(k.encode(), m.encode(), hashlib.sha512).hexdigest() if m is not None and k is not None else None for m, k in zip(messages, keys, strict=True)])
 
 
-@F.pandas_udf("array<struct<kind: string, start: int, stop: int, value: string>>")
+_FACET = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("value", T.StringType())])
+
+
+@F.pandas_udf(T.ArrayType(_FACET))
 def facets(texts: pd.Series) -> pd.Series:
     """Links and hashtags of a post, at UTF-8 byte offsets; a tag's offsets take its sign in."""
     link, tag = re.compile(rb"(https?://[^\s]+)"), re.compile(rb"\s+#(\w+)")
