@@ -16,7 +16,8 @@ from millrace.llm.scratch import Scratch
 
 def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is not in bad."""
-    return docs.join(bad.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__doc")), F.col("doc_id") == F.col("__doc"), "left_anti")
+    bad = bad.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("bad_id"))
+    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark passages do not contaminate (7)."""
-    judged = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return judged.where("NOT contaminated").select(docs.columns)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,67 +98,73 @@ def alignments(docs: DataFrame, benchmark: DataFrame, window: int = 13, slop: in
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, slop: int = 3) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, item_ids, n_near, contaminated.
-
-    A word is hit if it lies in an occurrence of any window of an item; an item of fewer
-    words than a window is one window. item_ids are the ids, as sorted strings, of items
-    with occurring windows; n_near counts items met within ``slop`` but not exactly.
-    Contaminated: some word is hit and at least a twentieth of all are. Null and empty
-    texts have no words and no hits; items without words match nothing; an item without
-    id marks words but is not listed. Repeated rows and rows with a null doc_id are judged
-    one by one. Other columns of docs pass through.
-    """
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, slop: int) -> DataFrame:
+    """(row, n_words, n_hit, item_ids, n_near, contaminated), row holding all columns of docs."""
     plain = docs.select("doc_id", words(F.col("text")).alias("w"))
     found = alignments(plain, benchmark, window, slop)
-    per_doc = found.groupBy(F.col("doc_id").alias("__doc")).agg(
-        F.collect_list(F.when(F.col("exact"), F.struct("item_id", "w", "delta"))).alias("__c"),
-        F.array_distinct(F.collect_list(F.when(F.col("near"), F.col("item_id")))).alias("__near"),
+    per_doc = found.groupBy(F.col("doc_id").alias("key")).agg(
+        F.collect_list(F.when(F.col("exact"), F.struct("item_id", "w", "delta"))).alias("c"),
+        F.array_distinct(F.collect_list(F.when(F.col("near"), F.col("item_id")))).alias("near"),
     )
 
     def starts(c: Column) -> Column:
         size = F.least(F.size(c.w), F.lit(window))
+
         def here(i: Column) -> Column:
             at = c.delta + i
-            fits = (at >= 0) & (at + size <= F.size("__w"))
-            return fits & (F.slice(F.col("__w"), F.greatest(at, F.lit(0)) + 1, size) == F.slice(c.w, i + 1, size))
+            fits = (at >= 0) & (at + size <= F.size("words"))
+            return fits & (F.slice(F.col("words"), F.greatest(at, F.lit(0)) + 1, size) == F.slice(c.w, i + 1, size))
+
         return F.filter(F.sequence(F.lit(0), F.size(c.w) - size), here)
 
     def places(c: Column) -> Column:
         last = F.least(F.size(c.w), F.lit(window)) - 1
         return F.flatten(F.transform(c.s, lambda i: F.sequence(c.delta + i, c.delta + i + last)))
 
-    met = F.filter(
-        F.transform("__c", lambda c: F.struct(c.item_id.alias("item_id"), c.w.alias("w"), c.delta.alias("delta"), starts(c).alias("s"))),
-        lambda c: F.size(c.s) > 0,
-    )
-    judged = (
-        docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
-        .withColumn("__w", words(F.col("text")))
-        .withColumn("__n", F.size("__w"))
-        .withColumn("__met", F.when(F.col("__c").isNotNull(), met))
-        .withColumn("__hit", F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("__met", places)))), F.lit(0)))
-        .withColumn(
-            "__ids",
-            F.coalesce(
-                F.array_sort(F.array_distinct(F.filter(F.transform("__met", lambda c: c.item_id), lambda x: x.isNotNull()))),
-                F.array().cast("array<string>"),
-            ),
+    met = F.filter(F.transform("c", lambda c: F.struct(c.item_id.alias("item_id"), c.w.alias("w"), c.delta.alias("delta"), starts(c).alias("s"))), lambda c: F.size(c.s) > 0)
+    ids = F.array_sort(F.array_distinct(F.filter(F.transform("met", lambda c: c.item_id), lambda x: x.isNotNull())))
+    rows = docs.select(F.col("doc_id").alias("own"), F.struct("*").alias("row"))
+    return (
+        rows.join(per_doc, F.col("own").eqNullSafe(F.col("key")), "left")
+        .withColumn("words", words(F.col("row.text")))
+        .withColumn("met", F.when(F.col("c").isNotNull(), met))
+        .select(
+            "row",
+            F.size("words").cast("long").alias("n_words"),
+            F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("met", places)))), F.lit(0)).cast("long").alias("n_hit"),
+            F.coalesce(ids, F.array().cast("array<string>")).alias("item_ids"),
+            "near",
         )
+        .select(
+            "row", "n_words", "n_hit", "item_ids",
+            F.coalesce(F.size(F.array_except("near", "item_ids")), F.lit(0)).cast("long").alias("n_near"),
+            ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        )
     )
-    return judged.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.col("__n").cast("long").alias("n_words"),
-        F.col("__hit").cast("long").alias("n_hit"),
-        F.size("__ids").cast("long").alias("n_items"),
-        F.col("__ids").alias("item_ids"),
-        F.coalesce(F.size(F.array_except("__near", "__ids")), F.lit(0)).cast("long").alias("n_near"),
-        ((F.col("__hit") > 0) & (20 * F.col("__hit") >= F.col("__n"))).alias("contaminated"),
-    )
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, slop: int = 3) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, item_ids, n_near, contaminated) of each row of docs.
+
+    A word is hit if it lies in an occurrence of any window of an item; an item of fewer
+    words than a window is one window. item_ids are the ids, as sorted strings, of items
+    with occurring windows; n_near counts items met within ``slop`` but not exactly.
+    Contaminated: some word is hit and at least a twentieth of all are. Null and empty
+    texts have no words and no hits; items without words match nothing; an item without
+    id marks words but is not listed. Repeated rows and rows with a null doc_id are judged
+    one by one. Extra columns are ignored.
+    """
+    out = _judged(docs, benchmark, window, slop)
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", "n_near", "contaminated")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns."""
+    return _judged(docs, benchmark, window, 0).where("NOT contaminated").select("row.*")
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     digest = F.sha2(F.array_join("item_ids", ","), 256)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated", "n_near")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")

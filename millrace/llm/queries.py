@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import ann, chat, decontaminate, html_text, lm_score, near_dup, packing, pii, quality, url_filter
+from millrace.llm import ann, chat, decontaminate, html_text, lm_score, near_dup, oracles, packing, pii, quality, url_filter
 
 
 def queries() -> dict:
@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_near_dup": oracles.NEAR_DUP, "op7_decontaminate": oracles.DECONTAMINATE}
