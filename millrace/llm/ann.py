@@ -210,6 +210,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0
     placed = scratch.save(ready.mapInArrow(place, "vec_id long, v array<double>, leaf long"))
     filled = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}
     queries = placed.where(is_query).select("vec_id", "v")
+    if queries.isEmpty():
+        return spark.createDataFrame([], out)
     leaves = _calibrated(tree, placed, queries, filled, k, recall)
 
     keys = ["leaf", "cs", "qs"]
