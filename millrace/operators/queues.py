@@ -77,7 +77,8 @@ def with_feedback(rows: DataFrame, key: str, time: str, tie: str, step: Callable
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values([time, tie])
-        return group.assign(ok=decide(group[time], step)[0])
+        times = group[time].to_numpy().astype("datetime64[us]").tolist()
+        return group.assign(ok=decide(times, step)[0])
 
     rows = rows.select(key, time, tie)
     return rows.groupBy(key).applyInPandas(run, f"{', '.join(f'{c} {t}' for c, t in rows.dtypes)}, ok boolean")
