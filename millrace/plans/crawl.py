@@ -32,7 +32,7 @@ def page_text(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.select("page_id", "p.title", "p.text", F.size("p.links").alias("n_links"))
 
 
-@query("resolve_links")
+@query("resolve_links", r"""SELECT page_id, href, regexp_replace(href, '[?#].*$', '') AS path FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) WHERE starts_with(href, '/') AND regexp_replace(href, '[?#].*$', '') <> ''""")
 def resolve_links(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages")
     links = p.select("page_id", "url", F.explode(C.hrefs(F.col("html"))).alias("href"))

@@ -120,7 +120,7 @@ def markdown_clean(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", texts.plain_markdown(post).alias("html"))
 
 
-@query("replace_with_lookup")
+@query("replace_with_lookup", "SELECT doc_id, left(text, 30) || ' [q' || coalesce(quality::VARCHAR, '?') || '] end' AS text FROM documents LEFT JOIN labels USING (doc_id)")
 def replace_with_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """References in a text are replaced by what a table has under their ids: the text is
     split at them, joined by id, and put together again in order."""

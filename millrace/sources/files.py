@@ -29,16 +29,22 @@ def sitemap_entries(spark: SparkSession, path: str, internal: bool = False) -> D
     )
 
 
-def robots_rules(spark: SparkSession, path: str, agent: str) -> DataFrame:
-    """Disallowed prefixes that hold for ``agent``. A rule belongs to the last agent line
-    above it; an empty prefix blocks nothing. Files are read whole, so lines keep their order."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("n", "line"))
+def rules_of(lines: DataFrame, agent: str) -> DataFrame:
+    """(file, n, prefix) of the disallow lines that hold for ``agent``, from (file, n, line).
+    A rule belongs to the last agent line above it; an empty prefix blocks nothing."""
     low = F.lower("line")
     who = F.when(F.startswith(low, F.lit("user-agent: ")), F.trim(F.substring("line", 13, 1 << 20)))
     above = F.last(who, ignorenulls=True).over(Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    rules = lines.withColumn("agent", above).where(F.startswith(low, F.lit("disallow: ")))
     mine = (F.col("agent") == "*") | F.startswith("agent", F.lit(agent))
-    return rules.where(mine).select("n", F.trim(F.substring("line", 11, 1 << 20)).alias("prefix")).where("prefix <> ''")
+    rules = lines.withColumn("agent", above).where(F.startswith(low, F.lit("disallow: ")) & mine)
+    return rules.select("file", "n", F.trim(F.substring("line", 11, 1 << 20)).alias("prefix")).where("prefix <> ''")
+
+
+def robots_rules(spark: SparkSession, path: str, agent: str) -> DataFrame:
+    """Disallowed prefixes of robots files that hold for ``agent``. Files are read whole, so
+    lines keep their order."""
+    whole = spark.read.text(path, wholetext=True)
+    return rules_of(whole.select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("n", "line")), agent)
 
 
 def decoded(content: Column) -> Column:
