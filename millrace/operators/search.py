@@ -55,12 +55,14 @@ def cover_ranks(docs: DataFrame, terms: list[str], key: str = "doc_id", text: st
     """(key, rank) of the documents that hold every term.
 
     Documents without all terms are left by a containment test before any word is exploded.
+    The outer explode spares a test for empty lists that would split every text twice.
     """
     has = reduce(lambda a, b: a & b, [F.contains(F.lower(text), F.lit(t)) for t in terms])
     own = Window.partitionBy(key).orderBy("pos")
     held = (
         docs.where(has)
-        .select(key, F.size(words(title_of(F.col(text)))).alias("title"), F.posexplode(words(F.col(text))).alias("pos", "term"))
+        .select(key, F.size(words(title_of(F.col(text)))).alias("title"), words(F.col(text)).alias("words"))
+        .select(key, "title", F.posexplode_outer("words").alias("pos", "term"))
         .where(F.col("term").isin(*terms))
     )
     last = [F.max(F.when(F.col("term") == t, F.col("pos"))).over(own) for t in terms]
