@@ -31,3 +31,25 @@ m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT ite
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
 coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)
 """
+
+CHAT = r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS ord, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 3 AS tokens,
+  12 + len(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')) + 1 + len(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) + 10 + 1 AS size FROM given),
+b AS (SELECT *, ord = 1 AND role = 'system' AS sys FROM a),
+c AS (SELECT *, max(CASE WHEN sys THEN tokens END) OVER (PARTITION BY conv_id) AS head, max(CASE WHEN sys THEN size END) OVER (PARTITION BY conv_id) AS head_size,
+  coalesce(sum(CASE WHEN NOT sys THEN tokens END) OVER (PARTITION BY conv_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before_ FROM b),
+d AS (SELECT *, greatest(1024 - 128 - coalesce(head, 0), 256) // 2 AS half FROM c),
+e AS (SELECT *, (NOT sys AND tokens > half)::INT AS large FROM d),
+f AS (SELECT *, CASE WHEN NOT sys THEN (before_ // half) || ':' || coalesce(sum(large) OVER (PARTITION BY conv_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) || ':' || large END AS cell FROM e),
+g AS (SELECT *, NOT sys AND lag(cell) OVER (PARTITION BY conv_id ORDER BY ord) IS DISTINCT FROM cell AS opens FROM f),
+h AS (SELECT *, greatest(sum(opens::INT) OVER (PARTITION BY conv_id ORDER BY ord ROWS UNBOUNDED PRECEDING), 1) AS win,
+  coalesce(sum(CASE WHEN NOT sys THEN size END) OVER (PARTITION BY conv_id ORDER BY before_ RANGE BETWEEN 128 PRECEDING AND 1 PRECEDING), 0) AS past FROM g)
+SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY ord)) AS turns_sha256,
+  coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY ord) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (sum(size) + coalesce(sum(past + coalesce(head_size, 0)) FILTER (WHERE opens AND win > 1), 0))::BIGINT AS formatted_chars
+FROM h GROUP BY 1
+"""

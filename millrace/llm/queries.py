@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dup": oracles.NEAR_DUP, "op7_decontaminate": oracles.DECONTAMINATE}
+    return {"op2_near_dup": oracles.NEAR_DUP, "op6_chat_windows": oracles.CHAT, "op7_decontaminate": oracles.DECONTAMINATE}
