@@ -57,16 +57,19 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string array; null counts as empty."""
+    """(bytes, offsets) of a string array; null counts as empty. Called once a batch, it also
+    gives back what Arrow holds of earlier ones."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    pa.default_memory_pool().release_unused()
     if texts.null_count:
         texts = texts.fill_null("")
-    texts = texts.cast(pa.large_string())
-    _, offs, data = texts.buffers()
-    offsets = np.frombuffer(offs, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if offs else np.zeros(1, np.int64)
-    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return raw, offsets
+    wide = pa.types.is_large_string(texts.type)
+    _, places, data = texts.buffers()
+    if places is None or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    offsets = np.frombuffer(places, dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(data, dtype=np.uint8), offsets.astype(np.int64)
 
 
 def bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
