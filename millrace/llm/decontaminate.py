@@ -18,8 +18,9 @@ from millrace.llm.scratch import Scratch
 #: Everything ASCII but letters and digits parts words; all other code points belong to them.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Lookup tables of at most so many rows are broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 50_000
+#: Lookup tables of at most so many rows, and items of so many words in all, are broadcast;
+#: larger ones are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_WORDS = 50_000, 500_000
 
 
 def words(text: Column) -> Column:
@@ -71,7 +72,8 @@ def alignments(docs: DataFrame, benchmark: DataFrame, window: int = 13, slop: in
     scratch = Scratch(docs.sparkSession, "postings")
     items = scratch.save(items_of(benchmark))
     terms = items.select(F.explode("w").alias("term")).distinct()
-    tokens = docs.select("doc_id", F.posexplode("w").alias("pos", "term"))
+    # outer: an inner explode would add a test for empty lists that splits every text twice
+    tokens = docs.select("doc_id", F.posexplode_outer("w").alias("pos", "term"))
     counts = scratch.save(tokens.select("term").join(_lookup(terms), "term").groupBy("term").agg(F.count("*").alias("n")))
     rare = scratch.save(rarest_places(items, counts, window))
     anchors = scratch.save(
@@ -90,9 +92,10 @@ def alignments(docs: DataFrame, benchmark: DataFrame, window: int = 13, slop: in
         .where(F.size("beside") > 0)
     )
     pairs = rare.groupBy("item").agg(F.collect_list(F.struct("p1", "p2")).alias("pairs"))
+    shown, total = items.join(pairs, "item"), items.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     both = lambda held: F.exists("pairs", lambda x: F.array_contains(held, x.p1) & F.array_contains(held, x.p2))
     return (
-        met.join(_lookup(items.join(pairs, "item")), "item")
+        met.join(F.broadcast(shown) if total <= BROADCAST_WORDS else shown, "item")
         .select("doc_id", "item_id", "w", "delta", both(F.col("on")).alias("exact"), both(F.col("beside")).alias("near"))
         .where("near")
     )
