@@ -25,6 +25,10 @@ RULES = (
 
 DAMPING, ROUNDS, THRESHOLD = 0.85, 20, 0.5
 
+#: Tables of so many hosts are broadcast; larger ones are joined by a shuffle, whose skewed
+#: partitions adaptive execution splits.
+BROADCAST_HOSTS = 100_000
+
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
 
@@ -40,6 +44,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return _ascii_lower(part(1)), part(2)
 
 
+def _with_hosts(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    small = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    return pages.join(F.broadcast(hosts) if small else hosts, "host", "left")
+
+
 def _rules_by_host(hosts: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
     """(host, rules): for each host the rules of the host itself and of what it is under."""
     table = hosts.sparkSession.createDataFrame(
@@ -111,17 +120,17 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, thres
     scratch = Scratch(pages.sparkSession, "url-filter")
     host, path = host_and_path(F.col("url"))
     plain = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
-    own = _rules_by_host(plain.select("host").distinct(), list(rules))
+    own = scratch.save(_rules_by_host(plain.select("host").distinct(), list(rules)))
     best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r.start)))
     ruled = scratch.save(
-        plain.drop("html").join(own, "host", "left").select("page_id", "host", "path", best.rule.alias("rule"), best.verdict.alias("by_rule"))
+        _with_hosts(plain.drop("html"), own).select("page_id", "host", "path", best.rule.alias("rule"), best.verdict.alias("by_rule"))
     )
     share = lambda v: F.avg(F.when(F.col("by_rule") == v, 1.0).otherwise(0.0))
     seeds = ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = propagate(seeds, host_edges(plain), scratch)
+    scores = scratch.save(propagate(seeds, host_edges(plain), scratch))
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
     by_host = F.when(distrust - trust > threshold, "block").otherwise("allow")
-    return ruled.join(scores, "host", "left").select(
+    return _with_hosts(ruled, scores).select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), trust.alias("trust"), distrust.alias("distrust")
     )
 
