@@ -14,6 +14,16 @@ from millrace.llm import decontaminate, near_dup, packing, pii, quality
 from millrace.llm.scratch import Scratch
 
 
+#: Rows of an Arrow batch. Whole rows go through Python here, some of them long, and an
+#: executor holds a few batches at a time.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, min(BATCH_ROWS, int(spark.conf.get(name))))
+
+
 def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is not in bad."""
     bad = bad.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("bad_id"))
@@ -22,11 +32,13 @@ def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (3)."""
+    _small_batches(spark)
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each near-duplicate component (2)."""
+    _small_batches(spark)
     return _without(docs, near_dup.near_duplicates(docs).where("NOT kept"))
 
 
@@ -37,11 +49,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data spans replaced by their kinds (4)."""
+    _small_batches(spark)
     return pii.masked(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 1024 ids (8)."""
+    _small_batches(spark)
     return packing.pack(docs, packing.vocabulary_path())
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import textvec
 
@@ -208,16 +209,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` with a score of at least 0.5, all columns kept. Each row is
-    judged where it stands, so nothing is shuffled."""
+    judged where it stands: texts go to Python, only scores come back."""
     model = train(docs, labels)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [model.score(rows, buckets, n) for _, n, rows, buckets in indicators(b.column("text"))]
-            if parts:
-                yield b.filter(pa.array(np.concatenate(parts) >= 0.5))
+    def scores(texts: pa.Array) -> pa.Array:
+        parts = [model.score(rows, buckets, n) for _, n, rows, buckets in indicators(texts)]
+        return pa.array(np.concatenate([np.zeros(0), *parts]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.arrow_udf(scores, T.DoubleType())(F.col("text").cast("string")) >= 0.5)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
