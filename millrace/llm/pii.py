@@ -32,6 +32,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Looser patterns.
 _SPELLED = re.compile(
     r"[A-Za-z0-9._%+-]{1,64}\s?[\[({]\s?(?:at|AT)\s?[\])}]\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[({]\s?(?:dot|DOT)\s?[\])}])\s?[A-Za-z0-9-]{1,63}){1,4}"
+    r"|[A-Za-z0-9._%+-]{1,64}\s(?:at|AT)\s[A-Za-z0-9-]{1,63}(?:\s(?:dot|DOT)\s[A-Za-z0-9-]{1,63}){1,4}"
 )
 _PLAIN_CARD = re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.])(?:(?:\+|00)[1-9][0-9]{0,2}[\x20.-])?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])")
@@ -52,7 +53,7 @@ _FOR_WORDS = {k: frozenset(v.split()) for k, v in _FOR.items()}
 _AGAINST = frozenset("version license licence isbn issn order invoice id number no token sha hash build release doi".split())
 _CUE = re.compile(r"[A-Za-z-]+")
 
-_WORTH_READING = r"[0-9@]|[\[({]\s?(?:at|AT)\s?[\])}]"
+_WORTH_READING = r"[0-9@]|[\[({]\s?(?:at|AT)\s?[\])}]|\s(?:dot|DOT)\s"
 
 
 def _digits(s: str) -> str:
@@ -130,7 +131,7 @@ def votes(text: str, kind: int, start: int, end: int, fixed: bool) -> tuple[int,
         known = 2 if span.startswith("+") and digits.startswith(_CALLING) else 1
     else:
         tail = re.findall(r"[A-Za-z0-9-]+", span)[-1].lower()
-        check = 2 if len(tail) > 1 and not tail.isdigit() else 0
+        check = 2 if len(tail) > 1 and not tail.isdigit() and (fixed or tail in _TOP_LEVEL) else 0
         known = 2 if tail in _TOP_LEVEL else 1
     cues = [w.lower() for w in _CUE.findall(text[max(0, start - 40) : start])][-4:]
     context = 2 if not _FOR_WORDS[name].isdisjoint(cues) else 0 if not _AGAINST.isdisjoint(cues) else 1
@@ -156,17 +157,17 @@ def _unpack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def estimate_reliabilities(vote: np.ndarray, count: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """(posterior of each vote pattern, table[labeler, truth, vote]) by EM, from a start in
-    which the majority is trusted."""
+    which the majority is trusted. A labeler without a vote says nothing either way."""
     score = (vote - 1).sum(axis=1)
     p = 1 / (1 + np.exp(-1.5 * score.astype(float)))
-    table = np.zeros((vote.shape[1], 2, 3))
+    table = np.ones((vote.shape[1], 2, 3))
     for _ in range(rounds):
         weight = np.stack([count * (1 - p), count * p])
         prior = (weight.sum(axis=1) + 1) / (count.sum() + 2)
         for j in range(vote.shape[1]):
-            for v in range(3):
+            for v in (0, 2):
                 table[j, :, v] = weight[:, vote[:, j] == v].sum(axis=1) + 1
-        table /= table.sum(axis=2, keepdims=True)
+            table[j, :, ::2] /= table[j, :, ::2].sum(axis=1, keepdims=True)
         log = np.log(prior)[None, :] + sum(np.log(table[j][:, vote[:, j]]).T for j in range(vote.shape[1]))
         p = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
     return p, table

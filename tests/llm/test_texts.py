@@ -134,6 +134,8 @@ def test_spans_keep_the_base_and_add_what_votes_say(spark):
         own = [(pii.KINDS[s.kind], s.start, s.stop) for s in got[i].base]
         assert own == plain_spans(t)
         assert set(got[i].base) <= set(got[i].spans)
+    spelled = texts.index(odd[1])
+    assert [(s.kind, s.start, s.stop) for s in got[spelled].spans] == [(0, 5, 25)]
     split = texts.index(odd[2])
     assert any(s.kind == 3 for s in got[split].spans)
     assert got[None].spans == [] and got[7000].base[0].stop == 600_006
