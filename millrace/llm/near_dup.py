@@ -158,8 +158,10 @@ def _sharing_rare_shingles(rest: DataFrame, sets: DataFrame, percent: int, scrat
         .select("s", "rep", "n", "part", "i")
     )
     split = prefix.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("s")
-    x = prefix.join(split, "s", "left_semi").select("s", *[F.col(c).alias(d) for c, d in (("rep", "x"), ("n", "nx"), ("part", "px"), ("i", "ix"))])
-    y = prefix.select("s", *[F.col(c).alias(d) for c, d in (("rep", "y"), ("n", "ny"), ("part", "py"), ("i", "iy"))])
+    # written out, so that both sides of the last join are shuffled anew and skew can be split
+    mixed = scratch.save(prefix.join(split, "s", "left_semi"))
+    x = mixed.select("s", *[F.col(c).alias(d) for c, d in (("rep", "x"), ("n", "nx"), ("part", "px"), ("i", "ix"))])
+    y = mixed.select("s", *[F.col(c).alias(d) for c, d in (("rep", "y"), ("n", "ny"), ("part", "py"), ("i", "iy"))])
     left = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
     return x.join(
         y,
