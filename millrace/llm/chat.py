@@ -75,9 +75,9 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     repeats = turns.where(F.col("opens") & (F.col("window") > 1)).select(
         "conv_id", "window", F.explode(F.concat(F.when(F.col("led"), F.array(F.lit(1))).otherwise(none), past)).alias("ord")
     )
-    shown = turns.select("conv_id", "window", "ord", "role", "text", F.lit(True).alias("new")).unionByName(
-        repeats.join(turns.select("conv_id", "ord", "role", "text"), ["conv_id", "ord"]).withColumn("new", F.lit(False))
-    )
+    said = turns.select(F.col("conv_id").alias("of"), F.col("ord").alias("at"), "role", "text")
+    again = repeats.join(said, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("ord") == F.col("at"))).drop("of", "at")
+    shown = turns.select("conv_id", "window", "ord", "role", "text", F.lit(True).alias("new")).unionByName(again.withColumn("new", F.lit(False)))
     opening = F.concat(F.lit(START), _escape_role(F.col("role")), F.lit("\n"))
     inside = Window.partitionBy("conv_id", "window").orderBy("ord")
     placed = (

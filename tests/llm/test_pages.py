@@ -119,6 +119,8 @@ def test_windows_read_back_whole(spark):
         got[2] += len(r.turns)
         assert len(r.turns) > 0
     assert {k: tuple(v) for k, v in back.items()} == digests(rows)
+    many = chat.windows(spark.createDataFrame([(None, t, "system" if t == 0 else "user", "w " * 50) for t in range(9)], TALK), budget=200, history=60)
+    assert sorted(r.n_repeated for r in many.collect())[1:] == [2] * (many.count() - 1)
 
 
 def test_windows_keep_to_the_budget(spark):
