@@ -64,7 +64,6 @@ class Block:
     text: str
     chrome: bool
     article: bool
-    element: int
 
 
 @dataclass
@@ -75,17 +74,14 @@ class Element:
     path: int
     chrome: bool
     article: bool
-    number: int
 
 
 @dataclass
 class Page:
-    """Element paths and text blocks in order; parents[i] is the element around element i,
-    which always has the smaller number."""
+    """Element paths and text blocks in order."""
 
     elements: list[int] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
-    parents: list[int] = field(default_factory=lambda: [0])
 
 
 def token(*parts: str) -> int:
@@ -110,7 +106,7 @@ def _is_chrome(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
 def parse(source: str) -> Page:
     """Elements and text blocks of a page in order; unclosed and stray tags are tolerated."""
     page, pending, at, n = Page(), [], 0, len(source)
-    stack = [Element("", 0, False, False, 0)]
+    stack = [Element("", 0, False, False)]
     opened: Counter = Counter()
 
     def flush() -> None:
@@ -119,7 +115,7 @@ def parse(source: str) -> Page:
             pending.clear()
             if text:
                 top = stack[-1]
-                page.blocks.append(Block(top.path, text, top.chrome, top.article, top.number))
+                page.blocks.append(Block(top.path, text, top.chrome, top.article))
 
     while at < n:
         m = _TOKEN.search(source, at)
@@ -156,9 +152,8 @@ def parse(source: str) -> Page:
         path = token(str(parent.path), name)
         page.elements.append(path)
         if tag not in VOID and not m[3].endswith("/"):
-            page.parents.append(parent.number)
             opened[tag] += 1
-            stack.append(Element(tag, path, parent.chrome or chrome, parent.article or tag in ("article", "main"), len(page.parents) - 1))
+            stack.append(Element(tag, path, parent.chrome or chrome, parent.article or tag in ("article", "main")))
     flush()
     return page
 
@@ -176,21 +171,10 @@ def page_tokens(page: Page) -> tuple[Counter, dict[int, bool]]:
 
 def main_text(page: Page, template: set[int]) -> str:
     """Blocks that no template class and no chrome element holds: those of the article if
-    there is one, else those of the element where most of the text stands."""
+    there is one, else all of them."""
     left = [b for b in page.blocks if not b.chrome and token("text", str(b.path), b.text) not in template]
     if any(b.article for b in left):
         left = [b for b in left if b.article]
-    elif left:
-        mass, inside = [0] * len(page.parents), [False] * len(page.parents)
-        for b in left:
-            mass[b.element] += len(b.text)
-        whole = sum(mass)
-        for e in range(len(mass) - 1, 0, -1):
-            mass[page.parents[e]] += mass[e]
-        deepest = max(e for e, m in enumerate(mass) if m >= 0.6 * whole)
-        for e, around in enumerate(page.parents):
-            inside[e] = e == deepest or (e > 0 and inside[around])
-        left = [b for b in left if inside[b.element]]
     return "\n".join(b.text for b in left)
 
 

@@ -176,6 +176,17 @@ def test_template_text_goes_where_no_article_tells(spark):
     assert got == {i: f"Story {i} goes on and on and on for long\nand ends {i} here, as stories do" for i in range(6)}
 
 
+def test_all_paragraphs_stay_where_no_article_tells(spark):
+    long = "A long body that goes on " * 20
+    rows = [
+        (1, "http://one.org/", f"<div><h1>Title</h1><p>short lead</p><p>{long}</p></div>"),
+        (2, "http://two.org/", f"<div class=a><p>{long}</p><p>{long}</p></div><div class=b><p>the smaller part</p></div>"),
+    ]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    body = long.strip()
+    assert got == {1: f"Title\nshort lead\n{body}", 2: f"{body}\n{body}\nthe smaller part"}
+
+
 def test_copied_articles_stay(spark):
     rows = [(i, f"http://h.org/{i}", page(i, "<article><p>The very same text on all pages</p></article>")) for i in range(5)]
     assert {r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()} == {"The very same text on all pages"}
