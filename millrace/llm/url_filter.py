@@ -2,6 +2,8 @@
 
 Trust starts at hosts with allowed pages and follows links; distrust starts at hosts with
 blocked pages and follows links backwards. Both are personalised PageRanks over host edges.
+PageRank shares a mass out, so it falls with the number of linkers; what decides is instead
+the average over a host's links, which has the same scale on any graph.
 """
 
 from __future__ import annotations
@@ -107,13 +109,42 @@ def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, damping: flo
     return now.groupBy("host").agg(score("trust"), score("distrust"))
 
 
+def leanings(seeds: DataFrame, edges: DataFrame, scratch: Scratch, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    """(host, toward_trust, toward_distrust), each from 0 to 1, from seeds (host, trust,
+    distrust) and edges (src, dst, n).
+
+    A host has its own seeds; for the share of its pages that no rule decides, distrust is
+    the damped mean over its links of what they lead to, and trust that over the links to it.
+    Without edges the seeds are the answer.
+    """
+    start = scratch.save(
+        seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust)").alias("kind", "s")).where("s > 0")
+    )
+    both = edges.select(F.lit("trust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("from"), "n").union(
+        edges.select(F.lit("distrust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("from"), "n")
+    )
+    links = both.groupBy("kind", "host").agg(F.sum("n").alias("all"))
+    open_share = seeds.select("host", (1 - F.col("trust") - F.col("distrust")).alias("open"))
+    weight = damping * F.coalesce("open", F.lit(1.0)) * F.col("n") / F.col("all")
+    pulls = scratch.save(both.join(links, ["kind", "host"]).join(open_share, "host", "left").select("kind", "host", "from", weight.alias("p")))
+    now = start.withColumnRenamed("s", "x")
+    if not pulls.isEmpty():
+        for _ in range(rounds):
+            lent = now.withColumnRenamed("host", "from").join(pulls, ["kind", "from"]).select("kind", "host", (F.col("x") * F.col("p")).alias("x"))
+            now = start.select("kind", "host", F.col("s").alias("x")).union(lent.groupBy("kind", "host").agg(F.sum("x").alias("x")))
+            now = scratch.save(now.groupBy("kind", "host").agg(F.sum("x").alias("x")))
+    score = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("x"))), F.lit(0.0)).alias(f"toward_{kind}")
+    return now.groupBy("host").agg(score("trust"), score("distrust"))
+
+
 def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for each row of ``pages``.
 
     A rule ``host/path`` fits its host and all subdomains if the path starts with the
-    rule's; the longest fitting rule decides. Otherwise the host's scores do: its seeds are
-    the shares of its pages that rules allow and block, and the page is blocked if distrust
-    exceeds trust by more than ``threshold``. Pages without a host are allowed. Repeated
+    rule's; the longest fitting rule decides. Otherwise the host does: its seeds are the
+    shares of its pages that rules allow and block, and the page is blocked if the host's
+    leaning toward distrust exceeds that toward trust by more than ``threshold``. ``trust``
+    and ``distrust`` are its PageRanks. Pages without a host are allowed. Repeated
     rows are judged alike; null html has no links; extra columns are ignored. A host with a
     large share of all pages is split by partial aggregation and skew-join handling.
     """
@@ -127,9 +158,11 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, thres
     )
     share = lambda v: F.avg(F.when(F.col("by_rule") == v, 1.0).otherwise(0.0))
     seeds = ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = scratch.save(propagate(seeds, host_edges(plain), scratch))
+    seeds, edges = scratch.save(seeds), scratch.save(host_edges(plain))
+    scores = scratch.save(propagate(seeds, edges, scratch).join(leanings(seeds, edges, scratch), "host", "full"))
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
-    by_host = F.when(distrust - trust > threshold, "block").otherwise("allow")
+    toward_trust, toward_distrust = (F.coalesce(c, F.lit(0.0)) for c in ("toward_trust", "toward_distrust"))
+    by_host = F.when(toward_distrust - toward_trust > threshold, "block").otherwise("allow")
     return _with_hosts(ruled, scores).select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), trust.alias("trust"), distrust.alias("distrust")
     )

@@ -79,6 +79,17 @@ def test_hosts_that_link_to_blocked_ones_are_blocked(spark):
     assert got[10] == "block" and got[11] == "allow" and got[12] == "allow"
 
 
+def test_registered_threshold_blocks_link_farms(spark):
+    to = lambda *hosts: "".join(f"<a href='http://{h}/'>x</a>" for h in hosts)
+    rows = [(i, f"http://bad.net/es/{i}", "") for i in range(5)] + [(100 + i, f"http://farm{i}.org/", to("bad.net")) for i in range(12)]
+    rows += [(200 + i, f"http://most.net/es/{i}", "") for i in range(9)] + [(209, "http://most.net/x", ""), (210, "http://fan.org/", to("most.net"))]
+    rows += [(300, "http://list.org/", to("bad.net", *(f"other{i}.org" for i in range(9)))), (301, "http://half.net/es/1", ""), (302, "http://half.net/x", "")]
+    rows += [(303, "http://good.com/", to("liked.org")), (304, "http://liked.org/", to("bad.net"))]
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[100 + i] == "block" for i in range(12)) and got[209] == got[210] == "block"
+    assert [got[i] for i in (300, 302, 304)] == ["allow"] * 3
+
+
 def test_edges_between_hosts(spark):
     page = """<A HREF="http://B.org/x">1</A><a href='//c.org'>2</a><a href=https://d.org>3</a><a href="/own">4</a><a href="http://a.org/self">5</a>"""
     df = spark.createDataFrame([("a.org", page), ("a.org", None)], "host string, html string")
