@@ -20,9 +20,6 @@ from millrace.llm.scratch import Scratch
 VOCABULARY, CLASSES, HIDDEN = 1024, 32, 16
 #: Words whose counts every task holds; counts of rarer words are joined.
 HOT_WORDS = 1 << 18
-#: Share of the training documents, by a hash of doc_id, that the recurrent weights are
-#: fitted on; it grows with the input. Counts and output classes come from all of them.
-TRAIN_SHARE = 0.25
 #: Bounded sample that the common start is fitted on.
 WARM_DOCS = 400
 
@@ -113,8 +110,8 @@ def hot_counts(counts: DataFrame, total: int) -> Counts:
 
 
 def fit(docs: DataFrame, counts: Counts) -> Gru:
-    """The recurrent model: fitted on a small sample, then on in every partition of the
-    training share, and averaged by tokens seen. docs has doc_id and text, training only."""
+    """The recurrent model: fitted on a small sample, then on in every partition on all
+    documents, and averaged by tokens seen. docs has doc_id and text, training only."""
     model = Gru.start(counts.frequencies, counts.edges, HIDDEN)
     sample = docs.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").select("text").limit(WARM_DOCS)
     keys, offsets = tokens(sample.toArrow()["text"])
@@ -131,8 +128,7 @@ def fit(docs: DataFrame, counts: Counts) -> Gru:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([own.vector()])], names=["n", "v"])
 
-    share = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(TRAIN_SHARE * (1 << 20))).select("text")
-    replicas = share.mapInArrow(run, "n double, v array<double>").select("n", F.posexplode("v").alias("at", "x"))
+    replicas = docs.select("text").mapInArrow(run, "n double, v array<double>").select("n", F.posexplode("v").alias("at", "x"))
     mean = replicas.groupBy("at").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x")).toArrow()
     if not len(mean):
         return model
