@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.sources.shared import shared_dir
+
 
 class PageParser(HTMLParser):
     """Title, body text and link targets. The tag that opened last decides what text counts
@@ -108,27 +110,26 @@ def blocked(url: Column, prefixes: list[str], patterns: list[str]) -> Column:
     return out
 
 
-def frontier(links: DataFrame, start: list[str], blocked_by: Column | None = None, rounds: int = 50) -> DataFrame:
+def frontier(links: DataFrame, start: list[str], blocked_by: Column | None = None) -> DataFrame:
     """(url, depth) of all that can be reached from ``start`` over links (src, dst), breadth
     first. A url counts as visited with or without a closing slash. Each round joins only
-    the newest urls, and its result is written out, so the plan does not grow."""
+    the newest urls, and its result is written out, so the plan does not grow; rounds end
+    when nothing new is found."""
     spark = links.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     key = lambda c: F.regexp_replace(c, "(?<=.)/$", "")
     edges = links.select("src", "dst").distinct()
     seen = spark.createDataFrame([(u, 0) for u in start], "url string, depth int").withColumn("key", key("url"))
     newest = seen
-    for depth in range(1, rounds + 1):
+    depth = 0
+    while not newest.isEmpty():
+        depth += 1
         step = newest.join(edges, newest.url == edges.src).select(F.col("dst").alias("url"), F.lit(depth).alias("depth"))
         if blocked_by is not None:
             step = step.where(~blocked_by)
         step = step.withColumn("key", key("url")).groupBy("key").agg(F.min("url").alias("url"), F.min("depth").alias("depth"))
         newest = step.join(seen.select("key"), "key", "left_anti").select("url", "depth", "key").checkpoint()
-        if newest.isEmpty():
-            break
         seen = seen.union(newest)
     return seen.select("url", "depth")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import timedelta
 
@@ -11,13 +10,13 @@ from pyspark.sql import functions as F
 
 from millrace.operators.queues import lock
 from millrace.registry import query
+from millrace.sources.shared import shared_dir
 from millrace.streaming import queues as S
 
 
 def _folder(spark: SparkSession) -> str:
     """A fresh folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("queue_drain_batch", "SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN event_type || ':' || event_id END AS effect FROM events")
