@@ -60,6 +60,13 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _octets(span: str) -> list[int]:
+    """The numbers of a span in dots; one of more than three digits counts as 999. A text
+    may hold runs of digits of any length, so no run is read as a number before its length is known."""
+    runs = (p.lstrip("0") for p in re.findall(r"[0-9]+", span))
+    return [int(p or "0") if len(p) <= 3 else 999 for p in runs]
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -89,7 +96,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the fixed patterns, leftmost and without overlap in a kind."""
     out = [(0, a, b) for a, b in _emails(text)]
-    out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, *m.span()) for m in _IP.finditer(text) if max(_octets(m[0])) <= 255]
     for m in _CARD.finditer(text):
         d = _digits(m[0])
         if 13 <= len(d) <= 19 and luhn(d):
@@ -99,17 +106,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Further proposals that overlap neither a base span nor one another."""
+    """Further proposals that overlap neither a base span nor one another. Matches of a
+    pattern come in order, so one walk along the sorted spans before it finds overlaps."""
     taken = sorted((a, b) for _, a, b in base)
     out = []
     for kind, pattern in ((0, _SPELLED), (1, _SPACED_IP), (2, _SPACED_CARD), (2, _CARD), (2, _PLAIN_CARD), (3, _PHONE), (3, _LOCAL_PHONE)):
+        at, reach, new = 0, 0, []
         for m in pattern.finditer(text):
             a, b = m.span()
             if pattern is _CARD and not 13 <= b - a - m[0].count(" ") - m[0].count("-") <= 19:
                 continue
-            if all(b <= x or a >= y for x, y in taken):
-                taken.append((a, b))
-                out.append((kind, a, b))
+            while at < len(taken) and taken[at][0] < b:
+                reach = max(reach, taken[at][1])
+                at += 1
+            if reach <= a:
+                new.append((a, b))
+        taken = sorted(taken + new)
+        out += [(kind, a, b) for a, b in new]
     return out
 
 
@@ -123,7 +136,7 @@ def votes(text: str, kind: int, start: int, end: int, fixed: bool) -> tuple[int,
         check = 2 if 13 <= len(digits) <= 19 and luhn(digits) else 0
         known = 2 if digits.startswith(_ISSUERS) else 0
     elif name == "ip":
-        parts = [int(p) for p in re.findall(r"[0-9]{1,3}", span)]
+        parts = _octets(span)
         check = 2 if len(parts) == 4 and max(parts) <= 255 else 0
         known = 0 if parts[:1] == [0] or parts == [0, 0, 0, 0] else 2 if len(digits) > 6 else 1
     elif name == "phone":
@@ -189,66 +202,73 @@ def train_classifier(kind: np.ndarray, vote: np.ndarray, bits: np.ndarray, p: np
     return x @ w
 
 
-def proposals(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, loose): arrays of (kind, start, stop, pattern) over each whole text."""
-    item = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("pattern", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text")
-            worth = pc.fill_null(pc.match_substring_regex(texts, _WORTH_READING), False)
-            base, loose = [[] for _ in range(len(texts))], [[] for _ in range(len(texts))]
-            for i in np.flatnonzero(worth.to_numpy(zero_copy_only=False)).tolist():
-                text = texts[i].as_py()
-                own = base_spans(text)
-                for spans, out, fixed in ((own, base, True), (loose_spans(text, own), loose, False)):
-                    out[i] = [(k, s, e, pattern_id(k, *votes(text, k, s, e, fixed))) for k, s, e in sorted(spans)]
-            as_items = lambda rows: pa.array([[dict(zip(("kind", "start", "stop", "pattern"), s, strict=True)) for s in r] for r in rows], pa.list_(item))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), as_items(base), as_items(loose)], names=["doc_id", "base", "loose"])
-
-    shape = "array<struct<kind: int, start: long, stop: long, pattern: int>>"
-    return docs.mapInArrow(run, f"doc_id long, base {shape}, loose {shape}")
-
-
-def _judged(docs: DataFrame) -> tuple[DataFrame, list[int]]:
-    """The proposals of ``docs``, and the patterns of loose ones that the classifier accepts."""
-    scratch = Scratch(docs.sparkSession, "pii")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = scratch.save(proposals(plain))
-    counts = found.select(F.explode(F.concat("base", "loose")).alias("s")).groupBy(F.col("s.pattern").alias("pattern")).count().orderBy("pattern").collect()
-    accepted: list[int] = []
-    if counts:
-        ids, n = np.array([r.pattern for r in counts]), np.array([float(r["count"]) for r in counts])
-        kind, vote, bits = _unpack(ids)
-        p, _ = estimate_reliabilities(vote, n)
-        accepted = ids[train_classifier(kind, vote, bits, p, n) >= 0].tolist()
-    return found, accepted
+_SPANS = "array<struct<kind: int, start: long, stop: long, pattern: int>>"
+_ITEM = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("pattern", pa.int32())])
+
+
+def _proposed(texts: pa.Array) -> pa.Array:
+    """(base, loose) of each text: lists of (kind, start, stop, pattern)."""
+    worth = pc.fill_null(pc.match_substring_regex(texts, _WORTH_READING), False)
+    base, loose = [[] for _ in range(len(texts))], [[] for _ in range(len(texts))]
+    for i in np.flatnonzero(worth.to_numpy(zero_copy_only=False)).tolist():
+        text = texts[i].as_py()
+        own = base_spans(text)
+        for spans, out, fixed in ((own, base, True), (loose_spans(text, own), loose, False)):
+            out[i] = [(k, s, e, pattern_id(k, *votes(text, k, s, e, fixed))) for k, s, e in sorted(spans)]
+    as_items = lambda rows: pa.array([[dict(zip(("kind", "start", "stop", "pattern"), s, strict=True)) for s in r] for r in rows], pa.list_(_ITEM))
+    return pa.StructArray.from_arrays([as_items(base), as_items(loose)], names=["base", "loose"])
+
+
+def proposals(text: Column) -> Column:
+    """A struct of base and loose spans of each whole text. Texts go to Python, spans come back."""
+    return F.arrow_udf(_proposed, f"base {_SPANS}, loose {_SPANS}")(text.cast("string"))
+
+
+def _accepted(found: DataFrame, spans: Column) -> list[int]:
+    """The patterns of loose proposals that the classifier accepts, from the counts of all
+    vote patterns in ``found``, whose column ``spans`` is a struct of base and loose."""
+    counts = found.select(F.explode(F.concat(spans["base"], spans["loose"])).alias("s")).groupBy(F.col("s.pattern").alias("pattern")).count().orderBy("pattern").collect()
+    if not counts:
+        return []
+    ids, n = np.array([r.pattern for r in counts]), np.array([float(r["count"]) for r in counts])
+    kind, vote, bits = _unpack(ids)
+    p, _ = estimate_reliabilities(vote, n)
+    return ids[train_classifier(kind, vote, bits, p, n) >= 0].tolist()
+
+
+def _taken(spans: Column, accepted: list[int]) -> Column:
+    """Base spans and accepted loose ones, by kind and start."""
+    take = F.array(*[F.lit(i) for i in accepted]).cast("array<int>")
+    more = F.filter(spans["loose"], lambda s: F.array_contains(take, s.pattern))
+    return F.array_sort(F.transform(F.concat(spans["base"], more), _plain))
+
+
+def _plain(s: Column) -> Column:
+    return F.struct(s.kind.alias("kind"), s.start.alias("start"), s.stop.alias("stop"))
 
 
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``find_spans`` replaced by its kind in brackets, and
-    n_chars, if there is such a column, counted anew for texts that changed. The spans are
-    found again where the text stands, so no text is shuffled."""
-    _, accepted = _judged(docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = set(accepted)
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            worth = pc.fill_null(pc.match_substring_regex(b.column("text"), _WORTH_READING), False).to_numpy(zero_copy_only=False)
-            for i in np.flatnonzero(worth).tolist():
-                own = base_spans(texts[i])
-                more = [(k, s, e) for k, s, e in loose_spans(texts[i], own) if pattern_id(k, *votes(texts[i], k, s, e, False)) in keep]
-                texts[i] = replace_spans(texts[i], own + more)
-            at = b.schema.get_field_index("text")
-            b = b.set_column(at, "text", pa.array(texts, b.schema.field("text").type))
-            if "n_chars" in b.schema.names:
-                at = b.schema.get_field_index("n_chars")
-                n = [len(texts[i]) if w else old for i, (w, old) in enumerate(zip(worth.tolist(), b.column("n_chars").to_pylist(), strict=True))]
-                b = b.set_column(at, "n_chars", pa.array(n, b.schema.field("n_chars").type))
-            yield b
-
-    return docs.mapInArrow(run, docs.schema)
+    n_chars, if there is such a column, counted anew for texts that changed. Each row is
+    written out with its proposals, so they are found once and no text is shuffled."""
+    name = "spans"
+    while name in docs.columns:
+        name += "_"
+    text = F.col("text")
+    found = Scratch(docs.sparkSession, "pii").save(docs.withColumn(name, proposals(text)))
+    spans = _taken(F.col(name), _accepted(found, F.col(name)))
+
+    def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
+        return pa.array([None if t is None else replace_spans(t, [(s["kind"], s["start"], s["stop"]) for s in own]) for t, own in rows], pa.string())
+
+    # only texts with spans go to Python
+    hit = F.size(spans) > 0
+    new = F.arrow_udf(run, "string")(F.when(hit, text.cast("string")), spans)
+    out = found.withColumn("text", F.when(hit, new.cast(docs.schema["text"].dataType)).otherwise(text))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(name)
 
 
 def replace_spans(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -269,15 +289,11 @@ def find_spans(docs: DataFrame) -> DataFrame:
     only their counts reach the driver. Null and empty texts have no spans. Each row is
     judged by itself, repeated rows and null ids included; extra columns are ignored.
     """
-    found, accepted = _judged(docs)
-    plain_span = lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.stop.alias("stop"))
-    take = F.array(*[F.lit(i) for i in accepted]).cast("array<int>")
-    more = F.filter("loose", lambda s: F.array_contains(take, s.pattern))
-    return found.select(
-        "doc_id",
-        F.transform("base", plain_span).alias("base"),
-        F.array_sort(F.transform(F.concat("base", more), plain_span)).alias("spans"),
-    )
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), proposals(F.col("text")).alias("spans"))
+    found = Scratch(docs.sparkSession, "pii").save(found)
+    spans = F.col("spans")
+    accepted = _accepted(found, spans)
+    return found.select("doc_id", F.transform(spans["base"], _plain).alias("base"), _taken(spans, accepted).alias("spans"))
 
 
 def describe(spans: Column) -> Column:
