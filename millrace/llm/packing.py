@@ -53,22 +53,35 @@ class Encoder:
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
+        self.at = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int64)
+        self.bytes = np.zeros(0, np.uint8)
         self.base = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, parts: list[str]) -> None:
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def _learn(self, keys: np.ndarray, parts: list[bytes]) -> None:
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
         size = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
         ids = np.fromiter((t for x in coded for t in x), dtype=np.uint32, count=int(size.sum()))
-        base = len(self.pool) + np.cumsum(size) - size
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys)
+        length = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        order = np.argsort(keys := np.concatenate([self.keys, keys]))
+        grown = lambda old, new, end: np.concatenate([old, end + np.cumsum(new) - new])[order]
         self.keys = keys[order]
-        self.base = np.concatenate([self.base, base])[order]
+        self.at = grown(self.at, length, len(self.bytes))
+        self.base = grown(self.base, size, len(self.pool))
+        self.length = np.concatenate([self.length, length])[order]
         self.size = np.concatenate([self.size, size])[order]
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(parts), np.uint8)])
         self.pool = np.concatenate([self.pool, ids])
 
+    def _alike(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray) -> bool:
+        """Whether every stretch has the very bytes that its ids were learned from."""
+        length = ends - starts
+        if (length != self.length[place]).any():
+            return False
+        return bool((self.bytes[np.repeat(self.at[place] - starts, length) + np.arange(len(raw))] == raw).all())
+
     def rows(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of a run of rows, row offsets into them), each row closed by end_id."""
         raw_all, offsets = textvec.flat(texts)
@@ -79,7 +92,7 @@ class Encoder:
             begins[_safe_spaces(raw)] = True
             begins[own] = True
             starts = np.flatnonzero(begins[:-1])
-            ends = np.append(starts[1:], len(raw))
+            ends = np.append(starts[1:], len(raw)) if len(starts) else starts
             keys, at, which = np.unique(textvec.span_hash(raw, starts, ends), return_index=True, return_inverse=True)
             if len(self.keys) > KEPT_STRETCHES:
                 self._forget()
@@ -89,13 +102,20 @@ class Encoder:
             known[inside] = self.keys[place[inside]] == keys[inside]
             if not known.all():
                 data, new = raw.tobytes(), at[~known]
-                parts = [data[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-                self._learn(keys[~known], parts)
+                self._learn(keys[~known], [data[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
                 place = np.searchsorted(self.keys, keys)
-            base, size = self.base[place][which], self.size[place][which]
-            filled = np.concatenate([[0], np.cumsum(size)])
-            ids = self.pool[np.repeat(base - filled[:-1], size) + np.arange(filled[-1])]
-            row_ids = filled[np.searchsorted(starts, own)]
+            place = place[which]
+            if self._alike(raw, starts, ends, place):
+                base, size = self.base[place], self.size[place]
+                filled = np.concatenate([[0], np.cumsum(size)])
+                ids = self.pool[np.repeat(base - filled[:-1], size) + np.arange(filled[-1])]
+                row_ids = filled[np.searchsorted(starts, own)]
+            else:  # two stretches share a hash
+                data = raw.tobytes()
+                whole = [data[a:b].decode() for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
+                coded = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+                row_ids = np.concatenate([[0], np.cumsum([len(x) for x in coded])]).astype(np.int64)
+                ids = np.fromiter((t for x in coded for t in x), dtype=np.uint32, count=int(row_ids[-1]))
             yield i, np.insert(ids, row_ids[1:], np.uint32(self.end_id)), row_ids + np.arange(len(row_ids))
 
 
