@@ -176,6 +176,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, n), b.column("quality").slice(first, n), lists], names=["doc_id", "quality", "x"])
 
     shown = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
+    # rows that share a doc_id count as one, so that TRAIN_PER_CLASS bounds texts and not ids
+    shown = shown.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("quality").alias("quality"))
     table = shown.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id long, quality int, x array<int>").toArrow()
     order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
     y = np.where(table["quality"].to_numpy()[order] == 1, 1, -1)
@@ -190,7 +192,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``.
 
     Only the text feeds a score. At most TRAIN_PER_CLASS labelled texts of each class are
-    learned from, none of them held out (crc32 of doc_id mod 3 is 1). Without labels of
+    learned from, none of them held out (crc32 of doc_id mod 3 is 1); of rows that share a
+    doc_id the smallest text. Without labels of
     both classes every text has the share of label 1 (0.5 without labels). Empty and null
     texts have no indicators and get the bias alone. Rows with a null doc_id are scored,
     never learned from and not held out. Extra columns are ignored.
