@@ -9,8 +9,8 @@ from dataclasses import dataclass, fields
 import numpy as np
 
 WINDOW = 32
-#: Documents that step through time together.
-LANES = 2048
+#: Documents that step through time together, in scoring and in training.
+LANES, TRAIN_LANES = 2048, 256
 F32 = np.float32
 
 
@@ -69,31 +69,35 @@ def _step(m: Gru, h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
     return c + z * (h - c), z, r, c, u[:, 2 * n :]
 
 
-def _softmax_parts(m: Gru, states: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(class, rows whose word is in it, within-class logits, word places) class by class."""
-    own = np.searchsorted(m.edges, words, side="right") - 1
-    order = np.argsort(own, kind="stable")
-    cuts = np.searchsorted(own[order], np.arange(len(m.edges)))
-    for k in range(len(m.edges) - 1):
-        rows = order[cuts[k] : cuts[k + 1]]
-        if len(rows):
-            lo, hi = m.edges[k], m.edges[k + 1]
-            yield k, rows, states[rows] @ m.to_word[:, lo:hi] + m.word_bias[lo:hi], words[rows] - lo
+def _exp_scores(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each row less its largest value, in place, and the row sums."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    return x, x.sum(axis=1)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _by_class(m: Gru, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """(order that sorts words by class, class of each word so sorted, (class, from, to))."""
+    own = np.searchsorted(m.edges, words, side="right") - 1
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    cuts = np.searchsorted(own, np.arange(len(m.edges))).tolist()
+    return order, own, [(k, cuts[k], cuts[k + 1]) for k in range(len(m.edges) - 1) if cuts[k] < cuts[k + 1]]
 
 
 def log_probs(m: Gru, states: np.ndarray, words: np.ndarray) -> np.ndarray:
     """ln p(word | state): that of its class times that within the class."""
-    by_class = _log_softmax(states @ m.to_class + m.class_bias)
-    out = np.zeros(len(words))
-    for k, rows, logits, place in _softmax_parts(m, states, words):
-        out[rows] = by_class[rows, k]
-        if logits.shape[1] > 1:
-            out[rows] += _log_softmax(logits)[np.arange(len(rows)), place]
+    order, own, runs = _by_class(m, words)
+    states, words = states[order], words[order]
+    e, total = _exp_scores(states @ m.to_class + m.class_bias)
+    p = np.log(e[np.arange(len(own)), own]) - np.log(total)
+    for k, a, b in runs:
+        lo, hi = m.edges[k], m.edges[k + 1]
+        if hi - lo > 1:
+            e, total = _exp_scores(states[a:b] @ m.to_word[:, lo:hi] + m.word_bias[lo:hi])
+            p[a:b] += np.log(e[np.arange(b - a), words[a:b] - lo]) - np.log(total)
+    out = np.empty(len(order))
+    out[order] = p
     return out
 
 
@@ -126,16 +130,22 @@ def score(m: Gru, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total
 
 
-def train(m: Gru, words: np.ndarray, offsets: np.ndarray, rate: float, lanes: int = 128) -> Gru:
-    """One pass of truncated backpropagation over the rows, with Adagrad. Gradients stop at
-    the border of a window, the state does not."""
-    m = m.with_vector(m.vector())
-    squares = {n: np.full(getattr(m, n).shape, 1e-4, F32) for n in m.trained()}
-    for rows, starts, length in _lanes(words, offsets, lanes):
-        h = np.repeat(m.first[None, :], len(rows), axis=0)
-        for t0 in range(0, int(length[0]), WINDOW):
-            h = _window(m, squares, h, words, starts, length, t0, rate)
-    return m
+class Trainer:
+    """Truncated backpropagation with Adagrad on a copy of a model; gradients stop at the
+    border of a window, the state does not."""
+
+    def __init__(self, start: Gru, rate: float):
+        self.model = start.with_vector(start.vector())
+        self.rate = rate
+        self.squares = {n: np.full(getattr(start, n).shape, 1e-4, F32) for n in start.trained()}
+
+    def learn(self, words: np.ndarray, offsets: np.ndarray, lanes: int = TRAIN_LANES) -> None:
+        """One pass over the rows."""
+        m = self.model
+        for rows, starts, length in _lanes(words, offsets, lanes):
+            h = np.repeat(m.first[None, :], len(rows), axis=0)
+            for t0 in range(0, int(length[0]), WINDOW):
+                h = _window(m, self.squares, h, words, starts, length, t0, self.rate)
 
 
 def _window(m: Gru, squares: dict, h: np.ndarray, words: np.ndarray, starts: np.ndarray, length: np.ndarray, t0: int, rate: float) -> np.ndarray:
@@ -148,24 +158,28 @@ def _window(m: Gru, squares: dict, h: np.ndarray, words: np.ndarray, starts: np.
         new, *kept = _step(m, h, w)
         tape.append((h, w, kept))
         h = new
-    states, seen = np.concatenate([x[0] for x in tape]), np.concatenate([x[1] for x in tape])
+    seen = np.concatenate([x[1] for x in tape])
+    order, own, runs = _by_class(m, seen)
+    states, target = np.concatenate([x[0] for x in tape])[order], seen[order]
     scale = F32(1 / len(seen))
 
-    grad = {name: np.zeros(getattr(m, name).shape, F32) for name in m.trained()}
-    by_class = np.exp(_log_softmax(states @ m.to_class + m.class_bias)) * scale
-    d_states = np.zeros_like(states)
-    for k, own, logits, place in _softmax_parts(m, states, seen):
-        by_class[own, k] -= scale
-        if logits.shape[1] > 1:
-            d = np.exp(_log_softmax(logits)) * scale
-            d[np.arange(len(own)), place] -= scale
-            lo, hi = m.edges[k], m.edges[k + 1]
-            d_states[own] += d @ m.to_word[:, lo:hi].T
-            grad["to_word"][:, lo:hi] = states[own].T @ d
-            grad["word_bias"][lo:hi] = d.sum(axis=0)
-    d_states += by_class @ m.to_class.T
-    grad["to_class"] = states.T @ by_class
-    grad["class_bias"] = by_class.sum(axis=0)
+    grad = {name: np.zeros(getattr(m, name).shape, F32) for name in ("inner", "first", "to_word", "word_bias")}
+    e, total = _exp_scores(states @ m.to_class + m.class_bias)
+    e *= (scale / total)[:, None]
+    e[np.arange(len(own)), own] -= scale
+    grad["to_class"], grad["class_bias"] = states.T @ e, e.sum(axis=0)
+    d_sorted = e @ m.to_class.T
+    for k, a, b in runs:
+        lo, hi = m.edges[k], m.edges[k + 1]
+        if hi - lo > 1:
+            e, total = _exp_scores(states[a:b] @ m.to_word[:, lo:hi] + m.word_bias[lo:hi])
+            e *= (scale / total)[:, None]
+            e[np.arange(b - a), target[a:b] - lo] -= scale
+            d_sorted[a:b] += e @ m.to_word[:, lo:hi].T
+            grad["to_word"][:, lo:hi] = states[a:b].T @ e
+            grad["word_bias"][lo:hi] = e.sum(axis=0)
+    d_states = np.empty_like(d_sorted)
+    d_states[order] = d_sorted
 
     at, back, d_gates = len(seen), np.zeros((0, n), F32), []
     for before, w, (z, r, c, u) in reversed(tape):
@@ -176,19 +190,22 @@ def _window(m: Gru, squares: dict, h: np.ndarray, words: np.ndarray, starts: np.
         d_c = d_new * (1 - z) * (1 - c * c)
         d_z = d_new * (before - c) * z * (1 - z)
         d_r = d_c * u * r * (1 - r)
-        d_x = np.concatenate([d_z, d_r, d_c], axis=1)
+        d_gates.append(np.concatenate([d_z, d_r, d_c], axis=1))
         d_u = np.concatenate([d_z, d_r, d_c * r], axis=1)
         grad["inner"] += before.T @ d_u
-        d_gates.append(d_x)
         back = d_new * z + d_u @ m.inner.T + d_states[at : at + live]
     if t0 == 0:
         grad["first"] = back.sum(axis=0)
-    np.add.at(grad["gates"], np.concatenate([x[1] for x in reversed(tape)]), np.concatenate(d_gates))
+    # gradients of equal words are added up over sorted runs
+    given = np.concatenate(d_gates[::-1])[np.argsort(seen, kind="stable")]
+    held, first = np.unique(np.sort(seen), return_index=True)
+    grad["gates"] = np.add.reduceat(given, first, axis=0)
 
     size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
     shrink = F32(min(1.0, 1.0 / max(size, 1e-12)))
     for name, g in grad.items():
-        g = g * shrink
-        squares[name] += g * g
-        getattr(m, name)[...] -= F32(rate) * g / np.sqrt(squares[name])
+        at = held if name == "gates" else slice(None)
+        g *= shrink
+        squares[name][at] += g * g
+        getattr(m, name)[at] -= F32(rate) * g / np.sqrt(squares[name][at])
     return h

@@ -1,5 +1,7 @@
 """Language-model scores of whole documents: corpus counts, and a gated recurrent model
-that is trained in every partition from a common start and averaged."""
+that learns from every training text. Each round takes a part of the texts; every partition
+learns from its share of them, starting at the last round's average, and the results are
+averaged anew."""
 
 from __future__ import annotations
 
@@ -12,16 +14,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textvec
-from millrace.llm.gru import Gru, score, train
+from millrace.llm.gru import TRAIN_LANES, Gru, Trainer, score
 from millrace.llm.scratch import Scratch
 
 #: Sizes of the recurrent model: its most frequent words (the rest share one output, split
 #: by their counts), output classes and hidden units.
-VOCABULARY, CLASSES, HIDDEN = 1024, 32, 16
+VOCABULARY, CLASSES, HIDDEN = 8192, 96, 16
 #: Words whose counts every task holds; counts of rarer words are joined.
 HOT_WORDS = 1 << 18
-#: Bounded sample that the common start is fitted on.
-WARM_DOCS = 400
+#: Documents that one task fits the common start on, before the rounds.
+WARM_DOCS, WARM_LANES = 400, 16
+#: Learning rate of each round. A hash of doc_id deals the texts to the rounds, each text to one.
+RATES = (0.1, 0.1, 0.1, 0.05)
+#: Rows that a partition of a shuffle by word holds, so that partitions grow in number and not in size.
+SHUFFLE_ROWS = 2_000_000
+#: Bytes of texts that are worked on at once; a longer text is a run of its own.
+RUN_BYTES = 8 << 20
+#: Weights of a replica that are averaged together, and replicas that are added up at a time.
+CHUNK, FAN_IN = 4096, 256
 
 END_KEY = np.uint64(0x454E44)
 _U = np.uint64
@@ -45,7 +55,15 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(all_words, all_offsets[1:], END_KEY), all_offsets + np.arange(len(all_offsets))
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of batches whose texts are of bounded size together."""
+    for b in batches:
+        _, offsets = textvec.flat(b.column("text"))
+        for i, j in textvec.pieces(offsets, RUN_BYTES):
+            yield b.slice(i, j - i)
+
+
+def token_counts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, c) of each distinct token; a key is the token's 64-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +71,12 @@ def token_counts(docs: DataFrame) -> DataFrame:
             key, c = np.unique(tokens(b.column("text"))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c.astype(np.int64))], names=["key", "c"])
 
-    return docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    parts = scratch.save(docs.select("text").mapInArrow(run, "key long, c long"))
+    return parts.repartition(_partitions(parts.count()), "key").groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def _partitions(rows: int) -> int:
+    return max(1, -(-rows // SHUFFLE_ROWS))
 
 
 @dataclass
@@ -109,32 +132,55 @@ def hot_counts(counts: DataFrame, total: int) -> Counts:
     return Counts(keys, c, words, least, edges, frequencies)
 
 
-def fit(docs: DataFrame, counts: Counts) -> Gru:
-    """The recurrent model: fitted on a small sample, then on in every partition on all
-    documents, and averaged by tokens seen. docs has doc_id and text, training only."""
-    model = Gru.start(counts.frequencies, counts.edges, HIDDEN)
-    sample = docs.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").select("text").limit(WARM_DOCS)
-    keys, offsets = tokens(sample.toArrow()["text"])
-    if len(offsets) < 2:
-        return model
-    model = train(model, counts.ids(keys), offsets, rate=0.1, lanes=16)
+def learned_round(docs: DataFrame, model: Gru, counts: Counts, rate: float, lanes: int, scratch: Scratch) -> tuple[Gru, int, int]:
+    """(model, texts, tokens): every partition of ``docs`` learns on from ``model``; the
+    replicas' weights are averaged by the tokens they saw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = model, 0
-        for b in batches:
-            if len(b):
-                keys, offsets = tokens(b.column("text"))
-                own, seen = train(own, counts.ids(keys), offsets, rate=0.01), seen + len(keys)
+        from pyspark import TaskContext
+
+        own, texts, seen = Trainer(model, rate), 0, 0
+        for b in runs(batches):
+            keys, offsets = tokens(b.column("text"))
+            own.learn(counts.ids(keys), offsets, lanes)
+            texts, seen = texts + len(b), seen + len(keys)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([own.vector()])], names=["n", "v"])
+            v = own.model.vector() * seen
+            parts = [v[a : a + CHUNK] for a in range(0, len(v), CHUNK)]
+            n = len(parts)
+            group = TaskContext.get().partitionId() // FAN_IN
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([group] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([texts] * n, pa.int64()), pa.array([seen] * n, pa.int64()), pa.array(parts, pa.list_(pa.float64()))],
+                names=["grp", "at", "texts", "seen", "v"],
+            )
 
-    replicas = docs.select("text").mapInArrow(run, "n double, v array<double>").select("n", F.posexplode("v").alias("at", "x"))
-    mean = replicas.groupBy("at").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x")).toArrow()
-    if not len(mean):
-        return model
-    v = np.empty(len(mean))
-    v[mean["at"].to_numpy()] = mean["x"].to_numpy()
-    return model.with_vector(v)
+    def add(t: pa.Table) -> pa.Table:
+        whole = np.sum([x.values.to_numpy() for x in t["v"]], axis=0)
+        sums = [pa.array([sum(t[c].to_pylist())], pa.int64()) for c in ("texts", "seen")]
+        return pa.table([t["grp"].slice(0, 1), t["at"].slice(0, 1), *sums, pa.array([whole], pa.list_(pa.float64()))], names=["grp", "at", "texts", "seen", "v"])
+
+    shape = "grp long, at long, texts long, seen long, v array<double>"
+    replicas = scratch.save(docs.select("text").mapInArrow(run, shape))
+    sums = replicas.groupBy("grp", "at").applyInArrow(add, shape).withColumn("grp", F.lit(0).cast("long")).groupBy("grp", "at").applyInArrow(add, shape)
+    rows = sums.orderBy("at").toArrow()
+    scratch.drop(replicas)
+    if not len(rows):
+        return model, 0, 0
+    seen = rows["seen"][0].as_py()
+    return model.with_vector(np.concatenate([x.values.to_numpy() for x in rows["v"]]) / seen), rows["texts"][0].as_py(), seen
+
+
+def fit(docs: DataFrame, counts: Counts, scratch: Scratch) -> tuple[Gru, int]:
+    """(model, texts learned from in the rounds). docs has doc_id and text, training only.
+    The weights depend on how ``docs`` is partitioned, less so the more rounds there are."""
+    model, texts = Gru.start(counts.frequencies, counts.edges, HIDDEN), 0
+    sample = docs.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(WARM_DOCS).repartition(1)
+    model, _, _ = learned_round(sample, model, counts, RATES[0], WARM_LANES, scratch)
+    for r, rate in enumerate(RATES):
+        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(len(RATES))) == r)
+        model, n, _ = learned_round(part, model, counts, rate, TRAIN_LANES, scratch)
+        texts += n
+    return model, texts
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -142,7 +188,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     Tokens are words and one end per text; a null or empty text is its end alone. Nothing
     is learned from held-out rows (crc32 of doc_id mod 7 is 2) nor from rows with a null
-    doc_id. ``base_score`` is the add-one unigram log10 probability; ``score`` that of the
+    doc_id; counts and weights come from all others. ``base_score`` is the add-one unigram log10 probability; ``score`` that of the
     recurrent model over the whole text, where a word outside its vocabulary has the
     probability of "another word" times its share among those. Repeated rows are scored
     alike and counted each; an empty table gives an empty result; extra columns are ignored.
@@ -150,10 +196,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lm")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     learned = plain.where(in_training(F.col("doc_id")))
-    counts = scratch.save(token_counts(learned))
+    counts = scratch.save(token_counts(learned, scratch))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     hot = hot_counts(counts, n)
-    model = fit(learned, hot)
+    model, _ = fit(learned, hot, scratch)
     in_model = hot.words > 0
     others = (n - int(hot.counts[in_model].sum())) + (v - int(in_model.sum())) + 1
     logs = np.log10(hot.counts + 1.0)
@@ -162,7 +208,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         uid = TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in runs(batches):
             keys, offsets = tokens(b.column("text"))
             rows = len(offsets) - 1
             row = np.repeat(np.arange(rows), np.diff(offsets))
@@ -190,9 +236,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     schema = "uid long, doc_id long, n_tokens long, n_hot long, logs double, model_logs double, n_other long, p double, cold array<long>"
     scored = scratch.save(plain.mapInArrow(run, schema))
     cold = counts.where(F.col("c") < hot.least)
+    size = _partitions(scored.agg(F.coalesce(F.sum(F.size("cold")), F.lit(0))).first()[0])
     rest = (
         scored.select("uid", F.explode("cold").alias("key"))
-        .join(cold, "key")
+        .repartition(size, "key")
+        .join(cold.repartition(size, "key"), "key")
         .groupBy("uid")
         .agg(F.count("*").alias("n_cold"), F.sum(F.log10(F.col("c") + 1.0)).alias("cold_logs"))
     )
