@@ -2,8 +2,9 @@
 
 Trust starts at hosts with allowed pages and follows links; distrust starts at hosts with
 blocked pages and follows links backwards. Both are personalised PageRanks over host edges.
-PageRank shares a mass out, so it falls with the number of linkers; what decides is instead
-the average over a host's links, which has the same scale on any graph.
+PageRank shares a mass out, so it falls with the number of linkers; what decides is the
+share of a host's incoming rank that stems from such seeds, out of the rank that it has
+when every host is a seed. That share is between 0 and 1 on a graph of any size.
 """
 
 from __future__ import annotations
@@ -25,7 +26,11 @@ RULES = (
     ("net/fr/", "block"),
 )
 
-DAMPING, ROUNDS, THRESHOLD = 0.85, 20, 0.5
+DAMPING, THRESHOLD = 0.85, 0.5
+#: Rounds end when no host receives more than this part of what one host starts with. As a
+#: round passes on DAMPING of what moved, about log(TOLERANCE / hosts) / log(DAMPING) rounds
+#: do at most. So many rounds are planned as one job.
+TOLERANCE, ROUNDS = 1e-3, 5
 
 #: Tables of so many hosts are broadcast; larger ones are joined by a shuffle, whose skewed
 #: partitions adaptive execution splits.
@@ -79,62 +84,49 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) from seeds (host, trust, distrust) and edges (src, dst, n).
+def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust, from_trust, from_distrust) from seeds (host, trust, distrust)
+    and edges (src, dst, n).
 
-    Scores are on the seeds' scale: they add up to what the seeds add up to. A host without
-    onward links gives its share back to the seeds. Without edges the seeds are the answer.
+    ``trust`` and ``distrust`` are personalised PageRanks, along links and against them: a
+    seed starts with (1 - damping) of its value, and every host passes ``damping`` of its
+    rank on in proportion to its links; what a host without onward links would pass on is
+    lost. ``from_trust`` is the part of the rank coming in over links that stems from trust
+    seeds, out of what comes in when all hosts are seeds of 1; ``from_distrust`` likewise.
+    Rounds add what still moves, until at every host that is at most ``tolerance`` of what
+    one host starts with.
     """
-    start = scratch.save(
-        seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust)").alias("kind", "s")).where("s > 0")
+    nodes = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
+    given = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    start = nodes.join(seeds, "host", "left").select(
+        "host", F.explode(F.array(F.struct(F.lit(True).alias("forth"), given("trust").alias("s")), F.struct(F.lit(False).alias("forth"), given("distrust").alias("s")))).alias("k")
     )
-    both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").union(
-        edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "n")
+    columns = ("came", "came_all", "moves", "moves_all")
+    nothing = F.lit(0.0)
+    start = scratch.save(start.select("host", "k.forth", nothing.alias("came"), nothing.alias("came_all"), ((1 - damping) * F.col("k.s")).alias("moves"), F.lit(1 - damping).alias("moves_all")))
+    both = edges.select(F.lit(True).alias("forth"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").union(
+        edges.select(F.lit(False).alias("forth"), F.col("dst").alias("host"), F.col("src").alias("to"), "n")
     )
-    out = both.groupBy("kind", "host").agg(F.sum("n").alias("all"))
-    moves = scratch.save(both.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("all")).alias("p")))
-    now = start.withColumnRenamed("s", "x")
-    if not moves.isEmpty():
-        total = {r.kind: r.s for r in start.groupBy("kind").agg(F.sum("s").alias("s")).collect()}
-        for _ in range(rounds):
-            moved = scratch.save(now.join(moves, ["kind", "host"]).groupBy("kind", "to").agg(F.sum(F.col("x") * F.col("p")).alias("x")))
-            kept = {r.kind: r.x for r in moved.groupBy("kind").agg(F.sum("x").alias("x")).collect()}
-            back = F.lit(0.0)
-            for kind, s in total.items():
-                back = F.when(F.col("kind") == kind, 1 - damping * kept.get(kind, 0.0) / s).otherwise(back)
-            given = start.select("kind", "host", (F.col("s") * back).alias("x"))
-            now = given.union(moved.select("kind", F.col("to").alias("host"), (damping * F.col("x")).alias("x")))
-            now = scratch.save(now.groupBy("kind", "host").agg(F.sum("x").alias("x")))
-    score = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("x"))), F.lit(0.0)).alias(kind)
-    return now.groupBy("host").agg(score("trust"), score("distrust"))
-
-
-def leanings(seeds: DataFrame, edges: DataFrame, scratch: Scratch, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, toward_trust, toward_distrust), each from 0 to 1, from seeds (host, trust,
-    distrust) and edges (src, dst, n).
-
-    A host has its own seeds; for the share of its pages that no rule decides, distrust is
-    the damped mean over its links of what they lead to, and trust that over the links to it.
-    Without edges the seeds are the answer.
-    """
-    start = scratch.save(
-        seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust)").alias("kind", "s")).where("s > 0")
-    )
-    both = edges.select(F.lit("trust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("from"), "n").union(
-        edges.select(F.lit("distrust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("from"), "n")
+    out = both.groupBy("forth", "host").agg(F.sum("n").alias("all"))
+    links = scratch.save(both.join(out, ["forth", "host"]).select("forth", "host", "to", (damping * F.col("n") / F.col("all")).alias("p")))
+    now = start
+    if not links.isEmpty():
+        while True:
+            for _ in range(ROUNDS):
+                sent = now.where("moves_all > 0").join(links, ["forth", "host"]).select("forth", F.col("to").alias("host"), (F.col("moves") * F.col("p")).alias("x"), (F.col("moves_all") * F.col("p")).alias("y"))
+                held = now.select("forth", "host", "came", "came_all", nothing.alias("moves"), nothing.alias("moves_all"))
+                both = held.union(sent.select("forth", "host", "x", "y", "x", "y"))
+                now = both.groupBy("forth", "host").agg(*[F.sum(c).alias(c) for c in columns])
+            now = scratch.save(now)
+            if now.agg(F.max("moves_all")).first()[0] <= tolerance * (1 - damping):
+                break
+    own = start.select("host", "forth", F.col("moves").alias("own"))
+    joined = own.join(now.select("host", "forth", "came", "came_all"), ["host", "forth"])
+    part = lambda forth, c: F.max(F.when(F.col("forth") == forth, c))
+    rank, share = F.col("own") + F.col("came"), F.coalesce(F.try_divide("came", "came_all"), nothing)
+    return joined.groupBy("host").agg(
+        part(True, rank).alias("trust"), part(False, rank).alias("distrust"), part(True, share).alias("from_trust"), part(False, share).alias("from_distrust")
     )
-    links = both.groupBy("kind", "host").agg(F.sum("n").alias("all"))
-    open_share = seeds.select("host", (1 - F.col("trust") - F.col("distrust")).alias("open"))
-    weight = damping * F.coalesce("open", F.lit(1.0)) * F.col("n") / F.col("all")
-    pulls = scratch.save(both.join(links, ["kind", "host"]).join(open_share, "host", "left").select("kind", "host", "from", weight.alias("p")))
-    now = start.withColumnRenamed("s", "x")
-    if not pulls.isEmpty():
-        for _ in range(rounds):
-            lent = now.withColumnRenamed("host", "from").join(pulls, ["kind", "from"]).select("kind", "host", (F.col("x") * F.col("p")).alias("x"))
-            now = start.select("kind", "host", F.col("s").alias("x")).union(lent.groupBy("kind", "host").agg(F.sum("x").alias("x")))
-            now = scratch.save(now.groupBy("kind", "host").agg(F.sum("x").alias("x")))
-    score = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("x"))), F.lit(0.0)).alias(f"toward_{kind}")
-    return now.groupBy("host").agg(score("trust"), score("distrust"))
 
 
 def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -142,9 +134,10 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, thres
 
     A rule ``host/path`` fits its host and all subdomains if the path starts with the
     rule's; the longest fitting rule decides. Otherwise the host does: its seeds are the
-    shares of its pages that rules allow and block, and the page is blocked if the host's
-    leaning toward distrust exceeds that toward trust by more than ``threshold``. ``trust``
-    and ``distrust`` are its PageRanks. Pages without a host are allowed. Repeated
+    shares of its pages that rules allow and block, and for the share that no rule decides
+    the parts of its incoming PageRank that stem from such seeds count (see ``propagate``).
+    The page is blocked if distrust exceeds trust by more than ``threshold`` in this.
+    ``trust`` and ``distrust`` are the PageRanks. Pages without a host are allowed. Repeated
     rows are judged alike; null html has no links; extra columns are ignored. A host with a
     large share of all pages is split by partial aggregation and skew-join handling.
     """
@@ -159,10 +152,12 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, thres
     share = lambda v: F.avg(F.when(F.col("by_rule") == v, 1.0).otherwise(0.0))
     seeds = ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     seeds, edges = scratch.save(seeds), scratch.save(host_edges(plain))
-    scores = scratch.save(propagate(seeds, edges, scratch).join(leanings(seeds, edges, scratch), "host", "full"))
+    ranks = propagate(seeds, edges, scratch).join(seeds.withColumnsRenamed({"trust": "allowed", "distrust": "blocked"}), "host", "left")
+    allowed, blocked = (F.coalesce(c, F.lit(0.0)) for c in ("allowed", "blocked"))
+    leaning = blocked - allowed + (1 - allowed - blocked) * (F.col("from_distrust") - F.col("from_trust"))
+    scores = scratch.save(ranks.select("host", "trust", "distrust", leaning.alias("leaning")))
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
-    toward_trust, toward_distrust = (F.coalesce(c, F.lit(0.0)) for c in ("toward_trust", "toward_distrust"))
-    by_host = F.when(toward_distrust - toward_trust > threshold, "block").otherwise("allow")
+    by_host = F.when(F.col("leaning") > threshold, "block").otherwise("allow")
     return _with_hosts(ruled, scores).select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), trust.alias("trust"), distrust.alias("distrust")
     )
