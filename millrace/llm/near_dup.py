@@ -148,7 +148,8 @@ def _sharing_rare_shingles(rest: DataFrame, sets: DataFrame, percent: int, scrat
     set must be left. What many texts have in common comes last and proposes nothing.
     """
     held = rest.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "n", "part", F.explode("shingles").alias("s"))
-    often = held.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    # written out, as is what follows, so that both sides of a join are shuffled for it and skew can be split
+    often = scratch.save(held.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"))
     shared = held.join(often, "s")
     own = Window.partitionBy("rep")
     rare_first = own.orderBy("df", "s")
@@ -157,16 +158,22 @@ def _sharing_rare_shingles(rest: DataFrame, sets: DataFrame, percent: int, scrat
         .where(F.col("i") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
         .select("s", "rep", "n", "part", "i")
     )
-    split = prefix.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("s")
-    # written out, so that both sides of the last join are shuffled anew and skew can be split
-    mixed = scratch.save(prefix.join(split, "s", "left_semi"))
-    x = mixed.select("s", *[F.col(c).alias(d) for c, d in (("rep", "x"), ("n", "nx"), ("part", "px"), ("i", "ix"))])
-    y = mixed.select("s", *[F.col(c).alias(d) for c, d in (("rep", "y"), ("n", "ny"), ("part", "py"), ("i", "iy"))])
+    # parts that share a shingle are paired first, and then only members of different parts
+    spread = prefix.groupBy("s", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("i")).alias("left"))
+    parts = scratch.save(spread)
+    split = scratch.save(parts.groupBy("s").agg(F.count("*").alias("parts")).where("parts > 1").select("s"))
+    several = scratch.save(parts.join(split, "s", "left_semi"))
+    p = several.select("s", F.col("part").alias("px"), F.col("least").alias("lx"), F.col("most").alias("mx"), F.col("left").alias("fx"))
+    q = several.select("s", F.col("part").alias("py"), F.col("least").alias("ly"), F.col("most").alias("my"), F.col("left").alias("fy"))
+    fits = (100 * F.col("mx") >= percent * F.col("ly")) & (100 * F.col("my") >= percent * F.col("lx"))
+    fits = fits & ((100 + percent) * F.least("fx", "fy") >= percent * (F.col("lx") + F.col("ly")))
+    met = scratch.save(p.join(q, "s").where((F.col("px") < F.col("py")) & fits).select("s", "px", "py"))
+    x = prefix.select("s", *[F.col(c).alias(d) for c, d in (("rep", "x"), ("n", "nx"), ("part", "px"), ("i", "ix"))])
+    y = prefix.select("s", *[F.col(c).alias(d) for c, d in (("rep", "y"), ("n", "ny"), ("part", "py"), ("i", "iy"))])
+    one = scratch.save(met.join(x, ["s", "px"]))
     left = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
-    return x.join(
-        y,
-        (x.s == y.s) & (F.col("x") < F.col("y")) & (F.col("px") != F.col("py")) & ((100 + percent) * left >= percent * (F.col("nx") + F.col("ny"))),
-    ).select("x", "y", "nx", "ny")
+    reach = (100 + percent) * left >= percent * (F.col("nx") + F.col("ny"))
+    return one.join(y, ["s", "py"]).where(reach).select("x", "y", "nx", "ny")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
