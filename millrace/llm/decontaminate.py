@@ -21,6 +21,9 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Lookup tables of at most so many rows, and items of so many words in all, are broadcast;
 #: larger ones are joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_WORDS = 50_000, 500_000
+#: So many hashes of candidate documents are broadcast, 8 bytes each, to pick their texts
+#: where they stand; more are joined by a shuffle.
+BROADCAST_KEYS = 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -28,8 +31,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, SEPARATORS), "")
 
 
-def _lookup(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+def _lookup(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def _key(docs: DataFrame) -> Column:
+    """What tells documents apart: the doc_id and a hash of the text. Rows that share it have
+    one text and so one result; it is never null."""
+    return F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("-")), F.xxhash64(docs["text"]).cast("string"))
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -63,17 +72,17 @@ def rarest_places(items: DataFrame, counts: DataFrame, window: int) -> DataFrame
 
 
 def alignments(docs: DataFrame, benchmark: DataFrame, window: int = 13, slop: int = 3) -> DataFrame:
-    """(doc_id, item_id, w, delta, exact, near) of candidate matches, at most one row for
+    """(doc, item_id, w, delta, exact, near) of candidate matches, at most one row for
     each document, item and alignment ``delta`` (document place minus item place).
 
     ``exact``: both rarest terms of some window stand on the alignment. ``near``: they
-    stand at most ``slop`` words apart from it. docs has doc_id and w (its words).
+    stand at most ``slop`` words apart from it. docs has doc and w (its words).
     """
     scratch = Scratch(docs.sparkSession, "postings")
     items = scratch.save(items_of(benchmark))
     terms = items.select(F.explode("w").alias("term")).distinct()
     # outer: an inner explode would add a test for empty lists that splits every text twice
-    tokens = docs.select("doc_id", F.posexplode_outer("w").alias("pos", "term"))
+    tokens = docs.select("doc", F.posexplode_outer("w").alias("pos", "term"))
     counts = scratch.save(tokens.select("term").join(_lookup(terms), "term").groupBy("term").agg(F.count("*").alias("n")))
     rare = scratch.save(rarest_places(items, counts, window))
     anchors = scratch.save(
@@ -83,11 +92,11 @@ def alignments(docs: DataFrame, benchmark: DataFrame, window: int = 13, slop: in
         .select("item", "p", F.element_at("w", F.col("p") + 1).alias("term"))
     )
     postings = scratch.save(tokens.join(_lookup(anchors.select("term").distinct()), "term"))
-    moved = postings.join(anchors, "term").select("doc_id", "item", "p", (F.col("pos") - F.col("p")).alias("delta"))
-    about = Window.partitionBy("doc_id", "item").orderBy("delta").rangeBetween(-slop, slop)
+    moved = postings.join(anchors, "term").select("doc", "item", "p", (F.col("pos") - F.col("p")).alias("delta"))
+    about = Window.partitionBy("doc", "item").orderBy("delta").rangeBetween(-slop, slop)
     met = (
         moved.withColumn("beside", F.collect_set("p").over(about))
-        .groupBy("doc_id", "item", "delta")
+        .groupBy("doc", "item", "delta")
         .agg(F.collect_set("p").alias("on"), F.first("beside").alias("beside"))
         .where(F.size("beside") > 0)
     )
@@ -96,19 +105,25 @@ def alignments(docs: DataFrame, benchmark: DataFrame, window: int = 13, slop: in
     both = lambda held: F.exists("pairs", lambda x: F.array_contains(held, x.p1) & F.array_contains(held, x.p2))
     return (
         met.join(F.broadcast(shown) if total <= BROADCAST_WORDS else shown, "item")
-        .select("doc_id", "item_id", "w", "delta", both(F.col("on")).alias("exact"), both(F.col("beside")).alias("near"))
+        .select("doc", "item_id", "w", "delta", both(F.col("on")).alias("exact"), both(F.col("beside")).alias("near"))
         .where("near")
     )
 
 
-def _judged(docs: DataFrame, benchmark: DataFrame, window: int, slop: int) -> DataFrame:
-    """(row, n_words, n_hit, item_ids, n_near, contaminated), row holding all columns of docs."""
-    plain = docs.select("doc_id", words(F.col("text")).alias("w"))
-    found = alignments(plain, benchmark, window, slop)
-    per_doc = found.groupBy(F.col("doc_id").alias("key")).agg(
-        F.collect_list(F.when(F.col("exact"), F.struct("item_id", "w", "delta"))).alias("c"),
-        F.array_distinct(F.collect_list(F.when(F.col("near"), F.col("item_id")))).alias("near"),
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, slop: int) -> DataFrame:
+    """(doc, n_hit, item_ids, n_near, contaminated) of the documents that some item may match.
+    Only their texts leave the place where they stand."""
+    scratch = Scratch(docs.sparkSession, "contamination")
+    texts = docs.select(_key(docs).alias("doc"), F.col("text").cast("string").alias("text"))
+    found = alignments(texts.select("doc", words(F.col("text")).alias("w")), benchmark, window, slop)
+    per_doc = scratch.save(
+        found.groupBy("doc").agg(
+            F.collect_list(F.when(F.col("exact"), F.struct("item_id", "w", "delta"))).alias("c"),
+            F.array_distinct(F.collect_list(F.when(F.col("near"), F.col("item_id")))).alias("near"),
+        )
     )
+    wanted = _lookup(per_doc.select(F.xxhash64("doc").alias("wanted")).distinct(), BROADCAST_KEYS)
+    shown = texts.join(wanted, F.xxhash64("doc") == F.col("wanted"), "left_semi").dropDuplicates(["doc"])
 
     def starts(c: Column) -> Column:
         size = F.least(F.size(c.w), F.lit(window))
@@ -126,21 +141,21 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int, slop: int) -> Da
 
     met = F.filter(F.transform("c", lambda c: F.struct(c.item_id.alias("item_id"), c.w.alias("w"), c.delta.alias("delta"), starts(c).alias("s"))), lambda c: F.size(c.s) > 0)
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("met", lambda c: c.item_id), lambda x: x.isNotNull())))
-    rows = docs.select(F.col("doc_id").alias("own"), F.struct("*").alias("row"))
-    return (
-        rows.join(per_doc, F.col("own").eqNullSafe(F.col("key")), "left")
-        .withColumn("words", words(F.col("row.text")))
-        .withColumn("met", F.when(F.col("c").isNotNull(), met))
+    judged = (
+        shown.join(per_doc, "doc")
+        .select("doc", words(F.col("text")).alias("words"), "c", "near")
+        .withColumn("met", met)
         .select(
-            "row",
-            F.size("words").cast("long").alias("n_words"),
+            "doc",
+            F.size("words").alias("n_words"),
             F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("met", places)))), F.lit(0)).cast("long").alias("n_hit"),
             F.coalesce(ids, F.array().cast("array<string>")).alias("item_ids"),
             "near",
         )
-        .select(
-            "row", "n_words", "n_hit", "item_ids",
-            F.coalesce(F.size(F.array_except("near", "item_ids")), F.lit(0)).cast("long").alias("n_near"),
+    )
+    return scratch.save(
+        judged.select(
+            "doc", "n_hit", "item_ids", F.size(F.array_except("near", "item_ids")).cast("long").alias("n_near"),
             ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         )
     )
@@ -157,13 +172,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, slop:
     id marks words but is not listed. Repeated rows and rows with a null doc_id are judged
     one by one. Extra columns are ignored.
     """
-    out = _judged(docs, benchmark, window, slop)
-    return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", "n_near", "contaminated")
+    hits = _hits(docs, benchmark, window, slop)
+    rows = docs.select("doc_id", _key(docs).alias("doc"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    ids = F.coalesce("item_ids", F.array().cast("array<string>"))
+    return rows.join(_lookup(hits), "doc", "left").select(
+        "doc_id", "n_words", zero("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), zero("n_near"), F.coalesce("contaminated", F.lit(False)).alias("contaminated")
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
-    return _judged(docs, benchmark, window, 0).where("NOT contaminated").select("row.*")
+    """The rows of docs that are not contaminated, with all their columns. Their texts are
+    not shuffled as long as few enough documents are contaminated."""
+    bad = _lookup(_hits(docs, benchmark, window, 0).where("contaminated").select(F.col("doc").alias("bad_doc")), BROADCAST_ROWS * 10)
+    return docs.join(bad, _key(docs) == bad["bad_doc"], "left_anti")
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
