@@ -8,9 +8,13 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 
-WINDOW = 32
+#: Steps of a window: gradients run back through so many. Where few long documents are left,
+#: windows are longer, up to LONGEST in training, so that each has about WINDOW_TOKENS tokens.
+WINDOW, LONGEST, WINDOW_TOKENS = 32, 256, 8192
 #: Documents that step through time together, in scoring and in training.
-LANES, TRAIN_LANES = 2048, 256
+LANES, TRAIN_LANES = 1024, 512
+#: Rows whose class scores are worked on at once; this bounds memory.
+BLOCK = 4096
 F32 = np.float32
 
 
@@ -59,21 +63,38 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return F32(0.5) * np.tanh(F32(0.5) * x) + F32(0.5)
 
 
-def _step(m: Gru, h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The next state and what backpropagation needs of the step."""
+def _step(m: Gru, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The next state and what backpropagation needs of the step: both gates side by side,
+    the candidate and its recurrent part. x is the input's part of all three."""
     n = h.shape[1]
-    x, u = m.gates[words], h @ m.inner
+    u = h @ m.inner
     zr = _sigmoid(x[:, : 2 * n] + u[:, : 2 * n])
-    z, r = zr[:, :n], zr[:, n:]
-    c = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
-    return c + z * (h - c), z, r, c, u[:, 2 * n :]
+    c = np.tanh(x[:, 2 * n :] + zr[:, n:] * u[:, 2 * n :])
+    return c + zr[:, :n] * (h - c), zr, c, u[:, 2 * n :]
+
+
+def _window_words(words: np.ndarray, starts: np.ndarray, length: np.ndarray, t0: int, t1: int) -> tuple[np.ndarray, list[int]]:
+    """The words of a window step by step, and how many documents reach each step."""
+    live = np.searchsorted(-length, -np.arange(t0, t1), side="left").tolist()
+    return np.concatenate([words[starts[:n] + t] for n, t in zip(live, range(t0, t1), strict=True)]), live
+
+
+#: exp of numbers within this and sums of thousands of them stay finite and normal.
+SAFE = 70.0
+
 
+def _safe(*layers: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Whether no score can leave SAFE: states lie between -1 and 1, so a score is at most the
+    sum of its absolute weights."""
+    return all(float((np.abs(w).sum(axis=0) + np.abs(b)).max()) < SAFE for w, b in layers)
 
-def _exp_scores(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of each row less its largest value, in place, and the row sums."""
-    x -= x.max(axis=1, keepdims=True)
+
+def _exp_scores(x: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each row, less its largest value unless that is needless, in place; and the row sums."""
+    if not safe:
+        x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    return x, x.sum(axis=1)
+    return x, x @ np.ones(x.shape[1], x.dtype)
 
 
 def _by_class(m: Gru, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
@@ -89,13 +110,17 @@ def log_probs(m: Gru, states: np.ndarray, words: np.ndarray) -> np.ndarray:
     """ln p(word | state): that of its class times that within the class."""
     order, own, runs = _by_class(m, words)
     states, words = states[order], words[order]
-    e, total = _exp_scores(states @ m.to_class + m.class_bias)
-    p = np.log(e[np.arange(len(own)), own]) - np.log(total)
+    safe = _safe((m.to_class, m.class_bias), (m.to_word, m.word_bias))
+    p = np.empty(len(own))
+    for a in range(0, len(own), BLOCK):
+        b = min(a + BLOCK, len(own))
+        e, total = _exp_scores(states[a:b] @ m.to_class + m.class_bias, safe)
+        p[a:b] = np.log(e[np.arange(b - a), own[a:b]] / total)
     for k, a, b in runs:
         lo, hi = m.edges[k], m.edges[k + 1]
         if hi - lo > 1:
-            e, total = _exp_scores(states[a:b] @ m.to_word[:, lo:hi] + m.word_bias[lo:hi])
-            p[a:b] += np.log(e[np.arange(b - a), words[a:b] - lo]) - np.log(total)
+            e, total = _exp_scores(states[a:b] @ m.to_word[:, lo:hi] + m.word_bias[lo:hi], safe)
+            p[a:b] += np.log(e[np.arange(b - a), words[a:b] - lo] / total)
     out = np.empty(len(order))
     out[order] = p
     return out
@@ -110,23 +135,30 @@ def _lanes(words: np.ndarray, offsets: np.ndarray, lanes: int) -> Iterator[tuple
         yield rows, offsets[rows], length[rows]
 
 
+def _windows(length: np.ndarray, longest: int) -> Iterator[tuple[int, int]]:
+    """First step of each window and the one after its last; lengths fall."""
+    t, end = 0, int(length[0]) if len(length) else 0
+    while t < end:
+        live = int(np.searchsorted(-length, -t, side="left"))
+        to = min(t + min(max(WINDOW, WINDOW_TOKENS // live), longest), end)
+        yield t, to
+        t = to
+
+
 def score(m: Gru, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """ln p of each row's whole word sequence, the state running through all of it."""
     total = np.zeros(len(offsets) - 1)
     for rows, starts, length in _lanes(words, offsets, LANES):
         h = np.repeat(m.first[None, :], len(rows), axis=0)
-        for t0 in range(0, int(length[0]) if len(length) else 0, WINDOW):
-            states, seen, who = [], [], []
-            for t in range(t0, min(t0 + WINDOW, int(length[0]))):
-                live = int(np.searchsorted(-length, -t, side="left"))
-                w = words[starts[:live] + t]
-                states.append(h[:live])
-                seen.append(w)
-                who.append(np.arange(live))
-                h = _step(m, h[:live], w)[0]
-            lane = np.concatenate(who)
-            p = log_probs(m, np.concatenate(states), np.concatenate(seen))
-            total[rows] += np.bincount(lane, weights=p, minlength=len(rows))
+        for t0, t1 in _windows(length, WINDOW_TOKENS):
+            seen, live = _window_words(words, starts, length, t0, t1)
+            x, states, at = m.gates[seen], [], 0
+            for n in live:
+                states.append(h[:n])
+                h = _step(m, h[:n], x[at : at + n])[0]
+                at += n
+            lane = np.concatenate([np.arange(n) for n in live])
+            total[rows] += np.bincount(lane, weights=log_probs(m, np.concatenate(states), seen), minlength=len(rows))
     return total
 
 
@@ -144,35 +176,38 @@ class Trainer:
         m = self.model
         for rows, starts, length in _lanes(words, offsets, lanes):
             h = np.repeat(m.first[None, :], len(rows), axis=0)
-            for t0 in range(0, int(length[0]), WINDOW):
-                h = _window(m, self.squares, h, words, starts, length, t0, self.rate)
+            for t0, t1 in _windows(length, LONGEST):
+                h = _window(m, self.squares, h, words, starts, length, t0, t1, self.rate)
 
 
-def _window(m: Gru, squares: dict, h: np.ndarray, words: np.ndarray, starts: np.ndarray, length: np.ndarray, t0: int, rate: float) -> np.ndarray:
+def _window(m: Gru, squares: dict, h: np.ndarray, words: np.ndarray, starts: np.ndarray, length: np.ndarray, t0: int, t1: int, rate: float) -> np.ndarray:
     n = h.shape[1]
-    tape = []
-    for t in range(t0, min(t0 + WINDOW, int(length[0]))):
-        live = int(np.searchsorted(-length, -t, side="left"))
-        w = words[starts[:live] + t]
-        h = h[:live]
-        new, *kept = _step(m, h, w)
-        tape.append((h, w, kept))
-        h = new
-    seen = np.concatenate([x[1] for x in tape])
+    seen, live = _window_words(words, starts, length, t0, t1)
+    x, tape, at = m.gates[seen], [], 0
+    for own in live:
+        h = h[:own]
+        new, *kept = _step(m, h, x[at : at + own])
+        tape.append((h, *kept))
+        h, at = new, at + own
+    before, zr, c, u = (np.concatenate(p) for p in zip(*tape, strict=True))
     order, own, runs = _by_class(m, seen)
-    states, target = np.concatenate([x[0] for x in tape])[order], seen[order]
+    states, target = before[order], seen[order]
     scale = F32(1 / len(seen))
 
-    grad = {name: np.zeros(getattr(m, name).shape, F32) for name in ("inner", "first", "to_word", "word_bias")}
-    e, total = _exp_scores(states @ m.to_class + m.class_bias)
-    e *= (scale / total)[:, None]
-    e[np.arange(len(own)), own] -= scale
-    grad["to_class"], grad["class_bias"] = states.T @ e, e.sum(axis=0)
-    d_sorted = e @ m.to_class.T
+    grad = {name: np.zeros(getattr(m, name).shape, F32) for name in m.trained() if name != "gates"}
+    d_sorted, safe = np.empty_like(states), _safe((m.to_class, m.class_bias), (m.to_word, m.word_bias))
+    for a in range(0, len(own), BLOCK):
+        b = min(a + BLOCK, len(own))
+        e, total = _exp_scores(states[a:b] @ m.to_class + m.class_bias, safe)
+        e *= (scale / total)[:, None]
+        e[np.arange(b - a), own[a:b]] -= scale
+        grad["to_class"] += states[a:b].T @ e
+        grad["class_bias"] += e.sum(axis=0)
+        d_sorted[a:b] = e @ m.to_class.T
     for k, a, b in runs:
         lo, hi = m.edges[k], m.edges[k + 1]
         if hi - lo > 1:
-            e, total = _exp_scores(states[a:b] @ m.to_word[:, lo:hi] + m.word_bias[lo:hi])
+            e, total = _exp_scores(states[a:b] @ m.to_word[:, lo:hi] + m.word_bias[lo:hi], safe)
             e *= (scale / total)[:, None]
             e[np.arange(b - a), target[a:b] - lo] -= scale
             d_sorted[a:b] += e @ m.to_word[:, lo:hi].T
@@ -181,25 +216,35 @@ def _window(m: Gru, squares: dict, h: np.ndarray, words: np.ndarray, starts: np.
     d_states = np.empty_like(d_sorted)
     d_states[order] = d_sorted
 
-    at, back, d_gates = len(seen), np.zeros((0, n), F32), []
-    for before, w, (z, r, c, u) in reversed(tape):
-        live = len(w)
-        at -= live
-        d_new = np.zeros((live, n), F32)
+    # what does not depend on later steps is worked out for the whole window
+    z, r = zr[:, :n], zr[:, n:]
+    by_c, by_z, by_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), u * r * (1 - r)
+    d_x, d_u = np.empty((len(seen), 3 * n), F32), np.empty((len(seen), 3 * n), F32)
+    at, back, inner = len(seen), np.zeros((0, n), F32), np.ascontiguousarray(m.inner.T)
+    for own in reversed(live):
+        now = slice(at - own, at)
+        at -= own
+        d_new = np.zeros((own, n), F32)
         d_new[: len(back)] = back
-        d_c = d_new * (1 - z) * (1 - c * c)
-        d_z = d_new * (before - c) * z * (1 - z)
-        d_r = d_c * u * r * (1 - r)
-        d_gates.append(np.concatenate([d_z, d_r, d_c], axis=1))
-        d_u = np.concatenate([d_z, d_r, d_c * r], axis=1)
-        grad["inner"] += before.T @ d_u
-        back = d_new * z + d_u @ m.inner.T + d_states[at : at + live]
+        d = d_x[now]
+        np.multiply(d_new, by_z[now], out=d[:, :n])
+        np.multiply(d_new, by_c[now], out=d[:, 2 * n :])
+        np.multiply(d[:, 2 * n :], by_r[now], out=d[:, n : 2 * n])
+        e = d_u[now]
+        e[:, : 2 * n] = d[:, : 2 * n]
+        np.multiply(d[:, 2 * n :], r[now], out=e[:, 2 * n :])
+        back = d_new * z[now] + e @ inner + d_states[now]
+    grad["inner"] = before.T @ d_u
     if t0 == 0:
         grad["first"] = back.sum(axis=0)
-    # gradients of equal words are added up over sorted runs
-    given = np.concatenate(d_gates[::-1])[np.argsort(seen, kind="stable")]
-    held, first = np.unique(np.sort(seen), return_index=True)
-    grad["gates"] = np.add.reduceat(given, first, axis=0)
+    # gradients of equal words are added up
+    order = np.argsort(seen, kind="stable")
+    in_order = seen[order]
+    first = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1]))
+    held = in_order[first]
+    nth = np.empty(len(seen), np.int64)
+    nth[order] = np.repeat(np.arange(len(held)), np.diff(np.append(first, len(seen))))
+    grad["gates"] = np.stack([np.bincount(nth, weights=column, minlength=len(held)) for column in np.ascontiguousarray(d_x.T)], axis=1).astype(F32)
 
     size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
     shrink = F32(min(1.0, 1.0 / max(size, 1e-12)))

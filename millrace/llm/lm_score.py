@@ -19,7 +19,7 @@ from millrace.llm.scratch import Scratch
 
 #: Sizes of the recurrent model: its most frequent words (the rest share one output, split
 #: by their counts), output classes and hidden units.
-VOCABULARY, CLASSES, HIDDEN = 8192, 96, 16
+VOCABULARY, CLASSES, HIDDEN = 8192, 64, 16
 #: Words whose counts every task holds; counts of rarer words are joined.
 HOT_WORDS = 1 << 18
 #: Documents that one task fits the common start on, before the rounds.

@@ -184,7 +184,7 @@ def test_gradients_match_differences(monkeypatch):
     steps = np.eye(len(start)) * 1e-5
     slope = np.array([(loss(start + s) - loss(start - s)) / 2e-5 for s in steps])
     moved = exact(start)
-    gru._window(moved, {n: np.full(getattr(moved, n).shape, 1e12) for n in moved.trained()}, np.repeat(moved.first[None, :], 3, axis=0), words, offsets[:-1], lengths, 0, 1.0)
+    gru._window(moved, {n: np.full(getattr(moved, n).shape, 1e12) for n in moved.trained()}, np.repeat(moved.first[None, :], 3, axis=0), words, offsets[:-1], lengths, 0, 5, 1.0)
     assert np.abs((start - moved.vector()) * 1e6 - slope).max() < 1e-6
 
 
