@@ -30,7 +30,7 @@ BRANCH, LEAF_ROWS, MAX_LEAVES = 8, 512, 1 << 16
 #: Sampled vectors that a leaf-to-be is fitted on.
 LEAF_SAMPLE = 32
 #: Vectors of neighbouring leaves, and queries, that meet in one group.
-SHARD_ROWS, CELL_QUERIES = 8192, 2048
+SHARD_ROWS, CELL_QUERIES = 2048, 2048
 #: Classes of equal vectors are broadcast up to so many rows.
 BROADCAST_ROWS = 100_000
 
@@ -187,6 +187,24 @@ def _nearest(q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.
     return i[keep], j[keep], s[keep]
 
 
+def _just_under(x: np.ndarray) -> np.ndarray:
+    """So much less that no order of summing the products matters."""
+    finite = np.where(np.isfinite(x), x, 0.0)
+    return x - 1e-9 * np.maximum(np.abs(finite), 1e-30)
+
+
+def _above(q: np.ndarray, who: np.ndarray, ids: np.ndarray, x: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query index, candidate id, score) of what may still be among the best of the queries
+    ``who``. ``best`` has each query's best scores so far, in any order, and is updated."""
+    scores = q[who] @ x.T
+    i, j = np.nonzero(scores >= _just_under(best[who].min(axis=1))[:, None])
+    out = who[i], ids[j], scores[i, j]
+    rows = np.unique(i)
+    both = np.concatenate([best[who[rows]], scores[rows]], axis=1)
+    best[who[rows]] = np.partition(both, both.shape[1] - best.shape[1], axis=1)[:, -best.shape[1] :]
+    return out
+
+
 def _best(rows: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -321,14 +339,21 @@ def _search(tree: Tree, placed: DataFrame, queries: DataFrame, filled: dict[int,
         if len(left) and len(right):
             q, visited = np.stack(right["q"]), pd.Series(right["leaves"].tolist()).explode()
             asking = {leaf: own.index.to_numpy() for leaf, own in visited.groupby(visited.astype("int64"))}
+            best = np.full((len(q), k), -np.inf)
             for leaf, own in left.groupby("leaf"):
                 if leaf in asking:
-                    ids, who = own["vec_id"].to_numpy(), asking[leaf]
-                    i, j, s = _nearest(q[who], ids, np.stack(own["v"]), k)
-                    found.append((who[i], ids[j], s))
+                    who = asking[leaf]
+                    found.append(_above(q, who, own["vec_id"].to_numpy(), np.stack(own["v"]), best))
+            floor = _just_under(best.min(axis=1))
         i, ids, s = (np.concatenate(p) for p in zip(*found, strict=True))
-        keep = _first_of_each(i, ids, s, k)
-        return pd.DataFrame({"query_id": right["query_id"].to_numpy()[i[keep]], "vec_id": ids[keep], "score": s[keep]})
+        if len(i):
+            keep = np.flatnonzero(s >= floor[i])
+            i, ids = i[keep], ids[keep]
+            x = left.set_index("vec_id")["v"]
+            s = _exact(q[i], np.stack(x.loc[ids]))
+            keep = _first_of_each(i, ids, s, k)
+            i, ids, s = i[keep], ids[keep], s[keep]
+        return pd.DataFrame({"query_id": right["query_id"].to_numpy()[i], "vec_id": ids, "score": s})
 
     asked = scratch.save(queries.select("vec_id", "v").mapInArrow(ask, "query_id long, q array<double>, shard long, leaves array<long>"))
     many = {r.shard: r["count"] for r in asked.groupBy("shard").count().collect()}
