@@ -30,7 +30,10 @@ BRANCH, LEAF_ROWS, MAX_LEAVES = 8, 512, 1 << 16
 #: Sampled vectors that a leaf-to-be is fitted on.
 LEAF_SAMPLE = 32
 #: Vectors of neighbouring leaves, and queries, that meet in one group.
-SHARD_ROWS, CELL_QUERIES = 2048, 2048
+SHARD_ROWS, CELL_QUERIES = 4096, 2048
+#: The part of its leaves that a query visits first; of the others it is only told what beats
+#: the k-th score so far.
+FIRST_PART = 1 / 8
 #: Classes of equal vectors are broadcast up to so many rows.
 BROADCAST_ROWS = 100_000
 
@@ -309,6 +312,19 @@ def _shards(tree: Tree, filled: dict[int, int]) -> dict[int, tuple[int, int]]:
 
 def _search(tree: Tree, placed: DataFrame, queries: DataFrame, filled: dict[int, int], leaves: int, k: int, scratch: Scratch) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best of the leaves that each query visits."""
+    some = max(1, int(leaves * FIRST_PART))
+    first = scratch.save(_best(_visited(tree, placed, queries.withColumn("floor", F.lit(float("-inf"))), filled, leaves, (0, some), k, scratch), k))
+    floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    asking = queries.join(floors, "vec_id", "left").select("vec_id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("floor"))
+    rest = _visited(tree, placed, asking, filled, leaves, (some, None), k, scratch)
+    return _best(first.drop("rank").union(rest), k)
+
+
+def _visited(
+    tree: Tree, placed: DataFrame, queries: DataFrame, filled: dict[int, int], leaves: int, part: tuple[int, int | None], k: int, scratch: Scratch
+) -> DataFrame:
+    """(query_id, vec_id, score): of each shard the k best in a part of the leaves that each
+    query visits, without those under the query's floor."""
     shards = _shards(tree, filled)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +332,7 @@ def _search(tree: Tree, placed: DataFrame, queries: DataFrame, filled: dict[int,
             at, to, seen = [], [], []
             for i, q in enumerate(_matrix(b.column("v"))):
                 own: dict[int, list[int]] = {}
-                for leaf in tree.visits(q, leaves, filled, k):
+                for leaf in tree.visits(q, leaves, filled, k)[part[0] : part[1]]:
                     for s in range(shards[leaf][0], shards[leaf][1] + 1):
                         own.setdefault(s, []).append(leaf)
                 at += [i] * len(own)
@@ -324,7 +340,7 @@ def _search(tree: Tree, placed: DataFrame, queries: DataFrame, filled: dict[int,
                 seen += own.values()
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("vec_id").take(rows), b.column("v").take(rows), pa.array(to, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], names=["query_id", "q", "shard", "leaves"]
+                [*(b.column(c).take(rows) for c in ("vec_id", "v", "floor")), pa.array(to, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], names=["query_id", "q", "floor", "shard", "leaves"]
             )
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +355,7 @@ def _search(tree: Tree, placed: DataFrame, queries: DataFrame, filled: dict[int,
         if len(left) and len(right):
             q, visited = np.stack(right["q"]), pd.Series(right["leaves"].tolist()).explode()
             asking = {leaf: own.index.to_numpy() for leaf, own in visited.groupby(visited.astype("int64"))}
-            best = np.full((len(q), k), -np.inf)
+            best = np.repeat(right["floor"].to_numpy()[:, None], k, axis=1)
             for leaf, own in left.groupby("leaf"):
                 if leaf in asking:
                     who = asking[leaf]
@@ -355,15 +371,14 @@ def _search(tree: Tree, placed: DataFrame, queries: DataFrame, filled: dict[int,
             i, ids, s = i[keep], ids[keep], s[keep]
         return pd.DataFrame({"query_id": right["query_id"].to_numpy()[i], "vec_id": ids, "score": s})
 
-    asked = scratch.save(queries.select("vec_id", "v").mapInArrow(ask, "query_id long, q array<double>, shard long, leaves array<long>"))
+    asked = scratch.save(queries.select("vec_id", "v", "floor").mapInArrow(ask, "query_id long, q array<double>, floor double, shard long, leaves array<long>"))
     many = {r.shard: r["count"] for r in asked.groupBy("shard").count().collect()}
     cells = F.broadcast(queries.sparkSession.createDataFrame([(s, -(-n // CELL_QUERIES)) for s, n in sorted(many.items())], "shard long, cells long"))
     held = placed.mapInArrow(deal, "vec_id long, v array<double>, leaf long, shard long").join(cells, "shard")
     held = held.select("vec_id", "v", "leaf", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"))
     asking = asked.join(cells, "shard").withColumn("cell", F.pmod(F.monotonically_increasing_id(), F.col("cells"))).drop("cells")
     keys = ["shard", "cell"]
-    found = held.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    return _best(found, k)
+    return held.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.95) -> DataFrame:
