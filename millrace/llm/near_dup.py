@@ -167,13 +167,19 @@ def _sharing_rare_shingles(rest: DataFrame, sets: DataFrame, percent: int, scrat
     q = several.select("s", F.col("part").alias("py"), F.col("least").alias("ly"), F.col("most").alias("my"), F.col("left").alias("fy"))
     fits = (100 * F.col("mx") >= percent * F.col("ly")) & (100 * F.col("my") >= percent * F.col("lx"))
     fits = fits & ((100 + percent) * F.least("fx", "fy") >= percent * (F.col("lx") + F.col("ly")))
-    met = scratch.save(p.join(q, "s").where((F.col("px") < F.col("py")) & fits).select("s", "px", "py"))
+    met = scratch.save(p.join(q, "s").where((F.col("px") < F.col("py")) & fits).select("s", "px", "py", "ly", "my", "fy"))
     x = prefix.select("s", *[F.col(c).alias(d) for c, d in (("rep", "x"), ("n", "nx"), ("part", "px"), ("i", "ix"))])
     y = prefix.select("s", *[F.col(c).alias(d) for c, d in (("rep", "y"), ("n", "ny"), ("part", "py"), ("i", "iy"))])
-    one = scratch.save(met.join(x, ["s", "px"]))
+    # only members that can reach some set of the other part
+    hope = (100 + percent) * F.least(F.col("nx") - F.col("ix"), F.col("fy")) >= percent * (F.col("nx") + F.col("ly"))
+    hope = hope & (100 * F.col("my") >= percent * F.col("nx")) & (100 * F.col("nx") >= percent * F.col("ly"))
+    x, m = x.alias("x"), met.alias("m")
+    one = m.join(x, (F.col("m.s") == F.col("x.s")) & (F.col("m.px") == F.col("x.px")) & hope)
+    one = scratch.save(one.select(F.col("m.s").alias("s"), "py", "x", "nx", "ix"))
     left = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
     reach = (100 + percent) * left >= percent * (F.col("nx") + F.col("ny"))
-    return one.join(y, ["s", "py"]).where(reach).select("x", "y", "nx", "ny")
+    one, y = one.alias("one"), y.alias("y")
+    return one.join(y, (F.col("one.s") == F.col("y.s")) & (F.col("one.py") == F.col("y.py")) & reach).select("x", "y", "nx", "ny")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
