@@ -16,6 +16,12 @@ from pyspark.sql import types as T
 
 # -- built from SQL functions
 
+#: Class names of the documentation's navigation headers and figures, and what
+#: stored passwords of each kind begin with.
+NAV_CLASS, FIGURE_CLASS = "navheader", "figure"
+EXTERNAL, HASH_PREFIXES = "oauth", (("pbkdf2_", "regular"), ("sha1$", "old hash"))
+
+
 def squeeze(text: Column) -> Column:
     """White space runs as one space, trimmed; null as empty."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
@@ -41,13 +47,17 @@ def page_title(html: Column) -> Column:
 
 
 def without_nav_header(html: Column) -> Column:
-    """What follows the navigation header, if there is one."""
-    rest = F.regexp_extract(html, r"(?s)<div[^>]*class=\"navheader\"[^>]*>.*?</div>(.*)", 1)
-    return F.when(rest != "", rest).otherwise(html)
+    """What follows the end of the navigation header, if there is one."""
+    mark = F.instr(html, f'class="{NAV_CLASS}"')
+    behind = F.substr(html, mark, F.length(html))
+    end = F.instr(behind, "</div>")
+    rest = F.substr(behind, end + F.lit(len("</div>")), F.length(behind))
+    return F.when((mark > 0) & (end > 0) & (rest != ""), rest).otherwise(html)
 
 
 def widen_figures(html: Column, classes: str) -> Column:
-    return F.regexp_replace(html, r"(?i)<div([^<>]+)class=\"figure\"", f'<div$1class="figure {classes}"')
+    """Adds classes to the divisions that hold figures."""
+    return F.regexp_replace(html, f'(?i)(<div\\b[^<>]*?class="{FIGURE_CLASS})(?=")', f"$1 {classes}")
 
 
 def first_words(text: Column, n: int) -> Column:
@@ -95,13 +105,12 @@ def client_address(remote: Column, forwarded: Column, proxies: list[str]) -> Col
 
 
 def password_class(stored: Column) -> Column:
-    return (
-        F.when(stored == "oauth", "external")
-        .when(F.startswith(stored, F.lit("pbkdf2_")), "regular")
-        .when(F.startswith(stored, F.lit("sha1$")), "old hash")
-        .when(stored.rlike("^[a-z0-9]{64}"), "unknown hash")
-        .otherwise("unknown")
-    )
+    """By prefix; 64 leading digits and lower-case letters are some hash of another make."""
+    out = F.when(stored == EXTERNAL, "external")
+    for prefix, name in HASH_PREFIXES:
+        out = out.when(stored.startswith(prefix), name)
+    plain = F.length(F.regexp_extract(stored, "^[a-z0-9]+", 0)) >= 64
+    return out.when(plain, "unknown hash").otherwise("unknown")
 
 
 def date_span(start: Column, end: Column) -> Column:

@@ -14,37 +14,35 @@ from pyspark.sql import types as T
 from millrace.sources.shared import shared_dir
 
 
-class PageParser(HTMLParser):
-    """Title, body text and link targets. The tag that opened last decides what text counts
-    as: text after ``</script>`` stays unread until the next tag opens, and text behind a
-    title joins it until then. Chunks of one character are dropped."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.last = None
-        self.title = ""
-        self.chunks: list[str] = []
-        self.links: list[str] = []
-        self.in_body = False
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.last = tag
-        self.in_body = self.in_body or tag == "body"
-        if tag == "a":
-            self.links += [v for name, v in attrs if name == "href" and v is not None]
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "body":
-            self.in_body = False
-
-    def handle_data(self, data: str) -> None:
-        text = data.strip()
-        if len(text) < 2:
-            return
-        if self.last == "title":
-            self.title += text
-        elif self.in_body and self.last != "script":
-            self.chunks.append(text)
+def markup_events(source: str) -> list[tuple[str, str, list]]:
+    """("open" | "close" | "text", tag or text, attributes) in the order of the source."""
+    events: list[tuple[str, str, list]] = []
+    reader = HTMLParser()
+    reader.handle_starttag = lambda tag, attrs: events.append(("open", tag, attrs))
+    reader.handle_endtag = lambda tag: events.append(("close", tag, []))
+    reader.handle_data = lambda data: events.append(("text", data.strip(), []))
+    reader.feed(source)
+    reader.close()
+    return events
+
+
+def read_page(source: str) -> tuple[str, str, list[str]]:
+    """(title, text, link targets). Each text belongs to the tag that was opened last before
+    it, closed or not: what follows ``</script>`` stays unread until a tag opens, and what
+    follows a title joins it. Texts of one character are dropped."""
+    events = markup_events(source)
+    links = [v for kind, tag, attrs in events if (kind, tag) == ("open", "a") for name, v in attrs if name == "href" and v is not None]
+    owner, inside, title, lines = "", False, [], []
+    for kind, value, _ in events:
+        if kind == "open":
+            owner, inside = value, inside or value == "body"
+        elif kind == "close":
+            inside = inside and value != "body"
+        elif len(value) > 1 and owner == "title":
+            title.append(value)
+        elif len(value) > 1 and inside and owner != "script":
+            lines.append(value + "\n")
+    return "".join(title), "".join(lines), links
 
 
 _PARSED = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("links", T.ArrayType(T.StringType()))])
@@ -52,12 +50,7 @@ _PARSED = T.StructType([T.StructField("title", T.StringType()), T.StructField("t
 
 @F.pandas_udf(_PARSED)
 def parsed_page(pages: pd.Series) -> pd.DataFrame:
-    def one(source: str | None) -> tuple[str, str, list[str]]:
-        p = PageParser()
-        p.feed(source or "")
-        p.close()
-        return p.title, "".join(c + "\n" for c in p.chunks), p.links
-    return pd.DataFrame([one(s) for s in pages], columns=["title", "text", "links"])
+    return pd.DataFrame([read_page(s or "") for s in pages], columns=["title", "text", "links"])
 
 
 def resolve(link: str, page: str, host: str) -> str | None:

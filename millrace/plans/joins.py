@@ -72,11 +72,11 @@ def alias_existence_or(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "version_series_expand",
-    "SELECT o_orderkey, unnest(range(0, (o_orderkey % 3) + 1)) AS minor FROM orders WHERE o_orderkey < 100 UNION ALL SELECT * FROM (VALUES (-1::BIGINT, 0::BIGINT), (-2, 0))",
+    "SELECT o_orderkey, unnest(range(0, (o_orderkey % 3) + 1)) AS minor FROM orders UNION ALL SELECT * FROM (VALUES (-1::BIGINT, 0::BIGINT), (-2, 0))",
 )
 def version_series_expand(spark: SparkSession, sf: str) -> DataFrame:
     """A number series per row, and constant rows appended."""
-    o = table(spark, sf, "orders").where("o_orderkey < 100")
+    o = table(spark, sf, "orders")
     last = F.col("o_orderkey") % 3
     rows = o.where(last >= 0).select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("minor"))
     return rows.union(spark.createDataFrame([(-1, 0), (-2, 0)], "o_orderkey long, minor long"))
@@ -109,12 +109,12 @@ def prefetch_children(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "queue_left_join_label",
     """SELECT event_id, CASE event_type WHEN 'click' THEN 'URL' WHEN 'view' THEN 'XKey' ELSE event_type END AS mode, name FROM events
-    LEFT JOIN (VALUES (1, 'one'), (2, 'two')) c(id, name) ON c.id = events.user_id % 4 WHERE event_id < 300""",
+    LEFT JOIN (VALUES (1, 'one'), (2, 'two')) c(id, name) ON c.id = events.user_id % 4""",
 )
 def queue_left_join_label(spark: SparkSession, sf: str) -> DataFrame:
     consumers = spark.createDataFrame([(1, "one"), (2, "two")], "id long, name string")
     mode = F.when(F.col("event_type") == "click", "URL").when(F.col("event_type") == "view", "XKey").otherwise(F.col("event_type"))
-    e = table(spark, sf, "events").where("event_id < 300")
+    e = table(spark, sf, "events")
     return e.join(F.broadcast(consumers), F.col("id") == F.col("user_id") % 4, "left").select("event_id", mode.alias("mode"), "name")
 
 
@@ -142,11 +142,11 @@ def update_from_counts(spark: SparkSession, sf: str) -> DataFrame:
     return n.join(counts, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("n_nationkey", F.coalesce("k", (100 + F.col("n_nationkey")).cast("long")).alias("pagecount"))
 
 
-@query("join_decimal_key", "SELECT p_partkey, v AS version FROM part JOIN (VALUES (1.5::DECIMAL(3,1), 'a'), (2.0, 'b'), (9.6, 'c')) x(k, v) ON (p_size / 5.0)::DECIMAL(3,1) = k WHERE p_partkey < 500")
+@query("join_decimal_key", "SELECT p_partkey, v AS version FROM part JOIN (VALUES (1.5::DECIMAL(3,1), 'a'), (2.0, 'b'), (9.6, 'c')) x(k, v) ON (p_size / 5.0)::DECIMAL(3,1) = k")
 def join_decimal_key(spark: SparkSession, sf: str) -> DataFrame:
     """Both sides of a decimal key in one type."""
     versions = spark.createDataFrame([("1.5", "a"), ("2.0", "b"), ("9.6", "c")], "k string, v string").withColumn("k", F.col("k").cast("decimal(3,1)"))
-    p = table(spark, sf, "part").where("p_partkey < 500").withColumn("d", (F.col("p_size") / 5.0).cast("decimal(3,1)"))
+    p = table(spark, sf, "part").withColumn("d", (F.col("p_size") / 5.0).cast("decimal(3,1)"))
     return p.join(F.broadcast(versions), F.col("d") == F.col("k")).select("p_partkey", F.col("v").alias("version"))
 
 
@@ -165,12 +165,12 @@ def join_cross(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "cdc_join_sites",
-    "SELECT user_id, site, max(ts) AS changed FROM events JOIN (VALUES ('purchase', 1), ('signup', 2), ('signup', 3)) s(kind, site) ON kind = event_type WHERE user_id < 20 GROUP BY 1, 2",
+    "SELECT user_id, site, max(ts) AS changed FROM events JOIN (VALUES ('purchase', 1), ('signup', 2), ('signup', 3)) s(kind, site) ON kind = event_type GROUP BY 1, 2",
 )
 def cdc_join_sites(spark: SparkSession, sf: str) -> DataFrame:
     """A change goes to each site that wants its kind; repeats collapse to the last."""
     sites = spark.createDataFrame([("purchase", 1), ("signup", 2), ("signup", 3)], "kind string, site int")
-    e = table(spark, sf, "events").where("user_id < 20")
+    e = table(spark, sf, "events")
     return e.join(F.broadcast(sites), F.col("kind") == F.col("event_type")).groupBy("user_id", "site").agg(F.max("ts").alias("changed"))
 
 
@@ -180,11 +180,11 @@ def dict_lookup_join(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").join(F.broadcast(names), F.col("k") == F.col("p_type"), "left").select("p_partkey", F.coalesce("t", "p_type").alias("name"))
 
 
-@query("view_union_join", "SELECT s_name AS name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT c_name, 'primary' FROM customer WHERE c_custkey < 50")
+@query("view_union_join", "SELECT s_name AS name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT c_name, 'primary' FROM customer")
 def view_union_join(spark: SparkSession, sf: str) -> DataFrame:
     s, n, c = tables(spark, sf, "supplier nation customer")
     joined = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("name"), "n_name")
-    return joined.unionByName(c.where("c_custkey < 50").select(F.col("c_name").alias("name"), F.lit("primary").alias("n_name")))
+    return joined.unionByName(c.select(F.col("c_name").alias("name"), F.lit("primary").alias("n_name")))
 
 
 @query("insert_select_join", "SELECT n_nationkey, 'w' || w AS product FROM nation JOIN (VALUES ('NATION_1', 10), ('NATION_3', 20), ('NOWHERE', 30)) x(nm, w) ON nm = n_name")

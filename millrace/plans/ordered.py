@@ -125,15 +125,15 @@ def natural_version_sort(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("version", F.row_number().over(Window.orderBy(F.desc(V.sort_key(F.col("version"))), "version")).alias("place"))
 
 
-@query("ci_sort", "SELECT doc_id FROM documents ORDER BY lower(left(text, 12)), doc_id LIMIT 50")
+@query("ci_sort", "SELECT doc_id FROM documents ORDER BY lower(text), doc_id LIMIT 50")
 def ci_sort(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").orderBy(F.lower(F.left("text", F.lit(12))), "doc_id").limit(50).select("doc_id")
+    return table(spark, sf, "documents").orderBy(F.lower("text"), "doc_id").limit(50).select("doc_id")
 
 
 @query("random_sample_sorted")
 def random_sample_sorted(spark: SparkSession, sf: str) -> DataFrame:
-    """Random order within a sort key, with a stated seed; five random rows."""
-    return table(spark, sf, "supplier").orderBy("s_nationkey", F.rand(7)).limit(5).select("s_suppkey", "s_nationkey")
+    """Five random rows of the whole table, with a stated seed, then sorted."""
+    return table(spark, sf, "supplier").orderBy(F.rand(7)).limit(5).orderBy("s_nationkey", "s_suppkey").select("s_suppkey", "s_nationkey")
 
 
 @query("topk_tiebreak", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 7")
@@ -211,7 +211,7 @@ def email_view_union_all(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "sitemap_union",
-    """SELECT 'orders/' || o_orderkey AS url, round(0.5 - least(date_diff('day', o_orderdate, TIMESTAMP '2001-08-01') / 365.0, 4.0) / 10, 4)::DOUBLE AS prio, o_orderdate AS lastmod FROM orders WHERE o_orderkey < 200
+    """SELECT 'orders/' || o_orderkey AS url, round(0.5 - least(date_diff('day', o_orderdate, TIMESTAMP '2001-08-01') / 365.0, 4.0) / 10, 4)::DOUBLE AS prio, o_orderdate AS lastmod FROM orders
     UNION ALL SELECT 'parts/' || p_partkey, NULL, NULL FROM part WHERE p_size = 1 UNION ALL SELECT 'regions', 0.9, NULL""",
 )
 def sitemap_union(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,7 +219,7 @@ def sitemap_union(spark: SparkSession, sf: str) -> DataFrame:
     o, p = tables(spark, sf, "orders part")
     now = F.lit("2001-08-01").cast("date")
     score = F.round(Q.age_score(F.col("o_orderdate").cast("date"), now), 4)
-    orders = o.where("o_orderkey < 200").select(F.concat(F.lit("orders/"), "o_orderkey").alias("url"), score.alias("prio"), F.col("o_orderdate").alias("lastmod"))
+    orders = o.select(F.concat(F.lit("orders/"), "o_orderkey").alias("url"), score.alias("prio"), F.col("o_orderdate").alias("lastmod"))
     parts = p.where("p_size = 1").select(F.concat(F.lit("parts/"), "p_partkey").alias("url"))
     fixed = spark.createDataFrame([("regions", 0.9)], "url string, prio double")
     return orders.unionByName(parts, allowMissingColumns=True).unionByName(fixed, allowMissingColumns=True)

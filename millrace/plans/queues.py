@@ -18,17 +18,17 @@ def consumers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, "north"), (2, "south"), (3, "east")], "consumerid int, consumer string")
 
 
-@query("purge_fanout", f"SELECT event_id, consumerid, '^/' || event_type || '/' AS expr FROM events, {CONSUMERS} WHERE event_id < 1000")
+@query("purge_fanout", f"SELECT event_id, consumerid, '^/' || event_type || '/' AS expr FROM events, {CONSUMERS}")
 def purge_fanout(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("event_id < 1000").select("event_id", F.concat(F.lit("^/"), "event_type", F.lit("/")).alias("expr"))
+    e = table(spark, sf, "events").select("event_id", F.concat(F.lit("^/"), "event_type", F.lit("/")).alias("expr"))
     return Q.fan_out(e, consumers(spark)).select("event_id", "consumerid", "expr")
 
 
-@query("purge_keys_explode", "SELECT event_id, unnest(CASE WHEN event_type = 'purchase' THEN ['/' || event_id, '/feed/', '/archive/'] ELSE ['/' || event_id] END) AS url FROM events WHERE event_id < 1000")
+@query("purge_keys_explode", "SELECT event_id, unnest(CASE WHEN event_type = 'purchase' THEN ['/' || event_id, '/feed/', '/archive/'] ELSE ['/' || event_id] END) AS url FROM events")
 def purge_keys_explode(spark: SparkSession, sf: str) -> DataFrame:
     own = F.concat(F.lit("/"), "event_id")
     urls = F.when(F.col("event_type") == "purchase", F.array(own, F.lit("/feed/"), F.lit("/archive/"))).otherwise(F.array(own))
-    return table(spark, sf, "events").where("event_id < 1000").select("event_id", F.explode(urls).alias("url"))
+    return table(spark, sf, "events").select("event_id", F.explode(urls).alias("url"))
 
 
 _CDC = """WITH ch AS (SELECT user_id, ts FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) WHERE was IS NOT NULL AND was <> event_type),
@@ -155,11 +155,11 @@ def changed_since(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "purge_keys_from_change",
-    f"""WITH ch AS (SELECT * FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events WHERE user_id < 20) WHERE was IS NOT NULL AND was <> event_type)
+    f"""WITH ch AS (SELECT * FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) WHERE was IS NOT NULL AND was <> event_type)
     SELECT event_id, consumerid, url FROM (SELECT event_id, unnest(['/u/' || user_id, '/t/' || event_type]) AS url FROM ch), {CONSUMERS}""",
 )
 def purge_keys_from_change(spark: SparkSession, sf: str) -> DataFrame:
-    changed = Q.changes(table(spark, sf, "events").where("user_id < 20"), "user_id", ["ts", "event_id"], ["event_type"])
+    changed = Q.changes(table(spark, sf, "events"), "user_id", ["ts", "event_id"], ["event_type"])
     urls = changed.select("event_id", F.explode(F.array(F.concat(F.lit("/u/"), "user_id"), F.concat(F.lit("/t/"), "event_type"))).alias("url"))
     return Q.fan_out(urls, consumers(spark)).select("event_id", "consumerid", "url")
 
@@ -186,10 +186,10 @@ def path_routing(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p in _FILES], "path string").withColumn("stale", routed(F.col("path")))
 
 
-@query("line_routing", f"SELECT n, path, {_ROUTED} AS stale FROM (SELECT event_id AS n, CASE event_type WHEN 'view' THEN 'templates/' WHEN 'click' THEN 'media/' ELSE 'x/' END || user_id || '.css' AS path FROM events WHERE event_id < 200)")
+@query("line_routing", f"SELECT n, path, {_ROUTED} AS stale FROM (SELECT event_id AS n, CASE event_type WHEN 'view' THEN 'templates/' WHEN 'click' THEN 'media/' ELSE 'x/' END || user_id || '.css' AS path FROM events)")
 def line_routing(spark: SparkSession, sf: str) -> DataFrame:
     head = F.when(F.col("event_type") == "view", "templates/").when(F.col("event_type") == "click", "media/").otherwise("x/")
-    lines = table(spark, sf, "events").where("event_id < 200").select(F.col("event_id").alias("n"), F.concat(head, "user_id", F.lit(".css")).alias("path"))
+    lines = table(spark, sf, "events").select(F.col("event_id").alias("n"), F.concat(head, "user_id", F.lit(".css")).alias("path"))
     return lines.withColumn("stale", routed(F.col("path")))
 
 
@@ -209,11 +209,11 @@ def push_batches_100(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("c_nationkey", "batch").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
 
 
-@query("mail_rows_explode", "SELECT event_id, unnest(CASE WHEN user_id % 3 = 0 THEN ['u' || user_id, 'cc'] ELSE ['u' || user_id] END) AS receiver FROM events WHERE event_id < 500")
+@query("mail_rows_explode", "SELECT event_id, unnest(CASE WHEN user_id % 3 = 0 THEN ['u' || user_id, 'cc'] ELSE ['u' || user_id] END) AS receiver FROM events")
 def mail_rows_explode(spark: SparkSession, sf: str) -> DataFrame:
     to, cc = F.concat(F.lit("u"), "user_id"), F.when(F.col("user_id") % 3 == 0, "cc")
     receivers = F.filter(F.array(to, cc), lambda x: x.isNotNull())
-    return table(spark, sf, "events").where("event_id < 500").select("event_id", F.explode(receivers).alias("receiver"))
+    return table(spark, sf, "events").select("event_id", F.explode(receivers).alias("receiver"))
 
 
 @query("unnest_array", "SELECT unnest([3, 1, 2]) AS x, r_name FROM region")
@@ -263,11 +263,11 @@ def versions_json(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("r_regionkey", F.to_json(F.struct("count", F.col("r_name").alias("name"), "nations")).alias("doc"))
 
 
-@query("catalog_nested", "SELECT p_brand, string_agg(p_partkey || ':' || coalesce(nullif(CASE WHEN p_size < 25 THEN '' ELSE p_type END, ''), '-'), ',' ORDER BY p_partkey) AS items FROM part WHERE p_partkey < 300 GROUP BY 1")
+@query("catalog_nested", "SELECT p_brand, string_agg(p_partkey || ':' || coalesce(nullif(CASE WHEN p_size < 25 THEN '' ELSE p_type END, ''), '-'), ',' ORDER BY p_partkey) AS items FROM part GROUP BY 1")
 def catalog_nested(spark: SparkSession, sf: str) -> DataFrame:
     """A nested list per group in which empty texts count as missing."""
     kind = F.nullif(F.when(F.col("p_size") < 25, "").otherwise(F.col("p_type")), F.lit(""))
-    rows = table(spark, sf, "part").where("p_partkey < 300").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", kind.alias("kind")))).alias("a"))
+    rows = table(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", kind.alias("kind")))).alias("a"))
     return rows.select("p_brand", F.array_join(F.transform("a", lambda x: F.concat_ws(":", x.p_partkey, F.coalesce(x.kind, F.lit("-")))), ",").alias("items"))
 
 

@@ -132,7 +132,7 @@ def vote_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy(F.col("event_type").alias("question"), answer.alias("answer")).agg(F.count("*").alias("votes"))
 
 
-@query("pin_reconcile", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'a' WHEN user_id % 3 = 1 THEN 'a,b' ELSE '' END AS to_set, CASE WHEN user_id % 2 = 0 THEN 'c' ELSE '' END AS to_drop FROM events WHERE event_id < 500")
+@query("pin_reconcile", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'a' WHEN user_id % 3 = 1 THEN 'a,b' ELSE '' END AS to_set, CASE WHEN user_id % 2 = 0 THEN 'c' ELSE '' END AS to_drop FROM events")
 def pin_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     """Wanted against actual pins of each provider."""
     u = F.col("user_id")
@@ -141,7 +141,7 @@ def pin_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     have = F.when(u % 3 == 1, pair("z", "1")).otherwise(pair("b", "1"))
     have = F.map_concat(F.map_filter(have, lambda k, v: k != "z"), F.map_filter(pair("c", "9"), lambda k, v: u % 2 == 0))
     to_set, to_drop = M.reconcile(want, have)
-    return table(spark, sf, "events").where("event_id < 500").select("event_id", F.array_join(to_set, ",").alias("to_set"), F.array_join(to_drop, ",").alias("to_drop"))
+    return table(spark, sf, "events").select("event_id", F.array_join(to_set, ",").alias("to_set"), F.array_join(to_drop, ",").alias("to_drop"))
 
 
 @query("bulk_flag", "SELECT p_partkey, p_size < 5 OR p_brand = 'Brand#1' AS public FROM part")

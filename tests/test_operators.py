@@ -103,9 +103,8 @@ def test_acknowledged_keeps_what_changed(spark):
 
 
 def test_page_parser_quirks():
-    p = crawl.PageParser()
-    p.feed("<head><title>T1</title> more</head><body><p>one<script>no</script> lost<p>two<a href='/x'>x</a></body>")
-    assert (p.title, p.chunks, p.links) == ("T1more", ["one", "two"], ["/x"])
+    page = crawl.read_page("<head><title>T1</title> more</head><body><p>one<script>no</script> lost<p>two<a href='/x'>x</a></body>")
+    assert page == ("T1more", "one\ntwo\n", ["/x"])
 
 
 @pytest.mark.parametrize(
