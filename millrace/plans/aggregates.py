@@ -99,7 +99,7 @@ def any_true(spark: SparkSession, sf: str) -> DataFrame:
 )
 def mn_child_list(spark: SparkSession, sf: str) -> DataFrame:
     l, p, s = tables(spark, sf, "lineitem part supplier")
-    names = l.where("l_quantity > 45 AND l_partkey < 200").join(s, F.col("s_suppkey") == F.col("l_suppkey")).select("l_partkey", "s_name").distinct()
+    names = l.where("l_quantity > 45").join(s, F.col("s_suppkey") == F.col("l_suppkey")).select("l_partkey", "s_name").distinct()
     lists = names.groupBy("l_partkey").agg(R.joined_text("s_name", ", ", F.col("s_name")).alias("names"))
     return p.join(lists, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", F.coalesce("names", F.lit("")).alias("suppliers"))
 

@@ -110,22 +110,22 @@ def unified_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("byte_facets")
 def byte_facets(spark: SparkSession, sf: str) -> DataFrame:
-    post = F.concat(F.left("text", F.lit(60)), F.lit(" #news https://example.org/"), F.col("doc_id"))
+    post = F.concat(F.col("text"), F.lit(" #news https://example.org/"), F.col("doc_id"))
     return table(spark, sf, "documents").select("doc_id", F.explode(texts.facets(post)).alias("f")).select("doc_id", "f.*")
 
 
 @query("markdown_clean")
 def markdown_clean(spark: SparkSession, sf: str) -> DataFrame:
-    post = F.concat(F.lit("**"), F.left("text", F.lit(40)), F.lit("** [more](https://example.org/) [bad](javascript:x) <script>"))
+    post = F.concat(F.lit("**"), F.col("text"), F.lit("** [more](https://example.org/) [bad](javascript:x) <script>"))
     return table(spark, sf, "documents").select("doc_id", texts.plain_markdown(post).alias("html"))
 
 
-@query("replace_with_lookup", "SELECT doc_id, left(text, 30) || ' [q' || coalesce(quality::VARCHAR, '?') || '] end' AS text FROM documents LEFT JOIN labels USING (doc_id)")
+@query("replace_with_lookup", "SELECT doc_id, text || ' [q' || coalesce(quality::VARCHAR, '?') || '] end' AS text FROM documents LEFT JOIN labels USING (doc_id)")
 def replace_with_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """References in a text are replaced by what a table has under their ids: the text is
     split at them, joined by id, and put together again in order."""
     d, l = tables(spark, sf, "documents labels")
-    text = F.concat(F.left("text", F.lit(30)), F.lit(" ![](/img/"), F.col("doc_id"), F.lit(") end"))
+    text = F.concat(F.col("text"), F.lit(" ![](/img/"), F.col("doc_id"), F.lit(") end"))
     parts = d.select("doc_id", F.posexplode(F.split(text, r"(?=!\[\]\(/img/\d+\))|(?<=\))")).alias("i", "part"))
     named = parts.withColumn("ref", F.regexp_extract("part", r"^!\[\]\(/img/(\d+)\)$", 1).try_cast("bigint"))
     looked = named.join(l.select(F.col("doc_id").alias("ref"), "quality"), "ref", "left")
@@ -228,9 +228,9 @@ def parse_date_default(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", texts.parsed_date(header, "yyyy-MM-dd", now).cast("timestamp_ntz").alias("modified"))
 
 
-@query("wide_to_long", "SELECT l_orderkey, l_linenumber, unnest(['quantity', 'discount', 'tax']) AS field, unnest([l_quantity, l_discount, l_tax]) AS value FROM lineitem WHERE l_orderkey < 500")
+@query("wide_to_long", "SELECT l_orderkey, l_linenumber, unnest(['quantity', 'discount', 'tax']) AS field, unnest([l_quantity, l_discount, l_tax]) AS value FROM lineitem")
 def wide_to_long(spark: SparkSession, sf: str) -> DataFrame:
-    l = table(spark, sf, "lineitem").where("l_orderkey < 500").withColumnsRenamed({"l_quantity": "quantity", "l_discount": "discount", "l_tax": "tax"})
+    l = table(spark, sf, "lineitem").withColumnsRenamed({"l_quantity": "quantity", "l_discount": "discount", "l_tax": "tax"})
     return l.unpivot(["l_orderkey", "l_linenumber"], ["quantity", "discount", "tax"], "field", "value")
 
 
