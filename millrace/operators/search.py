@@ -35,9 +35,9 @@ def parse_query(text: str, synonyms: Mapping[str, str] | None = None, stop_words
     return list(dict.fromkeys(w for w in named if w not in stop_words))
 
 
-def index_words(text: Column, synonyms: Mapping[str, str] | None = None, stop_words: frozenset[str] = frozenset()) -> Column:
+def index_words(text: Column, synonyms: Mapping[str, str] | None = None, stop_words: frozenset[str] = frozenset(), unindexed: str = UNINDEXED) -> Column:
     """Words as they are indexed: unindexed classes out, synonyms mapped, stop words out."""
-    out = words(F.regexp_replace(text, UNINDEXED, " "))
+    out = words(F.regexp_replace(text, unindexed, " "))
     if synonyms:
         table = F.create_map(*[F.lit(x) for pair in synonyms.items() for x in pair])
         out = F.transform(out, lambda w: F.coalesce(F.try_element_at(table, w), w))
@@ -51,17 +51,44 @@ def title_of(text: Column) -> Column:
     return F.substring_index(text, "\n", 1)
 
 
-def cover_ranks(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, rank) of the documents that hold every term.
+@dataclass(frozen=True)
+class Config:
+    """How texts and queries become terms: a synonym table, stop words, classes left out.
+
+    ``unindexed`` must match no plain word. Stop words need not be taken from texts: a query
+    never asks for one, and the places of the other words count them.
+    """
+
+    synonyms: Mapping[str, str]
+    stop_words: frozenset[str] = STOP_WORDS
+    unindexed: str = UNINDEXED
+
+    def terms(self, query: str) -> list[str]:
+        import re
+
+        return parse_query(re.sub(self.unindexed, " ", query), self.synonyms, self.stop_words)
+
+    def words(self, text: Column) -> Column:
+        return index_words(text, self.synonyms, unindexed=self.unindexed)
+
+    def spellings(self, term: str) -> list[str]:
+        return [term, *sorted(w for w, meant in self.synonyms.items() if meant == term)]
+
+
+def cover_ranks(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", config: Config | None = None) -> DataFrame:
+    """(key, rank) of the documents that hold every term, in any of its spellings.
 
     Documents without all terms are left by a containment test before any word is exploded.
     The outer explode spares a test for empty lists that would split every text twice.
     """
-    has = reduce(lambda a, b: a & b, [F.contains(F.lower(text), F.lit(t)) for t in terms])
+    split = config.words if config else words
+    spelled = config.spellings if config else lambda t: [t]
+    any_of = lambda t: reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(w)) for w in spelled(t)])
+    has = reduce(lambda a, b: a & b, [any_of(t) for t in terms])
     own = Window.partitionBy(key).orderBy("pos")
     held = (
         docs.where(has)
-        .select(key, F.size(words(title_of(F.col(text)))).alias("title"), words(F.col(text)).alias("words"))
+        .select(key, F.size(split(title_of(F.col(text)))).alias("title"), split(F.col(text)).alias("words"))
         .select(key, "title", F.posexplode_outer("words").alias("pos", "term"))
         .where(F.col("term").isin(*terms))
     )
@@ -90,6 +117,7 @@ class Search:
     site: str | None = None
     prefix: str | None = None
     internal: bool = False
+    config: Config | None = None
 
 
 def search(pages: DataFrame, options: Search) -> DataFrame:
@@ -107,7 +135,7 @@ def search(pages: DataFrame, options: Search) -> DataFrame:
         pages = pages.where(F.col("site") == options.site)
     if options.prefix is not None:
         pages = pages.where(F.col("url").like(options.prefix + "%"))
-    ranked = cover_ranks(pages, options.terms).join(pages.select("doc_id", "relprio"), "doc_id")
+    ranked = cover_ranks(pages, options.terms, config=options.config).join(pages.select("doc_id", "relprio"), "doc_id")
     ranked = ranked.withColumn("key", F.col("rank") * F.col("relprio"))
     best = ranked.orderBy(F.desc("key"), "doc_id").limit(HIT_CAP)
     top = best.orderBy(F.desc("key"), "doc_id").offset(options.offset).limit(options.per_page)

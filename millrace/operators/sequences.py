@@ -3,6 +3,8 @@ staggered schedules, age scores."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +19,33 @@ def carried_forward(states: DataFrame, key: str, order: list[str], state: str, d
     return states.withColumn("carried", F.lower(F.left(F.coalesce(last, F.lit(default)), F.lit(3))))
 
 
+def walked(spec: DataFrame, key: str, order: str, version: str, state: str, displayed: Sequence[str], default: str = "No") -> DataFrame:
+    """(key, version, carried) for each key and displayed version: a walk along ``displayed``
+    that waits for the next version its key names. One that is not displayed, or only before
+    the last one met, stops the walk: the state met last stays to the end.
+
+    A named version is met if it and all named before it are displayed, each after the
+    last. Null states count as ``default``, null versions as not displayed. ``displayed`` is
+    a short list without repeats; per key no more rows than it has are gathered.
+    """
+    if len(set(displayed)) < len(displayed):
+        raise ValueError("a version is displayed twice")
+    if not displayed:
+        return spec.select(key, F.lit("").alias("version"), F.lit("").alias("carried")).limit(0)
+    shown = F.array(*[F.lit(v) for v in displayed])
+    place = F.coalesce(F.array_position(shown, F.col(version)), F.lit(0))
+    rows = spec.select(key, F.col(order).alias("_order"), F.col(state).alias("_state"), place.alias("_place"))
+    own = Window.partitionBy(key).orderBy("_order")
+    before = F.coalesce(F.max("_place").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_fits", F.col("_place") > before)
+    met = F.min("_fits").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    step = F.when(F.col("_met"), F.struct("_place", F.coalesce("_state", F.lit(default)).alias("_state")))
+    steps = rows.withColumn("_met", met).groupBy(key).agg(F.collect_list(step).alias("_steps"))
+    each = steps.select(key, "_steps", F.posexplode(shown).alias("_at", "version"))
+    last = F.array_max(F.filter("_steps", lambda s: s["_place"] <= F.col("_at") + 1))["_state"]
+    return each.select(key, "version", F.lower(F.left(F.coalesce(last, F.lit(default)), F.lit(3))).alias("carried"))
+
+
 def decayed_priority(rank: Column, start: float = 0.8, step: float = 0.1, least: float = 0.1) -> Column:
     """0.7 for the first version, 0.1 less for each further one, never under ``least``."""
     return F.round(F.greatest(F.lit(start) - step * rank, F.lit(least)), 1)

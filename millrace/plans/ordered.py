@@ -23,6 +23,22 @@ def feature_locf(spark: SparkSession, sf: str) -> DataFrame:
     return Q.carried_forward(e, "user_id", ["ts", "event_id"], "state").select("event_id", "user_id", "carried")
 
 
+@query(
+    "feature_walk",
+    """WITH RECURSIVE s AS (SELECT user_id, event_type, CASE o % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'Obsolete' ELSE 'Partial' END AS state, row_number() OVER (PARTITION BY user_id ORDER BY o) AS n
+    FROM (SELECT user_id, event_type, min(event_id) AS o FROM events GROUP BY 1, 2)),
+    d AS (SELECT * FROM (VALUES (1, 'view'), (2, 'click'), (3, 'signup'), (4, 'purchase')) v(p, version)),
+    r AS (SELECT DISTINCT user_id, 0 AS p, 1::BIGINT AS n, 'No' AS cur FROM s
+    UNION ALL SELECT r.user_id, d.p, CASE WHEN s.n IS NULL THEN r.n ELSE r.n + 1 END, coalesce(s.state, r.cur) FROM r JOIN d ON d.p = r.p + 1 LEFT JOIN s ON s.user_id = r.user_id AND s.n = r.n AND s.event_type = d.version)
+    SELECT user_id, version, lower(left(cur, 3)) AS carried FROM r JOIN d USING (p)""",
+)
+def feature_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user names the kinds of event in the order of their first ones; 'error' is not displayed and stops the walk."""
+    named = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("o"))
+    state = F.when(F.col("o") % 3 == 0, "Yes").when(F.col("o") % 3 == 1, "Obsolete").otherwise("Partial")
+    return Q.walked(named.withColumn("state", state), "user_id", "o", "event_type", "state", ["view", "click", "signup", "purchase"])
+
+
 @query(
     "priority_decay",
     """SELECT o_orderkey, url, prio FROM (SELECT o_orderkey, unnest(CASE WHEN y = 2000 THEN ['docs/' || y, 'docs/current'] ELSE ['docs/' || y] END) AS url,
@@ -166,8 +182,9 @@ def mixed_direction_sort(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("slice_after", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY r) AS keys FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r BETWEEN 3 AND 5 GROUP BY 1")
 def slice_after(spark: SparkSession, sf: str) -> DataFrame:
-    """Elements three to five of each list."""
-    lists = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("a"))
+    """Elements three to five of each list; only five of each are kept before they are put together."""
+    first = R.top_per(table(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], 5, F.col("o_orderkey"))
+    lists = first.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("a"))
     return lists.where(F.size("a") >= 3).select("o_custkey", F.array_join(F.slice("a", 3, 3).cast("array<string>"), ",").alias("keys"))
 
 

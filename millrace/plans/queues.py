@@ -203,9 +203,9 @@ def indexed_params_explode(spark: SparkSession, sf: str) -> DataFrame:
     return Q.fan_out(request.select("params", i).select("i", item.alias("item")), consumers(spark)).select("consumerid", "i", "item")
 
 
-@query("push_batches_100", "SELECT c_nationkey, batch, count(*) AS n, min(c_custkey) AS first FROM (SELECT *, ((row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 25)::INT AS batch FROM customer) GROUP BY 1, 2")
+@query("push_batches_100", "SELECT c_nationkey, batch, count(*) AS n, min(c_custkey) AS first FROM (SELECT *, ((row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 100)::INT AS batch FROM customer) GROUP BY 1, 2")
 def push_batches_100(spark: SparkSession, sf: str) -> DataFrame:
-    rows = Q.batches(table(spark, sf, "customer"), "c_nationkey", "c_custkey", 25)
+    rows = Q.batches(table(spark, sf, "customer"), "c_nationkey", "c_custkey", 100)
     return rows.groupBy("c_nationkey", "batch").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
 
 

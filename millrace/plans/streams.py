@@ -8,6 +8,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.texts import signed
 from millrace.operators.queues import lock
 from millrace.registry import query
 from millrace.sources.shared import shared_dir
@@ -28,12 +29,18 @@ def queue_drain_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("receiver_apply", "SELECT user_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY 1")
 def receiver_apply(spark: SparkSession, sf: str) -> DataFrame:
-    at = _folder(spark)
-    users = S.event_stream(spark, f"{sf}/events.parquet")
+    """Users arrive with signed payloads; a batch in which one does not verify is refused."""
+    at, secret = _folder(spark), F.lit("shared secret")
+    payload = F.to_json(F.struct("user_id", "event_type", F.unix_micros("ts").alias("at"), "event_id"))
+    users = S.event_stream(spark, f"{sf}/events.parquet").select(payload.alias("payload")).withColumn("signature", signed(F.col("payload"), secret))
 
     def verify(batch: DataFrame) -> DataFrame:
-        last = batch.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
-        return last.withColumn("ok", F.col("event_type").isNotNull())
+        read = batch.select(
+            (signed(F.col("payload"), secret) == F.col("signature")).alias("ok"),
+            F.from_json("payload", "user_id long, event_type string, at long, event_id long").alias("u"),
+        )
+        last = F.max_by("u.event_type", F.struct("u.at", "u.event_id")).alias("event_type")
+        return read.groupBy("u.user_id").agg(last, F.min(F.coalesce("ok", F.lit(False))).alias("ok"))
 
     S.apply_users(users, f"{at}/out", f"{at}/state", verify).awaitTermination()
     return S.applied(spark, f"{at}/out", "user_id")

@@ -34,14 +34,15 @@ def drain(queue: DataFrame, handled: tuple[str, ...], out: str, checkpoint: str)
 
 
 def apply_users(payloads: DataFrame, target: str, checkpoint: str, verify: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Applies user payloads; a batch with a bad signature is not applied at all. Each batch
-    is a snapshot of its own, and the latest per user counts (see ``applied``)."""
+    """Applies user payloads; a batch with a bad signature, or none, is not applied at all.
+    Each batch is a snapshot of its own, empty if refused, and the latest per user counts
+    (see ``applied``)."""
 
     def act(batch: DataFrame, batch_id: int) -> None:
         checked = verify(batch)
-        if not checked.where("NOT ok").isEmpty():
-            return
-        checked.drop("ok").withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/part={batch_id}")
+        refused = not checked.where("ok IS NULL OR NOT ok").isEmpty()
+        taken = checked.where(F.lit(not refused))
+        taken.drop("ok").withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/part={batch_id}")
 
     return payloads.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -31,11 +31,38 @@ def test_query_parsing():
     assert search.parse_query("The Foo, foo bar", {"bar": "baz"}, frozenset({"the"})) == ["foo", "baz"]
 
 
+def test_configured_search_knows_spellings(spark):
+    config = search.Config({"pgx": "px", "postx": "px"})
+    assert config.terms("The PGX of 1.5 a@b.org postx") == ["px"] and config.spellings("px") == ["px", "pgx", "postx"]
+    docs = spark.createDataFrame([(1, "PostX"), (2, "x\npx"), (3, "http://px.org a@pgx.org"), (4, None), (5, "")], "doc_id long, text string")
+    assert rows(search.cover_ranks(docs, ["px"], config=config)) == [(1, 1.0), (2, 0.1)]
+
+
 def test_carried_forward_state(spark):
     df = spark.createDataFrame([("f", 1, None), ("f", 2, "Yes"), ("f", 3, None), ("f", 4, "Obsolete"), ("g", 1, None)], "k string, v int, s string")
     assert rows(sequences.carried_forward(df, "k", ["v"], "s"), "k", "v", "carried") == [("f", 1, "no"), ("f", 2, "yes"), ("f", 3, "yes"), ("f", 4, "obs"), ("g", 1, "no")]
 
 
+def test_walk_waits_for_the_next_named_version(spark):
+    names = {"f": [("9", "Yes"), ("10", "Obsolete")], "g": [("8", "Yes"), ("10", "No")], "h": [("11", "Yes"), ("9", "No")], "i": [(None, "Yes")], "j": [("10", None)]}
+    spec = spark.createDataFrame([(k, n, v, s) for k, vs in names.items() for n, (v, s) in enumerate(vs)], "k string, o int, v string, s string")
+    shown = ["9", "10", "11"]
+
+    def walk(named):
+        now, left, out = "No", list(named), []
+        for v in shown:
+            if left and left[0][0] == v:
+                now = left.pop(0)[1] or "No"
+            out.append(now.lower()[:3])
+        return out
+
+    got = rows(sequences.walked(spec, "k", "o", "v", "s", shown))
+    assert got == sorted((k, v, c) for k, named in names.items() for v, c in zip(shown, walk(named), strict=True))
+    assert sequences.walked(spec.limit(0), "k", "o", "v", "s", shown).count() == 0 == sequences.walked(spec, "k", "o", "v", "s", []).count()
+    with pytest.raises(ValueError):
+        sequences.walked(spec, "k", "o", "v", "s", ["9", "9"])
+
+
 def test_decay_and_age(spark):
     one = spark.range(1)
     got = one.select(*[sequences.decayed_priority(F.lit(r)).alias(str(r)) for r in (1, 2, 7, 9)]).first()

@@ -59,6 +59,12 @@ def test_a_bad_batch_is_not_applied(spark, parts, tmp_path):
     assert got == later.groupby("user_id")["event_type"].last().to_dict()
 
 
+def test_a_run_of_refused_batches_applies_nobody(spark, parts, tmp_path):
+    verify = lambda batch: batch.select("user_id", "event_type").withColumn("ok", F.lit(None).cast("boolean"))
+    S.apply_users(S.event_stream(spark, parts), str(tmp_path / "out"), str(tmp_path / "state"), verify).awaitTermination()
+    assert S.applied(spark, str(tmp_path / "out"), "user_id").count() == 0
+
+
 def test_windowed_counts_are_final_behind_the_watermark(spark, parts, tmp_path):
     stream = S.counted(S.event_stream(spark, parts)).select(F.col("window.start").alias("start"), "event_type", "n")
     S.to_parquet(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
