@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from datetime import timedelta
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,17 +71,35 @@ def decide(times: Iterable, step: Callable, state: list | None = None) -> tuple[
     return out, state
 
 
+def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``rows`` with their place ``__n`` in their key, keys together and in that order in each
+    partition, so that a task can go through them batch by batch and never holds a whole key."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("__n", place).sortWithinPartitions(key, "__n")
+
+
 def with_feedback(rows: DataFrame, key: str, time: str, tie: str, step: Callable) -> DataFrame:
     """``rows`` (key, time, tie) with ``ok``. What was accepted before decides on what comes
-    after, so one key is handled in order; different keys run apart."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([time, tie])
-        times = group[time].to_numpy().astype("datetime64[us]").tolist()
-        return group.assign(ok=decide(times, step)[0])
+    after, so one key is handled in order; different keys run apart. Rows without a time
+    are not decided on: their ``ok`` is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list = []
+        for b in batches:
+            micros = b.column(time).cast(pa.int64())
+            times = micros.fill_null(0).to_numpy(zero_copy_only=False).astype("datetime64[us]").tolist()
+            out = []
+            for t, known, n in zip(times, micros.is_valid().to_pylist(), b.column("__n").to_pylist(), strict=True):
+                if n == 1:
+                    state = []
+                ok = None
+                if known:
+                    ok, state = step(state, t)
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (key, time, tie)), pa.array(out, pa.bool_())], names=[key, time, tie, "ok"])
 
     rows = rows.select(key, time, tie)
-    return rows.groupBy(key).applyInPandas(run, f"{', '.join(f'{c} {t}' for c, t in rows.dtypes)}, ok boolean")
+    return numbered(rows, key, [time, tie]).mapInArrow(run, f"{', '.join(f'{c} {t}' for c, t in rows.dtypes)}, ok boolean")
 
 
 def moderate(state: int, first: int | None, action: str, who: int, two: bool) -> tuple[int, int | None]:
@@ -105,14 +123,27 @@ def moderate(state: int, first: int | None, action: str, who: int, two: bool) ->
 def moderated(actions: DataFrame, key: str, order: list[str]) -> DataFrame:
     """(key, modstate, first) after all actions (key, order.., action, who, two)."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        state, first = CREATED, None
-        for action, who, two in group.sort_values(order)[["action", "who", "two"]].itertuples(index=False):
-            state, first = moderate(state, first, action, who, two)
-        return pd.DataFrame({key: [group[key].iloc[0]], "modstate": [state], "first": pd.array([first], dtype="Int64")})
-
-    kind = dict(actions.dtypes)[key]
-    return actions.groupBy(key).applyInPandas(run, f"{key} {kind}, modstate int, first long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finished(keys: list, ends: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+            states, firsts = ([e[i] for e in ends] for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(states, pa.int32()), pa.array(firsts, pa.int64())], names=[key, "modstate", "first"])
+
+        open_key, now, kind, begun = None, (CREATED, None), None, False
+        for b in batches:
+            kind, keys, ends = b.schema.field(key).type, [], []
+            for k, action, who, two, n in zip(*(b.column(c).to_pylist() for c in (key, "action", "who", "two", "__n")), strict=True):
+                if n == 1:
+                    if begun:
+                        keys.append(open_key)
+                        ends.append(now)
+                    open_key, now, begun = k, (CREATED, None), True
+                now = moderate(*now, action, who, two)
+            yield finished(keys, ends, kind)
+        if begun:
+            yield finished([open_key], [now], kind)
+
+    rows = actions.select(key, *order, "action", "who", "two")
+    return numbered(rows, key, order).mapInArrow(run, f"{key} {dict(actions.dtypes)[key]}, modstate int, first long")
 
 
 def change_kind(old: Column, new: Column, same: Column) -> Column:

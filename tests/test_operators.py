@@ -117,6 +117,25 @@ def test_limits_with_feedback():
     assert queues.decide(t[:4], queues.limiter(2, timedelta(minutes=20)))[0] == [True, True, True, False]
 
 
+def test_limits_hold_over_batches_and_null_keys(spark):
+    t = datetime(2024, 1, 1)
+    data = [(k, t + timedelta(minutes=m), i) for k in (1, None, (1 << 60) + 1) for i, m in enumerate((0, 14, 16, 30, 32))] + [(1, None, 9)]
+    df = spark.createDataFrame(data, "k long, t timestamp_ntz, i long")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "2")
+    try:
+        got = queues.with_feedback(df, "k", "t", "i", queues.lock(timedelta(minutes=15))).collect()
+        acts = df.where("t IS NOT NULL").select("k", "i", F.expr("CASE WHEN i = 0 THEN 'submit' ELSE 'approve' END").alias("action"), F.col("i").alias("who"), F.lit(True).alias("two"))
+        states = queues.moderated(acts, "k", ["i"]).collect()
+    finally:
+        spark.conf.set(size, before)
+    for k in (1, None, (1 << 60) + 1):
+        assert [r.ok for r in sorted((r for r in got if r.k == k and r.t), key=lambda r: r.i)] == [True, False, True, False, True]
+    assert [r.ok for r in got if r.t is None] == [None]
+    assert {(r.k, r.modstate, r.first) for r in states} == {(k, 2, 1) for k in (1, None, (1 << 60) + 1)} and len(states) == 3
+
+
 def test_moderation_needs_two():
     state = (queues.CREATED, None)
     for action, who, want in (("submit", 1, 1), ("approve", 5, 1), ("approve", 5, 1), ("return", 2, 0), ("submit", 1, 1), ("approve", 5, 1), ("approve", 6, 2), ("reject", 6, 3), ("submit", 1, 3)):
