@@ -67,8 +67,9 @@ def unexpired(rows: DataFrame, time: str, now: Column, age: str, only: Column |
 
 
 def reparent(rows: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    """Keys in ``column`` moved from mapping.old to mapping.new."""
-    m = F.broadcast(mapping.select(F.col("old").alias("__old"), F.col("new").alias("__new")))
+    """Keys in ``column`` moved from mapping.old to mapping.new. The mapping may be of any
+    size, so Spark chooses the join by what it measures."""
+    m = mapping.select(F.col("old").alias("__old"), F.col("new").alias("__new"))
     return rows.join(m, F.col(column) == F.col("__old"), "left").withColumn(column, F.coalesce("__new", column)).drop("__old", "__new")
 
 

@@ -90,8 +90,8 @@ def eager_join_inner_left(spark: SparkSession, sf: str) -> DataFrame:
     """Inner over a required key, left over one that may be missing."""
     c, n, r = tables(spark, sf, "customer nation region")
     return (
-        c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(F.broadcast(r), F.col("r_regionkey") == F.nullif("n_regionkey", F.lit(2)), "left")
+        c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(r, F.col("r_regionkey") == F.nullif("n_regionkey", F.lit(2)), "left")
         .select("c_custkey", "n_name", "r_name")
     )
 
