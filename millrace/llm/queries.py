@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import ann, chat, decontaminate, html_text, lm_score, near_dup, oracles, packing, pii, quality, url_filter
+from millrace.llm import ann, bpe_codec, chat, decontaminate, html_text, lm_score, near_dup, oracles, packing, pii, quality, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_ann": ann.op9_ann,
         "op10_html_text": html_text.op10_html_text,
+        "op13_bpe_codec": bpe_codec.op13_bpe_codec,
         "pipeline": corpus_pipeline.run,
     }
 
