@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from millrace.functions import versions as V
 from millrace.operators import relational as R
 from millrace.operators import sequences as Q
+from millrace.operators.numbering import numbered
 from millrace.registry import query
 from millrace.sources.tables import table, tables
 
@@ -138,7 +139,7 @@ def natural_version_sort(spark: SparkSession, sf: str) -> DataFrame:
     size = F.col("p_size")
     name = F.when(size % 7 == 0, F.concat(F.lit("v"), size)).otherwise(F.concat(F.lit("v"), size % 14, F.lit("."), size))
     v = table(spark, sf, "part").select(name.alias("version")).distinct()
-    return v.select("version", F.row_number().over(Window.orderBy(F.desc(V.sort_key(F.col("version"))), "version")).alias("place"))
+    return numbered(v, "place", F.desc(V.sort_key(F.col("version"))), F.asc("version")).withColumn("place", F.col("place").cast("int"))
 
 
 @query("ci_sort", "SELECT doc_id FROM documents ORDER BY lower(text), doc_id LIMIT 50")
@@ -169,15 +170,9 @@ def capped_made_ordered(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("mixed_direction_sort", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus, nullif(o_orderpriority, '5-LOW') DESC NULLS FIRST, o_orderkey)::INT AS place FROM orders")
 def mixed_direction_sort(spark: SparkSession, sf: str) -> DataFrame:
-    """Null places are spelled out. The global row number is built from ranked groups: a
-    count of the rows in front of each (status, priority) group, and a number inside it."""
-    o = table(spark, sf, "orders").withColumn("prio", F.nullif("o_orderpriority", F.lit("5-LOW")))
-    groups = o.groupBy("o_orderstatus", "prio").count()
-    ahead = F.coalesce(F.sum("count").over(Window.orderBy("o_orderstatus", F.desc_nulls_first("prio")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(groups.select(F.col("o_orderstatus").alias("s"), F.col("prio").alias("p"), ahead.alias("ahead")))
-    inside = F.row_number().over(Window.partitionBy("o_orderstatus", "prio").orderBy("o_orderkey"))
-    on = (F.col("o_orderstatus") == F.col("s")) & F.col("prio").eqNullSafe(F.col("p"))
-    return o.join(starts, on).select("o_orderkey", (inside + F.col("ahead")).cast("int").alias("place"))
+    """Null places are spelled out."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("prio"))
+    return numbered(o, "place", F.asc("o_orderstatus"), F.desc_nulls_first("prio"), F.asc("o_orderkey")).select("o_orderkey", F.col("place").cast("int").alias("place"))
 
 
 @query("slice_after", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY r) AS keys FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r BETWEEN 3 AND 5 GROUP BY 1")

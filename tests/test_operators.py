@@ -251,3 +251,18 @@ def test_empty_inputs(spark):
     assert queues.with_feedback(none, "k", "t", "i", queues.lock(timedelta(1))).count() == 0
     assert sequences.neighbours(none, ["k"], [F.col("t")], "i").count() == 0
     assert relational.keyset_page(none, "i", "k", 3).count() == 0
+
+
+def test_numbers_over_ranges_are_global(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.operators.numbering import numbered
+
+    rows = [(None if i % 7 == 0 else (i * 37) % 50, i, "x") for i in range(2000)]
+    df = spark.createDataFrame(rows, "a int, b int, place string").repartition(5)
+    got = numbered(df, "n", F.desc_nulls_first("a"), F.asc("b"))
+    want = sorted(rows, key=lambda r: (r[0] is not None, -(r[0] or 0), r[1]))
+    assert [(r.a, r.b, r.place) for r in sorted(got.collect(), key=lambda r: r.n)] == want
+    assert sorted(r.n for r in got.collect()) == list(range(1, 2001))
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert numbered(df.limit(0), "n", F.asc("b")).count() == 0
