@@ -53,3 +53,45 @@ SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns, sha256(string_agg(role |
   (sum(size) + coalesce(sum(past + coalesce(head_size, 0)) FILTER (WHERE opens AND win > 1), 0))::BIGINT AS formatted_chars
 FROM h GROUP BY 1
 """
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+g AS (
+  SELECT lang, m AS words, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase FROM p, (SELECT unnest([1, 2, 3]) AS m) WHERE len(ws) >= m),
+f AS (SELECT lang, words, phrase, count(*)::HUGEINT AS n FROM g GROUP BY 1, 2, 3),
+total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE words = 1 GROUP BY 1),
+cand AS (SELECT lang, words, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE words > 1 AND n >= 10),
+cuts AS (SELECT lang, phrase, words, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail FROM cand, (SELECT unnest([1, 2]) AS k) WHERE k < words),
+sc AS (SELECT c.*, x.n AS l, y.n AS r, 1000000 * a * a // (x.n * y.n) AS score FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.tail),
+low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM sc),
+longer AS (SELECT lang, sub, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS sub FROM cand WHERE words = 3) GROUP BY 1, 2),
+kept AS (SELECT low.* FROM low LEFT JOIN longer ON longer.lang = low.lang AND longer.sub = low.phrase WHERE o = 1 AND (most IS NULL OR 100 * most < 50 * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, total.n AS n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+#: The remainders of the CRC come from its polynomial, a bit at a time.
+RESAMPLING = r"""
+WITH tab AS (SELECT list(list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+d AS (
+  SELECT doc_id, 0 AS side, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
+  UNION ALL
+  SELECT -1, 1, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') FROM benchmark),
+w AS (SELECT doc_id, side, w, count(*) AS n FROM (SELECT doc_id, side, unnest(ws) AS w FROM d) GROUP BY ALL),
+b AS (
+  SELECT w, list_reduce(list_transform(range(1, len(hex(encode(w))) // 2 + 1), lambda k: ('0x' || substr(hex(encode(w)), (2 * k - 1)::BIGINT, 2))::BIGINT),
+    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295::BIGINT) AS c FROM (SELECT DISTINCT w FROM w), tab),
+f AS (SELECT doc_id, side, xor(c, 4294967295) % 10000 AS bucket, sum(n)::BIGINT AS n FROM w JOIN b USING (w) GROUP BY ALL),
+st AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 0), 0)::BIGINT AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0)::BIGINT AS t FROM f GROUP BY 1),
+al AS (SELECT sum(s)::BIGINT AS s_all, sum(t)::BIGINT AS t_all FROM st),
+gain AS (SELECT bucket, floor(1000 * ln(((t + 1) * (s_all + 10000))::DOUBLE / ((s + 1) * (t_all + 10000))::DOUBLE))::BIGINT AS gain FROM st, al),
+x AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM f JOIN gain USING (bucket) WHERE side = 0 GROUP BY 1),
+y AS (
+  SELECT d.doc_id, len(ws) >= 20 AS drawable, coalesce(n_features, 0)::BIGINT AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+    ('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN x USING (doc_id) WHERE side = 0),
+z AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296))))::BIGINT AS score FROM y),
+r AS (SELECT *, row_number() OVER (ORDER BY drawable DESC, score DESC, doc_id) AS place, count(*) FILTER (WHERE drawable) OVER () * 10 // 100 AS k FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= k THEN place END::BIGINT AS rank FROM r
+"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import ann, bpe_codec, chat, decontaminate, html_text, lm_score, near_dup, oracles, packing, pii, quality, url_filter
+from millrace.llm import ann, bpe_codec, chat, collocations, decontaminate, html_text, lm_score, near_dup, oracles, packing, pii, quality, resampling, url_filter
 
 
 def queries() -> dict:
@@ -18,10 +18,18 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_ann": ann.op9_ann,
         "op10_html_text": html_text.op10_html_text,
+        "op11_collocations": collocations.op11_collocations,
+        "op12_resampling": resampling.op12_resampling,
         "op13_bpe_codec": bpe_codec.op13_bpe_codec,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dup": oracles.NEAR_DUP, "op6_chat_windows": oracles.CHAT, "op7_decontaminate": oracles.DECONTAMINATE}
+    return {
+        "op2_near_dup": oracles.NEAR_DUP,
+        "op6_chat_windows": oracles.CHAT,
+        "op7_decontaminate": oracles.DECONTAMINATE,
+        "op11_collocations": oracles.COLLOCATIONS,
+        "op12_resampling": oracles.RESAMPLING,
+    }
