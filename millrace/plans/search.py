@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import stems
 from millrace.operators import search as S
+from millrace.operators.term_index import TermIndex
 from millrace.registry import query
+from millrace.sources.shared import shared_dir
 from millrace.sources.tables import tables
 
 WORDS = "list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
@@ -70,6 +75,64 @@ def site_search_configured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.search(pages(spark, sf_dir), S.Search(CONFIG.terms("The DER with und of me@example.org"), per_page=1000, config=CONFIG))
 
 
+def stem_sql(words: str) -> str:
+    """The rules of the stemmer as passes over a list of words."""
+    for rules in stems.STEPS:
+        cases = "".join(
+            f" WHEN w LIKE '%{r.suffix}' AND len(w) >= {len(r.suffix) + r.least}{f" AND regexp_matches(left(w, len(w) - {len(r.suffix)}), '[{stems.VOWELS}]')" if r.vowel else ''} THEN left(w, len(w) - {len(r.suffix)}) || '{r.instead}'"
+            for r in rules
+        )
+        words = f"list_transform({words}, lambda w: CASE{cases} ELSE w END)"
+    return words
+
+
+STEMMED = S.Config({"thes": "thesaurus"}, stemmed=True)
+_PLAIN = WORDS.replace("{0}", "regexp_replace({0}, '[\\w.+-]+@[\\w-]+(?:\\.[\\w-]+)+|https?://\\S+|\\b\\d+\\.\\d+\\b', ' ', 'g')")
+STEMMED_WORDS = f"list_transform(list_zip({_PLAIN}, {stem_sql(_PLAIN)}), lambda z: CASE WHEN z[1] = 'thes' THEN 'thesaurus' WHEN z[1] IN ({', '.join(f"'{w}'" for w in sorted(S.STOP_WORDS))}) THEN z[1] ELSE z[2] END)"
+
+
+@query("site_search_stemmed", site_sql(["er", "re"], per_page=1000, words=STEMMED_WORDS))
+def site_search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits hold any form of the words: er, ers, ered, ering, re, reed, reing and so on."""
+    return S.search(pages(spark, sf_dir), S.Search(STEMMED.terms("the ering of reing"), per_page=1000, config=STEMMED))
+
+
+@query("search_synonym_before_stem", covers_sql(["thesaurus"], words=STEMMED_WORDS) + " SELECT doc_id, rank FROM ranked")
+def search_synonym_before_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A synonym is taken as it is: neither it nor what it stands for is stemmed."""
+    (docs,) = tables(spark, sf_dir, "documents")
+    return S.cover_ranks(docs.select("doc_id", "text"), STEMMED.terms("thes"), config=STEMMED)
+
+
+def _index(spark: SparkSession, config: S.Config | None = None) -> TermIndex:
+    return TermIndex(spark, f"{shared_dir(spark)}/terms-{uuid.uuid4().hex}", config=config)
+
+
+@query("site_search_indexed", site_sql(["that", "was"], offset=10, per_page=40))
+def site_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answered from a stored index: only the folders of two terms are read."""
+    given, index = pages(spark, sf_dir), _index(spark)
+    index.add(given.select("doc_id", "text"), 0)
+    return index.search(given.drop("text"), S.Search(["that", "was"], offset=10, per_page=40))
+
+
+@query("site_search_indexed_stemmed", site_sql(["er", "he"], per_page=1000, words=STEMMED_WORDS))
+def site_search_indexed_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given, index = pages(spark, sf_dir), _index(spark, STEMMED)
+    index.add(given.select("doc_id", "text"), 0)
+    return index.search(given.drop("text"), S.Search(["er", "he"], per_page=1000))
+
+
+@query("site_search_index_delta", site_sql(["and", "this"], per_page=1000))
+def site_search_index_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index first holds titles only; the documents with more come as a generation of changes."""
+    given, index = pages(spark, sf_dir), _index(spark)
+    old = given.select("doc_id", S.title_of(F.col("text")).alias("title"), "text")
+    index.add(old.select("doc_id", F.col("title").alias("text")), 0)
+    index.add(old.where("NOT text <=> title").select("doc_id", "text"), 1)
+    return index.search(given.drop("text"), S.Search(["and", "this"], per_page=1000))
+
+
 @query("site_search_page2", site_sql(["with", "from"], offset=20))
 def site_search_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.search(pages(spark, sf_dir), S.Search(["with", "from"], offset=20))
