@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, near_dup, packing, pii, quality
+from millrace.llm import bpe, decontaminate, near_dup, packing, pii, quality
 from millrace.llm.scratch import Scratch
 
 
@@ -56,7 +56,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 1024 ids (8)."""
     _small_batches(spark)
-    return packing.pack(docs, packing.vocabulary_path())
+    return packing.pack(docs, bpe.default_path())
 
 
 STAGES = [

@@ -11,7 +11,6 @@ and names its special tokens; all this is read from the file, not assumed of its
 from __future__ import annotations
 
 import functools
-import heapq
 import json
 import os
 import re
@@ -24,8 +23,8 @@ from millrace.llm import textvec
 
 #: Bytes of text that are handled at once; a longer text is a run of its own.
 RUN_BYTES = 4 << 20
-#: Words of up to so many bytes are merged together, longer ones each with a heap.
-SHORT = 48
+#: Words of up to so many bytes are merged together, longer ones one by one.
+SHORT = 64
 _NONE = np.int64(1) << 62
 
 
@@ -114,7 +113,9 @@ class Vocabulary:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        spec = json.loads(Tokenizer.from_file(path).to_str())
+        tokenizer = Tokenizer.from_file(path)
+        self.model = tokenizer.model
+        spec = json.loads(tokenizer.to_str())
         model, vocab = spec["model"], spec["model"]["vocab"]
         if model["type"] != "BPE" or spec["normalizer"] or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": spec["pre_tokenizer"].get("trim_offsets"), "use_regex": True}:
             raise ValueError("not a plain byte-level vocabulary")
@@ -123,8 +124,8 @@ class Vocabulary:
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.sign = {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
-        shown = {b: c for c, b in self.sign.items()}
-        self.byte_id = np.array([vocab[shown[b]] for b in range(256)], np.int64)
+        self.shown = {b: c for c, b in self.sign.items()}
+        self.byte_id = np.array([vocab[self.shown[b]] for b in range(256)], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
         right = np.array([vocab[b] for _, b in pairs], np.int64)
@@ -134,7 +135,6 @@ class Vocabulary:
         key = (left << 32) | right
         order = np.argsort(key)
         self.key, self.rank, self.made = key[order], order.astype(np.int64), made[order]
-        self.pair = {(a, b): (k, m) for k, (a, b, m) in enumerate(zip(left.tolist(), right.tolist(), made.tolist(), strict=True))}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("special tokens that take in what is around them")
@@ -162,14 +162,16 @@ class Vocabulary:
         does its best merge at all places, leftmost first where they overlap; what a merge
         makes only enters later merges, so this is the order of one merge at a time."""
         done_ids, done_word = [], []
+        at = np.full(len(ids), -1, np.int64)
+        fresh = np.arange(len(ids))  # places whose pair with the next is to be looked up
         while len(ids):
-            same = word[1:] == word[:-1]
-            at = np.full(len(ids), -1, np.int64)
-            at[:-1][same] = self._merges(ids[:-1][same], ids[1:][same])
+            last = np.r_[word[1:] != word[:-1], True]
+            paired = fresh[~last[fresh]]
+            at[fresh] = -1
+            at[paired] = self._merges(ids[paired], ids[paired + 1])
             rank = np.where(at >= 0, self.rank[at], _NONE)
-            begin = np.flatnonzero(np.r_[True, ~same])
-            size = np.diff(np.r_[begin, len(ids)])
-            best = np.repeat(np.minimum.reduceat(rank, begin), size)
+            begin = np.flatnonzero(np.r_[True, last[:-1]])
+            best = np.repeat(np.minimum.reduceat(rank, begin), np.diff(np.r_[begin, len(ids)]))
             over = best == _NONE
             if over.any():
                 done_ids.append(ids[over])
@@ -184,31 +186,16 @@ class Vocabulary:
             hit &= (place - start) % 2 == 0
             ids = np.where(hit, self.made[at], ids)
             keep = np.r_[True, ~hit[:-1]]
-            ids, word = ids[keep], word[keep]
+            new = np.cumsum(keep)[hit] - 1
+            fresh = np.r_[new, new[new > 0] - 1]
+            ids, word, at = ids[keep], word[keep], at[keep]
         ids, word = np.concatenate(done_ids or [ids]), np.concatenate(done_word or [word])
         order = np.argsort(word, kind="stable")
         return ids[order], word[order]
 
     def merged_alone(self, value: bytes) -> list[int]:
-        """Ids of one word of any length: a heap of merges over a chain of tokens."""
-        ids = self.byte_id[np.frombuffer(value, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*self.pair[p], i, *p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.pair]
-        heapq.heapify(heap)
-        while heap:
-            _, made, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j] = made, -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and after[k] < n and (p := (ids[k], ids[after[k]])) in self.pair:
-                    heapq.heappush(heap, (*self.pair[p], k, *p))
-        return [x for x in ids if x >= 0]
+        """Ids of one word of any length, by the library's own merges."""
+        return [t.id for t in self.model.tokenize("".join(map(self.shown.__getitem__, value)))]
 
     def merge(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of words that the pattern would not split."""

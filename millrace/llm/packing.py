@@ -7,7 +7,6 @@ are dealt at random into groups of bounded size; each group is packed on its own
 from __future__ import annotations
 
 import functools
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -17,112 +16,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm import textvec
+from millrace.llm import bpe
 from millrace.llm.scratch import Scratch
 
 #: Pieces that are packed together. More of them leave less padding; the time of a group
 #: grows as n log n.
 GROUP_PIECES = 4096
 
-#: Bytes of text that are encoded at once, and stretches of text whose ids are kept for later runs.
-RUN_BYTES = 4 << 20
-KEPT_STRETCHES = 1 << 20
-
-
-def _safe_spaces(raw: np.ndarray) -> np.ndarray:
-    """Places of spaces where the pre-tokenizer always starts anew: on both sides stands
-    printable ASCII, or a two-byte character that cannot be white space."""
-    at = np.flatnonzero(raw == 0x20)
-    at = at[(at > 0) & (at < len(raw) - 1)]
-    ahead, back, lead = raw[at + 1], raw[at - 1], raw[np.maximum(at - 2, 0)]
-    prints = lambda b: b - np.uint8(0x21) < 0x5E
-    leads = lambda b: b - np.uint8(0xC3) < 0x1D
-    return at[(prints(ahead) | leads(ahead)) & (prints(back) | ((back - np.uint8(0x80) < 0x40) & leads(lead)))]
+#: Bytes of text that are encoded at once; a longer text is a run of its own.
+RUN_BYTES = 8 << 20
 
 
 class Encoder:
-    """Token ids of whole texts. A stretch between two safe spaces is encoded once for all
-    its repeats; the ids are those of encoding the whole text."""
+    """Token ids of whole texts. Each distinct word of a run of texts is merged once; nothing
+    is kept from one run to the next, so memory follows the run, not the words met so far."""
 
     def __init__(self, path: str, end_id: int = 0):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.vocabulary = bpe.vocabulary(path)
         self.end_id = end_id
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-        self.bytes = np.zeros(0, np.uint8)
-        self.base = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
-
-    def _learn(self, keys: np.ndarray, parts: list[bytes]) -> None:
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
-        size = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-        ids = np.fromiter((t for x in coded for t in x), dtype=np.uint32, count=int(size.sum()))
-        length = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        order = np.argsort(keys := np.concatenate([self.keys, keys]))
-        grown = lambda old, new, end: np.concatenate([old, end + np.cumsum(new) - new])[order]
-        self.keys = keys[order]
-        self.at = grown(self.at, length, len(self.bytes))
-        self.base = grown(self.base, size, len(self.pool))
-        self.length = np.concatenate([self.length, length])[order]
-        self.size = np.concatenate([self.size, size])[order]
-        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(parts), np.uint8)])
-        self.pool = np.concatenate([self.pool, ids])
-
-    def _alike(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray) -> bool:
-        """Whether every stretch has the very bytes that its ids were learned from."""
-        length = ends - starts
-        if (length != self.length[place]).any():
-            return False
-        return bool((self.bytes[np.repeat(self.at[place] - starts, length) + np.arange(len(raw))] == raw).all())
 
     def rows(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of a run of rows, row offsets into them), each row closed by end_id."""
-        raw_all, offsets = textvec.flat(texts)
-        for i, j in textvec.pieces(offsets, RUN_BYTES):
-            lo = offsets[i]
-            raw, own = raw_all[lo : offsets[j]], offsets[i : j + 1] - lo
-            begins = np.zeros(len(raw) + 1, dtype=bool)
-            begins[_safe_spaces(raw)] = True
-            begins[own] = True
-            starts = np.flatnonzero(begins[:-1])
-            ends = np.append(starts[1:], len(raw)) if len(starts) else starts
-            keys, at, which = np.unique(textvec.span_hash(raw, starts, ends), return_index=True, return_inverse=True)
-            if len(self.keys) > KEPT_STRETCHES:
-                self._forget()
-            place = np.searchsorted(self.keys, keys)
-            known = np.zeros(len(keys), dtype=bool)
-            inside = place < len(self.keys)
-            known[inside] = self.keys[place[inside]] == keys[inside]
-            if not known.all():
-                data, new = raw.tobytes(), at[~known]
-                self._learn(keys[~known], [data[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-                place = np.searchsorted(self.keys, keys)
-            place = place[which]
-            if self._alike(raw, starts, ends, place):
-                base, size = self.base[place], self.size[place]
-                filled = np.concatenate([[0], np.cumsum(size)])
-                ids = self.pool[np.repeat(base - filled[:-1], size) + np.arange(filled[-1])]
-                row_ids = filled[np.searchsorted(starts, own)]
-            else:  # two stretches share a hash
-                data = raw.tobytes()
-                whole = [data[a:b].decode() for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
-                coded = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
-                row_ids = np.concatenate([[0], np.cumsum([len(x) for x in coded])]).astype(np.int64)
-                ids = np.fromiter((t for x in coded for t in x), dtype=np.uint32, count=int(row_ids[-1]))
-            yield i, np.insert(ids, row_ids[1:], np.uint32(self.end_id)), row_ids + np.arange(len(row_ids))
+        for i, _, _, words, at in bpe.runs(texts, RUN_BYTES):
+            ids, ends = self.vocabulary.encode_words(words.dictionary)
+            which = np.asarray(words.indices).astype(np.int64)
+            flat, filled = bpe.gathered(ids.astype(np.uint32), ends[:-1][which], np.diff(ends)[which])
+            row_ids = filled[at]
+            yield i, np.insert(flat, row_ids[1:], np.uint32(self.end_id)), row_ids + np.arange(len(row_ids))
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for all tasks that a Python worker runs."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
 
 
@@ -213,11 +138,5 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, group_pieces: int =
     )
 
 
-def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op8_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path())
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), bpe.default_path())

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from millrace.llm import gru, lm_score, packing, pii, quality, textvec
+from millrace.llm import bpe, gru, lm_score, packing, pii, quality, textvec
 
 TEXT = "doc_id long, text string"
 CLASH = ("w", "n", "score", "base", "loose", "uid", "cold", "part", "deal", "quality", "key", "start", "length")
@@ -249,12 +250,12 @@ def test_first_fit_decreasing_equals_a_scan():
 
 
 def test_encoder_gives_the_ids_of_whole_texts():
-    path = packing.vocabulary_path()
+    path = bpe.default_path()
     own = packing.Encoder(path)
     rng = random.Random(1)
     bits = [" ", "  ", "\n", "word", "Wörter", "'s", " ", "　", "<|endoftext|>", "1234", "é", "漢字", "!?", "\x1f", "\u0085", "\t"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(400)] + ["", None, "a " * 5000]
-    want = [e.ids + [0] for e in own.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    want = [e.ids + [0] for e in Tokenizer.from_file(bpe.default_path()).encode_batch([t or "" for t in texts], add_special_tokens=False)]
     for _ in range(2):
         got = {}
         for first, ids, offsets in own.rows(pa.array(texts)):
@@ -266,8 +267,8 @@ def test_encoder_gives_the_ids_of_whole_texts():
 def test_packed_pieces_cover_every_id_once(spark):
     texts = ["", None, "short", "tok " * 3000, "dup", "dup"] + [f"w{i} " * (i * 7 % 400) for i in range(300)]
     docs = [(None if i == 2 else i, t) for i, t in enumerate(texts)]
-    got = packing.pack(clashing(spark.createDataFrame(docs + [docs[5]], TEXT)), packing.vocabulary_path(), group_pieces=64).collect()
-    tokenizer = packing.Encoder(packing.vocabulary_path()).tokenizer
+    got = packing.pack(clashing(spark.createDataFrame(docs + [docs[5]], TEXT)), bpe.default_path(), group_pieces=64).collect()
+    tokenizer = Tokenizer.from_file(bpe.default_path())
     pieces, bins = {}, {}
     for r in got:
         pieces.setdefault(r.doc_id, []).append(r)
@@ -286,7 +287,7 @@ def test_packed_pieces_cover_every_id_once(spark):
         assert sum(r.length for r in own) == times * len(ids)
         for r in own:
             assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
-    assert packing.pack(spark.createDataFrame([], TEXT), packing.vocabulary_path()).count() == 0
+    assert packing.pack(spark.createDataFrame([], TEXT), bpe.default_path()).count() == 0
 
 
 # -- the pipeline
