@@ -7,11 +7,12 @@ pairs, and each proposed pair is decided on the full shingle sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -139,6 +140,28 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _step_of(size: Column) -> Column:
+    """Sizes in steps of a tenth; what may be similar lies within a few steps."""
+    return F.floor(F.log(size.cast("double")) / math.log(1.1)).cast("int")
+
+
+def _kinds_that_reach(several: DataFrame, percent: int) -> DataFrame:
+    """(s, nx, fx, ny, fy): which kinds of members behind a shingle can be similar, a kind being
+    a set's size n and how much of it is left, f, from the shingle on.
+
+    With no more than the lesser f in common, sizes n and m must satisfy
+    (100 + percent) * f >= percent * (n + m); so a kind reaches an interval of sizes, which
+    may be empty. Kinds meet by shingle and step of size, however many members they have.
+    """
+    least = F.ceil(F.col("n") * percent / 100)
+    most = F.floor((100 + percent) * F.col("f") / percent - F.col("n"))
+    kinds = several.select("s", "n", "f").distinct().withColumn("lo", least).withColumn("hi", most).where("lo <= hi")
+    x = kinds.select("s", *[F.col(c).alias(c + "x") for c in ("n", "f", "lo", "hi")], F.explode(F.sequence(_step_of(F.col("lo")), _step_of(F.col("hi")))).alias("step"))
+    y = kinds.select("s", *[F.col(c).alias(c + "y") for c in ("n", "f", "lo", "hi")], _step_of(F.col("n")).alias("step"))
+    both = F.col("ny").between(F.col("lox"), F.col("hix")) & F.col("nx").between(F.col("loy"), F.col("hiy"))
+    return x.join(y, ["s", "step"]).where(both).select("s", "nx", "fx", "ny", "fy")
+
+
 def _sharing_rare_shingles(rest: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (x, y, nx, ny) of ``rest`` (rep, n, part) in different parts that may still reach
     the similarity; none that does is missing.
@@ -146,6 +169,8 @@ def _sharing_rare_shingles(rest: DataFrame, sets: DataFrame, percent: int, scrat
     Each set is ordered from its rarest shingle on. Similar sets must share one among the
     first n - ceil(percent% of n) + 1, and at their first common shingle enough of either
     set must be left. What many texts have in common comes last and proposes nothing.
+    Behind a shingle first kinds of members are paired, then parts that hold such kinds,
+    and only then their members.
     """
     held = rest.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "n", "part", F.explode("shingles").alias("s"))
     # written out, as is what follows, so that both sides of a join are shuffled for it and skew can be split
@@ -153,33 +178,35 @@ def _sharing_rare_shingles(rest: DataFrame, sets: DataFrame, percent: int, scrat
     shared = held.join(often, "s")
     own = Window.partitionBy("rep")
     rare_first = own.orderBy("df", "s")
-    prefix = scratch.save(
-        shared.select("*", (F.col("n") - F.count("*").over(own) + F.row_number().over(rare_first) - 1).alias("i"))
-        .where(F.col("i") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-        .select("s", "rep", "n", "part", "i")
-    )
-    # parts that share a shingle are paired first, and then only members of different parts
-    spread = prefix.groupBy("s", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("i")).alias("left"))
-    parts = scratch.save(spread)
-    split = scratch.save(parts.groupBy("s").agg(F.count("*").alias("parts")).where("parts > 1").select("s"))
-    several = scratch.save(parts.join(split, "s", "left_semi"))
-    p = several.select("s", F.col("part").alias("px"), F.col("least").alias("lx"), F.col("most").alias("mx"), F.col("left").alias("fx"))
-    q = several.select("s", F.col("part").alias("py"), F.col("least").alias("ly"), F.col("most").alias("my"), F.col("left").alias("fy"))
-    fits = (100 * F.col("mx") >= percent * F.col("ly")) & (100 * F.col("my") >= percent * F.col("lx"))
-    fits = fits & ((100 + percent) * F.least("fx", "fy") >= percent * (F.col("lx") + F.col("ly")))
-    met = scratch.save(p.join(q, "s").where((F.col("px") < F.col("py")) & fits).select("s", "px", "py", "ly", "my", "fy"))
-    x = prefix.select("s", *[F.col(c).alias(d) for c, d in (("rep", "x"), ("n", "nx"), ("part", "px"), ("i", "ix"))])
-    y = prefix.select("s", *[F.col(c).alias(d) for c, d in (("rep", "y"), ("n", "ny"), ("part", "py"), ("i", "iy"))])
-    # only members that can reach some set of the other part
-    hope = (100 + percent) * F.least(F.col("nx") - F.col("ix"), F.col("fy")) >= percent * (F.col("nx") + F.col("ly"))
-    hope = hope & (100 * F.col("my") >= percent * F.col("nx")) & (100 * F.col("nx") >= percent * F.col("ly"))
-    x, m = x.alias("x"), met.alias("m")
-    one = m.join(x, (F.col("m.s") == F.col("x.s")) & (F.col("m.px") == F.col("x.px")) & hope)
-    one = scratch.save(one.select(F.col("m.s").alias("s"), "py", "x", "nx", "ix"))
-    left = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
-    reach = (100 + percent) * left >= percent * (F.col("nx") + F.col("ny"))
-    one, y = one.alias("one"), y.alias("y")
-    return one.join(y, (F.col("one.s") == F.col("y.s")) & (F.col("one.py") == F.col("y.py")) & reach).select("x", "y", "nx", "ny")
+    # what is in no other set comes before all that is shared
+    placed = shared.withColumn("f", F.count("*").over(own) - F.row_number().over(rare_first) + 1)
+    prefix = placed.where(F.col("n") - F.col("f") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    prefix = scratch.save(prefix.select("s", "rep", "n", "part", "f"))
+    split = prefix.groupBy("s").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("s")
+    several = scratch.save(prefix.select("s", "part", "n", "f").distinct().join(split, "s", "left_semi"))
+    reach = scratch.save(_kinds_that_reach(several, percent))
+    if reach.isEmpty():
+        return rest.limit(0).select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.col("n").alias("nx"), F.col("n").alias("ny"))
+    p = several.select("s", F.col("part").alias("px"), F.col("n").alias("nx"), F.col("f").alias("fx"))
+    q = several.select("s", F.col("part").alias("py"), F.col("n").alias("ny"), F.col("f").alias("fy"))
+    one = scratch.save(p.join(reach, ["s", "nx", "fx"]))
+    met = scratch.save(one.join(q, ["s", "ny", "fy"]).where("px < py"))
+    x = prefix.select("s", *[F.col(c).alias(d) for c, d in (("rep", "x"), ("n", "nx"), ("part", "px"), ("f", "fx"))])
+    y = prefix.select("s", *[F.col(c).alias(d) for c, d in (("rep", "y"), ("n", "ny"), ("part", "py"), ("f", "fy"))])
+    half = scratch.save(met.join(x, ["s", "px", "nx", "fx"]))
+    return half.join(y, ["s", "py", "ny", "fy"]).select("x", "y", "nx", "ny")
+
+
+def _joined_parts(parts: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """``parts`` (node, component) after further links: only the components that these touch
+    are nodes now."""
+    a = parts.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    b = parts.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    ends = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    up = scratch.save(connected_components(ends, scratch))
+    above = up.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    moved = parts.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return moved.union(up.join(parts.select("node"), "node", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -223,10 +250,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
     apart = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
     rest = scratch.save(placed.join(apart, "key", "left_semi").select("rep", "n", "part").distinct())
-    second = _pairs(_sharing_rare_shingles(rest, sets, percent, scratch), percent)
-    more = scratch.save(_confirmed(second, sets, percent))
-    if not more.isEmpty():
-        parts = scratch.save(connected_components(links.union(more), scratch))
+    if not rest.isEmpty():
+        second = _pairs(_sharing_rare_shingles(rest, sets, percent, scratch), percent)
+        more = scratch.save(_confirmed(second, sets, percent))
+        if not more.isEmpty():
+            parts = scratch.save(_joined_parts(parts, more, scratch))
     scratch.drop(members, first, sets, rest)
 
     placed = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))

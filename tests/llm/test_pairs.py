@@ -199,3 +199,33 @@ def test_neighbours_of_few_or_no_vectors(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
     assert ann.nearest(few.limit(0), F.lit(True)).count() == 0
     assert ann.nearest(few, F.lit(False)).count() == 0
+
+
+def test_kinds_that_reach_are_those_that_can_be_similar(spark):
+    rows = [(s, n, f) for s in (1, 2) for n in range(1, 30) for f in range(1, n + 1) if s == 1 or n % 7 == f % 7]
+    got = {tuple(r) for r in near_dup._kinds_that_reach(spark.createDataFrame([(*r, 9) for r in rows], "s long, n long, f long, part long"), 75).collect()}
+    want = set()
+    for s, n, f in rows:
+        for t, m, g in rows:
+            if s == t and 100 * m >= 75 * n and 100 * n >= 75 * m and 175 * f >= 75 * (n + m) and 175 * g >= 75 * (n + m):
+                want.add((s, n, f, m, g))
+    assert got == want
+
+
+def test_a_family_without_links_is_not_paired(spark, monkeypatch):
+    """Seven words in common and one of each text's own: all meet behind one shingle, none can be similar."""
+    seen = []
+    plain = near_dup._kinds_that_reach
+    monkeypatch.setattr(near_dup, "_kinds_that_reach", lambda several, percent: seen.append(several.count()) or plain(several, percent))
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('seven fixed words stand here before own w', id) AS text")
+    rows = near_dup.near_duplicates(docs)
+    assert rows.where("kept").count() == 3000 and seen[0] >= 3000
+
+
+def test_second_links_join_components(spark):
+    """A chain of families: what the pivots leave apart is joined through their components."""
+    scratch = Scratch(spark, "t")
+    parts = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (7, 5), (20, 20), (21, 20)], "node long, component long")
+    more = spark.createDataFrame([(7, 2), (21, 30), (40, 41)], "a long, b long")
+    got = {r.node: r.component for r in near_dup._joined_parts(parts, more, scratch).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 7: 1, 20: 20, 21: 20, 30: 20, 40: 40, 41: 40}
