@@ -25,7 +25,7 @@ from millrace.llm import textvec
 from millrace.llm.scratch import Scratch
 
 #: Bytes of text in a shard; a longer text is cut into several.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Least and most bits of the table of frequent keys, each a power of two; eight a key between.
 LEAST_BITS, MOST_BITS = 16, 28
 #: Parts of a language that are ranked on their own before the best of each meet.
