@@ -13,6 +13,7 @@ from millrace.operators.queues import lock
 from millrace.registry import query
 from millrace.sources.shared import shared_dir
 from millrace.streaming import queues as S
+from millrace.streaming import retries as R
 
 
 def _folder(spark: SparkSession) -> str:
@@ -27,6 +28,25 @@ def queue_drain_batch(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out").select("event_id", "effect")
 
 
+def _flaky(key: int, mode: str, expr: str, tries: int) -> bool:
+    """Fails as often as the item says."""
+    return tries > int(expr)
+
+
+@query(
+    "queue_retry",
+    """SELECT event_id AS id, event_type AS mode, CASE WHEN event_type IN ('view', 'click') THEN least(1 + event_id % 4, 3) ELSE 1 END::INT AS tries,
+    CASE WHEN event_type NOT IN ('view', 'click') THEN 'unknown' WHEN event_id % 4 = 3 THEN 'dead' ELSE 'done' END AS outcome FROM events""",
+)
+def queue_retry(spark: SparkSession, sf: str) -> DataFrame:
+    """Items that fail up to three times come again; three tries are the most."""
+    at = _folder(spark)
+    items = S.event_stream(spark, f"{sf}/events.parquet").select(F.col("event_id").alias("id"), F.col("event_type").alias("mode"), (F.col("event_id") % 4).cast("string").alias("expr"))
+    settled = spark.read.parquet(f"{sf}/events.parquet").count()
+    R.run_until(R.retrying(items, _flaky, ("view", "click"), wait_ms=500, most=3), f"{at}/out", f"{at}/state", settled)
+    return spark.read.parquet(f"{at}/out")
+
+
 @query("receiver_apply", "SELECT user_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY 1")
 def receiver_apply(spark: SparkSession, sf: str) -> DataFrame:
     """Users arrive with signed payloads; a batch in which one does not verify is refused."""
