@@ -1,3 +1,3 @@
 """Queries over the test tables, registered with their oracle SQL."""
 
-from millrace.plans import aggregates, crawl, files, filters, joins, ordered, queues, scalars, search, snapshots, streams  # noqa: F401
+from millrace.plans import aggregates, crawl, files, filters, joins, ordered, queues, scalars, search, snapshots, streams, trees  # noqa: F401

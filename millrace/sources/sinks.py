@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +60,20 @@ def push_payloads(users: DataFrame, site: str, key: str, secret: str, size: int
     columns = [c for c in users.columns if c != site]
     rows = batches(users, site, key, size).groupBy(site, "batch").agg(F.to_json(F.array_sort(F.collect_list(F.struct(key, *[c for c in columns if c != key])))).alias("payload"))
     return rows.withColumn("signature", signed(F.col("payload"), F.lit(secret)))
+
+
+def write_each(files: DataFrame, folder: str) -> int:
+    """Writes each row (name, content binary) as a file of that name under ``folder``, a folder
+    that all executors share, and returns their number. A repeated task writes the same again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                path = f"{root}/{name}"
+                system.create_dir(path.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(path) as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return files.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
