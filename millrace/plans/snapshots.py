@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import merge as M
+from millrace.operators.snapshot_store import SnapshotStore
 from millrace.registry import query
+from millrace.sources.shared import shared_dir
 from millrace.sources.tables import table, tables
 
 _SPLIT = """WITH o AS (SELECT doc_id, source AS title, n_chars AS size FROM documents WHERE doc_id % 10 <> 0),
@@ -35,6 +39,28 @@ def doc_merge_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return M.merge(old, new, ["doc_id"], ["title", "size"])[1]
 
 
+def _store(spark: SparkSession, old: DataFrame) -> SnapshotStore:
+    at = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    store = SnapshotStore(spark, at, ("doc_id",), ("title", "size"), buckets=16)
+    store.create(old)
+    return store
+
+
+@query("doc_store_changes", _SPLIT + "SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN 'D' WHEN o.doc_id IS NULL THEN 'I' ELSE 'U' END AS change FROM o FULL JOIN n ON o.doc_id = n.doc_id WHERE n.doc_id IS NULL OR o.doc_id IS NULL OR o.title <> n.title OR o.size <> n.size")
+def doc_store_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The merge of a stored snapshot; parts that do not change are neither joined nor written."""
+    old, new = _two(spark, sf)
+    return _store(spark, old).merge(new)
+
+
+@query("doc_store_snapshot", _SPLIT + "SELECT n.doc_id, CASE WHEN o.doc_id IS NULL OR o.title <> n.title OR o.size <> n.size THEN n.title ELSE o.title END AS title, CASE WHEN o.doc_id IS NULL OR o.title <> n.title OR o.size <> n.size THEN n.size ELSE o.size END AS size FROM n LEFT JOIN o ON o.doc_id = n.doc_id")
+def doc_store_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    old, new = _two(spark, sf)
+    store = _store(spark, old)
+    store.merge(new)
+    return store.read()
+
+
 @query("upsert_counter", "SELECT user_id, count(*) + CASE WHEN user_id < 50 THEN 5 ELSE 0 END AS logincount, max(ts) AS lastlogin FROM events GROUP BY user_id")
 def upsert_counter(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")

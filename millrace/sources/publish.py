@@ -25,19 +25,29 @@ KEPT = 2
 _MOD = 1 << 128
 
 
-def _at(path: str) -> tuple[fs.FileSystem, str]:
+def located(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def manifest(path: str) -> dict | None:
     """What is published at ``path``: version, files, rows and digest; None if nothing is."""
-    system, root = _at(path)
+    system, root = located(path)
     if system.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.NotFound:
         return None
     with system.open_input_stream(f"{root}/{MANIFEST}") as f:
         return json.loads(f.read())
 
 
+def set_manifest(path: str, new: dict) -> None:
+    """Writes aside and renames, so a reader finds the old manifest or the new one."""
+    system, root = located(path)
+    system.create_dir(root, recursive=True)
+    aside = f"{root}/{MANIFEST}.{uuid.uuid4().hex}"
+    with system.open_output_stream(aside) as f:
+        f.write(json.dumps(new).encode())
+    system.move(aside, f"{root}/{MANIFEST}")
+
+
 @dataclass
 class _Part(WriterCommitMessage):
     file: str
@@ -50,7 +60,7 @@ class _Writer(DataSourceArrowWriter):
         self.path, self.schema, self.job = path, schema, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        system, root = _at(self.path)
+        system, root = located(self.path)
         file, rows, digest, out = f"data/{self.job}/{uuid.uuid4().hex}.parquet", 0, 0, None
         try:
             for batch in iterator:
@@ -67,7 +77,7 @@ class _Writer(DataSourceArrowWriter):
         return _Part(file if out is not None else "", rows, digest)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        system, root = _at(self.path)
+        system, root = located(self.path)
         parts = [m for m in messages if m is not None and m.file]
         now = manifest(self.path)
         digest = f"{xxhash.xxh3_128_hexdigest(self.schema.json())}-{sum(p.rows for p in parts)}-{sum(p.digest for p in parts) % _MOD:032x}"
@@ -76,11 +86,7 @@ class _Writer(DataSourceArrowWriter):
             return
         history = [self.job, *(now["history"] if now else [])]
         new = {"version": now["version"] + 1 if now else 1, "digest": digest, "rows": sum(p.rows for p in parts), "files": sorted(p.file for p in parts), "schema": self.schema.json(), "history": history[:KEPT]}
-        system.create_dir(root, recursive=True)
-        aside = f"{root}/{MANIFEST}.{self.job}"
-        with system.open_output_stream(aside) as f:
-            f.write(json.dumps(new).encode())
-        system.move(aside, f"{root}/{MANIFEST}")
+        set_manifest(self.path, new)
         self._drop(system, root, history[KEPT:])
         # what failed attempts of this job's tasks left
         if parts:
@@ -90,7 +96,7 @@ class _Writer(DataSourceArrowWriter):
                     system.delete_file(info.path)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        self._drop(*_at(self.path), [self.job])
+        self._drop(*located(self.path), [self.job])
 
     @staticmethod
     def _drop(system: fs.FileSystem, root: str, jobs: list[str]) -> None:
