@@ -7,6 +7,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,7 +44,15 @@ def split_title(title: Column) -> tuple[Column, Column]:
 
 
 def page_title(html: Column) -> Column:
-    return F.regexp_extract(html, r"(?i)<title\s*>([^<]+)</title\s*>", 1)
+    """What stands between a title tag and its end tag; empty without any. Tags are told by
+    their places: a page is a list of what follows each sign, name first."""
+    parts = F.split(html, "<")
+    name = lambda p: F.lower(F.rtrim(F.substring_index(p, ">", 1), F.lit(" \t\n\x0b\f\r")))
+    n = F.size(parts)
+    pairs = F.arrays_zip(F.slice(parts, 1, F.greatest(n - 1, F.lit(0))).alias("a"), F.slice(parts, 2, F.greatest(n - 1, F.lit(0))).alias("b"))
+    held = lambda x: F.contains(x["a"], F.lit(">")) & F.contains(x["b"], F.lit(">")) & (name(x["a"]) == "title") & (name(x["b"]) == "/title")
+    texts = F.filter(F.transform(F.filter(pairs, held), lambda x: F.substr(x["a"], F.instr(x["a"], ">") + 1)), lambda t: t != "")
+    return F.coalesce(F.try_element_at(texts, F.lit(1)), F.when(html.isNotNull(), ""))
 
 
 def without_nav_header(html: Column) -> Column:
@@ -167,8 +176,9 @@ def slugify(texts: pd.Series) -> pd.Series:
 def changed_lines(old: pd.Series, new: pd.Series) -> pd.Series:
     """A unified difference without file and place lines."""
     def one(a: str | None, b: str | None) -> str:
-        lines = difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), n=1, lineterm="")
-        return "\n".join(x for x in lines if not x.startswith(("---", "+++", "@@")))
+        lines = list(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), n=1, lineterm=""))
+        # two lines of file names, then only places start with this sign: all others are marked
+        return "\n".join(x for x in lines[2:] if not x.startswith("@@"))
     return pd.Series([one(a, b) for a, b in zip(old, new, strict=True)])
 
 
@@ -184,12 +194,20 @@ _FACET = T.StructType([T.StructField("kind", T.StringType()), T.StructField("sta
 @F.pandas_udf(T.ArrayType(_FACET))
 def facets(texts: pd.Series) -> pd.Series:
     """Links and hashtags of a post, at UTF-8 byte offsets; a tag's offsets take its sign in."""
-    link, tag = re.compile(rb"(https?://[^\s]+)"), re.compile(rb"\s+#(\w+)")
+    link = re.compile(rb"https?://[^\s]+")
+    def tags(raw: bytes) -> Iterator[tuple[int, int]]:
+        at = raw.find(b"#")
+        while at >= 0:
+            end = at + 1
+            while end < len(raw) and (raw[end : end + 1].isalnum() or raw[end] == 0x5F):
+                end += 1
+            if end > at + 1 and raw[at - 1 : at].isspace():
+                yield at, end
+            at = raw.find(b"#", end)
     def one(t: str | None) -> list[dict]:
-        raw, out = (t or "").encode(), []
-        for kind, pattern, back in (("link", link, 0), ("tag", tag, 1)):
-            out += [{"kind": kind, "start": m.start(1) - back, "stop": m.end(1), "value": m[1].decode("utf-8", "replace")} for m in pattern.finditer(raw)]
-        return out
+        raw = (t or "").encode()
+        found = [("link", m.start(), m.end(), m.start()) for m in link.finditer(raw)] + [("tag", a, b, a + 1) for a, b in tags(raw)]
+        return [{"kind": kind, "start": a, "stop": b, "value": raw[v:b].decode("utf-8", "replace")} for kind, a, b, v in found]
     return texts.map(one)
 
 
@@ -202,7 +220,7 @@ def plain_markdown(texts: pd.Series) -> pd.Series:
     def inline(s: str) -> str:
         s = html.escape(s, quote=False)
         s = re.sub(r"`([^`]+)`", r"<code>\1</code>", s)
-        s = re.sub(r"(?<!!)\[([^\]]+)\]\(([^)\s]+)\)", lambda m: f'<a href="{html.escape(m[2])}">{m[1]}</a>' if re.match(r"https?:|mailto:", m[2]) else m[1], s)
+        s = re.sub(r"(?<!!)\[([^\]]+)\]\(([^)\s]+)\)", lambda m: f'<a href="{m[2].replace(chr(34), "&quot;")}">{m[1]}</a>' if re.match(r"https?:|mailto:", m[2]) else m[1], s)
         s = re.sub(r"\*\*([^*]+)\*\*", r"<strong>\1</strong>", s)
         return re.sub(r"\*([^*]+)\*", r"<em>\1</em>", s)
 

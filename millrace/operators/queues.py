@@ -14,8 +14,9 @@ CREATED, PENDING, APPROVED, REJECTED = 0, 1, 2, 3
 
 
 def fan_out(messages: DataFrame, consumers: DataFrame) -> DataFrame:
-    """Each message once per consumer. Consumers are a short configuration table."""
-    return messages.crossJoin(F.broadcast(consumers))
+    """Each message once per consumer. Spark sends a consumer table to the messages as long as
+    it is small."""
+    return messages.crossJoin(consumers)
 
 
 def changes(rows: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:

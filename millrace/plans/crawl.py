@@ -51,13 +51,13 @@ def crawl_incremental(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "crawl_frontier",
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey::VARCHAR AS src, (l_partkey % 100)::VARCHAR AS dst FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 49),
-    r(url, depth) AS (SELECT '7', 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 101)
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey::VARCHAR AS src, l_partkey::VARCHAR AS dst FROM lineitem),
+    r(url, depth) AS (SELECT '7', 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 12)
     SELECT url, min(depth)::INT AS depth FROM r GROUP BY 1""",
 )
 def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
-    l = table(spark, sf, "lineitem").where("l_linenumber = 1 AND l_quantity > 49")
-    links = l.select(F.col("l_suppkey").cast("string").alias("src"), (F.col("l_partkey") % 100).cast("string").alias("dst"))
+    l = table(spark, sf, "lineitem")
+    links = l.select(F.col("l_suppkey").cast("string").alias("src"), F.col("l_partkey").cast("string").alias("dst"))
     return C.frontier(links, ["7"])
 
 

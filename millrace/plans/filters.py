@@ -99,11 +99,11 @@ def lookup_switch(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "owner_state_listing",
     """SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'pending' ELSE 'in progress' END AS state, count(*) AS n,
-    string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS keys FROM orders WHERE o_custkey < 50 GROUP BY 1, 2""",
+    string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS keys FROM orders GROUP BY 1, 2""",
 )
 def owner_state_listing(spark: SparkSession, sf: str) -> DataFrame:
     state = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "pending").otherwise("in progress")
-    o = table(spark, sf, "orders").where("o_custkey < 50").withColumn("state", state)
+    o = table(spark, sf, "orders").withColumn("state", state)
     return o.groupBy("o_custkey", "state").agg(F.count("*").alias("n"), R.joined_text("o_orderkey", ",", F.col("o_orderkey")).alias("keys"))
 
 
@@ -112,9 +112,9 @@ def point_lookup_visible(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").where("o_orderkey = 42 AND o_orderstatus <> 'X'").select("o_orderkey", "o_totalprice")
 
 
-@query("released_only", "SELECT p_partkey, p_size FROM part WHERE p_size > 0 AND p_type <> 'PROMO' ORDER BY p_size DESC, p_partkey LIMIT 100")
+@query("released_only", "SELECT p_partkey, p_size FROM part WHERE p_size > 0 AND p_type <> 'PROMO'")
 def released_only(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").where("p_size > 0 AND p_type <> 'PROMO'").orderBy(F.desc("p_size"), "p_partkey").limit(100).select("p_partkey", "p_size")
+    return table(spark, sf, "part").where("p_size > 0 AND p_type <> 'PROMO'").select("p_partkey", "p_size")
 
 
 @query("slug_lookup", "SELECT p_partkey, replace(p_name, ' ', '-') AS slug FROM part WHERE replace(p_name, ' ', '-') = 'red-widget' OR p_partkey::VARCHAR = '7'")

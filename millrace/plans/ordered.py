@@ -77,10 +77,10 @@ def prev_next_gappy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "staggered_schedule",
-    "SELECT event_id, min(ts) OVER (PARTITION BY event_type) + to_minutes(30 * row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id)) AS sendat FROM events WHERE user_id = 3",
+    "SELECT event_id, min(ts) OVER (PARTITION BY event_type) + to_minutes(30 * row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id)) AS sendat FROM events",
 )
 def staggered_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.staggered(table(spark, sf, "events").where("user_id = 3"), "event_type", "ts", "event_id").select("event_id", "sendat")
+    return Q.staggered(table(spark, sf, "events"), "event_type", "ts", "event_id").select("event_id", "sendat")
 
 
 @query("position_number", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) + 40)::INT AS position FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20)")
@@ -142,9 +142,10 @@ def natural_version_sort(spark: SparkSession, sf: str) -> DataFrame:
     return numbered(v, "place", F.desc(V.sort_key(F.col("version"))), F.asc("version")).withColumn("place", F.col("place").cast("int"))
 
 
-@query("ci_sort", "SELECT doc_id FROM documents ORDER BY lower(text), doc_id LIMIT 50")
+@query("ci_sort", "SELECT doc_id, row_number() OVER (ORDER BY lower(text), doc_id) AS place FROM documents")
 def ci_sort(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").orderBy(F.lower("text"), "doc_id").limit(50).select("doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"))
+    return numbered(docs, "place", F.asc("low"), F.asc("doc_id")).select("doc_id", "place")
 
 
 @query("random_sample_sorted")

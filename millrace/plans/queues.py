@@ -81,7 +81,7 @@ def vote_lock_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "moderation_fold",
-    """WITH RECURSIVE e AS (SELECT user_id % 60 AS obj, user_id AS who, user_id % 60 < 30 AS two, event_type AS t, row_number() OVER (PARTITION BY user_id % 60 ORDER BY ts, event_id) AS n FROM events WHERE ts < TIMESTAMP '2024-01-06'),
+    """WITH RECURSIVE e AS (SELECT user_id % 60 AS obj, user_id AS who, user_id % 60 < 30 AS two, event_type AS t, row_number() OVER (PARTITION BY user_id % 60 ORDER BY ts, event_id) AS n FROM events),
     r AS (SELECT obj, 0::BIGINT AS n, 0 AS st, NULL::BIGINT AS fm FROM (SELECT DISTINCT obj FROM e)
     UNION ALL SELECT e.obj, e.n,
     CASE WHEN t = 'signup' AND st = 0 THEN 1 WHEN t IN ('view', 'purchase') AND st = 1 AND (NOT two OR (fm IS NOT NULL AND fm <> who)) THEN 2 WHEN t = 'error' AND st IN (1, 2) AND e.n % 7 = 0 THEN 3 WHEN t = 'click' AND st IN (1, 2) THEN 0 ELSE st END,
@@ -92,7 +92,7 @@ def vote_lock_exact(spark: SparkSession, sf: str) -> DataFrame:
 def moderation_fold(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql.window import Window
 
-    e = table(spark, sf, "events").where(F.col("ts") < F.lit("2024-01-06").cast("timestamp_ntz")).withColumn("obj", F.col("user_id") % 60)
+    e = table(spark, sf, "events").withColumn("obj", F.col("user_id") % 60)
     n = F.row_number().over(Window.partitionBy("obj").orderBy("ts", "event_id"))
     t = F.col("event_type")
     action = F.when(t == "signup", "submit").when(t.isin("view", "purchase"), "approve").when(t == "click", "return").when((t == "error") & (F.col("n") % 7 == 0), "reject").otherwise("none")

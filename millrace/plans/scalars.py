@@ -196,7 +196,7 @@ def classify_prefix(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "first_free_name",
-    """WITH taken AS (SELECT lower(split_part(p_name, ' ', 1)) || left(split_part(p_name, ' ', 2), 1) || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '0' END AS u FROM part WHERE p_partkey < 300),
+    """WITH taken AS (SELECT lower(split_part(p_name, ' ', 1)) || left(split_part(p_name, ' ', 2), 1) || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '0' END AS u FROM part),
     c AS (SELECT p_partkey, unnest(list_concat([f || left(l, 1), left(f, 1) || l], list_transform(range(0, 100), lambda n: f || left(l, 1) || n::VARCHAR))) AS u,
     generate_subscripts(list_concat([f, l], range(0, 100)::VARCHAR[]), 1) AS i FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS f, split_part(p_name, ' ', 2) AS l FROM part))
     SELECT p_partkey, arg_min(u, i) AS login FROM c WHERE u NOT IN (SELECT u FROM taken) GROUP BY 1""",
@@ -204,7 +204,7 @@ def classify_prefix(spark: SparkSession, sf: str) -> DataFrame:
 def first_free_name(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").withColumns({"f": F.element_at(F.split("p_name", " "), 1), "l": F.element_at(F.split("p_name", " "), 2)})
     mark = F.when(F.col("p_partkey") % 2 == 0, "").otherwise("0")
-    taken = p.where("p_partkey < 300").select(F.concat(F.lower("f"), F.left("l", F.lit(1)), mark).alias("u")).distinct()
+    taken = p.select(F.concat(F.lower("f"), F.left("l", F.lit(1)), mark).alias("u")).distinct()
     c = p.select("p_partkey", F.posexplode(texts.user_name_candidates(F.col("f"), F.col("l"))).alias("i", "u"))
     return c.join(taken, "u", "left_anti").groupBy("p_partkey").agg(F.min_by("u", "i").alias("login"))
 

@@ -124,11 +124,11 @@ def load_count_check(spark: SparkSession, sf: str) -> DataFrame:
     return d.agg(F.count("*").alias("loaded")).crossJoin(parsed).select("loaded", (F.col("loaded") == F.col("parsed")).alias("complete"))
 
 
-@query("insert_if_absent", "SELECT url, 'old' AS title FROM pages WHERE page_id < 100 UNION ALL SELECT url, 'new' FROM pages WHERE page_id >= 100 AND page_id < 150")
+@query("insert_if_absent", "SELECT url, 'old' AS title FROM pages WHERE page_id < 100 UNION ALL SELECT url, 'new' FROM pages WHERE page_id >= 100")
 def insert_if_absent(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages")
     old = p.where("page_id < 100").select("url", F.lit("old").alias("title"))
-    return M.add_missing(old, p.where("page_id >= 50 AND page_id < 150").select("url", F.lit("new").alias("title")), ["url"])
+    return M.add_missing(old, p.where("page_id >= 50").select("url", F.lit("new").alias("title")), ["url"])
 
 
 @query("backfill_case", "SELECT event_id, CASE WHEN event_type = 'signup' THEN 2 WHEN event_type = 'error' THEN 0 ELSE 1 END AS modstate, CASE WHEN user_id % 2 = 0 THEN '{\"feed\":true}' ELSE '{}' END AS posted FROM events")

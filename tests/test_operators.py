@@ -266,3 +266,51 @@ def test_numbers_over_ranges_are_global(spark):
     assert sorted(r.n for r in got.collect()) == list(range(1, 2001))
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
     assert numbered(df.limit(0), "n", F.asc("b")).count() == 0
+
+
+def test_changed_lines_keep_lines_that_look_like_marks(spark):
+    from millrace.functions import texts
+
+    df = spark.createDataFrame([("-- x\na\n@@ y\nb", "a\n++ z\n@@ y\nc"), ("same", "same"), (None, "new")], "old string, new string")
+    got = [r[0] for r in df.select(texts.changed_lines("old", "new")).collect()]
+    assert got == ["--- x\n a\n+++ z\n @@ y\n-b\n+c", "", "+new"]
+
+
+def test_titles_by_the_places_of_tags(spark):
+    from millrace.functions import texts
+
+    cases = {"<title>a</title>": "a", "<TITLE \n>b c</Title >": "b c", "<title></title><title>d</title>": "d", "<title x=1>no</title>": "", "<titles>no</titles>": "", "<title>e<b>f</title>": "", "<title>g": "", "": "", "x > y <p>t</p><title>h > i</title>": "h > i", "<title>ünï</title>": "ünï"}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "html string")
+    assert {r.html: r.t for r in df.select("html", texts.page_title(df.html).alias("t")).collect()} == cases | {None: None}
+
+
+def test_tags_stand_behind_white_space(spark):
+    from millrace.functions import texts
+
+    df = spark.createDataFrame([("#no a #yes_1 b#no #é #x#y\n#z https://a.b/#c é #last",)], "t string")
+    got = [(f.kind, f.start, f.stop, f.value) for f in df.select(texts.facets("t").alias("f")).first().f]
+    raw = "#no a #yes_1 b#no #é #x#y\n#z https://a.b/#c é #last".encode()
+    assert [g[3] for g in got] == ["https://a.b/#c", "yes_1", "x", "z", "last"]
+    assert all(raw[a:b].lstrip(b"#").decode() == v for _, a, b, v in got)
+
+
+def test_slugs_markdown_and_samples(spark, sf_dir):
+    import re
+    import unicodedata
+
+    from millrace import registry
+    from millrace.functions import texts
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    slugs = {r.doc_id: r.slug for r in registry.queries()["slugify"](spark, sf_dir).collect()}
+    for i, t in docs.items():
+        plain = unicodedata.normalize("NFKD", t.split(".")[0]).encode("ascii", "ignore").decode().lower()
+        kept = "".join(c for c in plain if c.isalnum() or c in "_- \t\n\r\f\v" or c.isspace())
+        assert slugs[i] == "-".join(x for x in re.split(r"[-\s]+", kept)).strip("-_")
+    md = spark.createDataFrame([("**a** *b* `c<d`\n\n[x](https://e.org/?q=1&r=2) [y](javascript:z) ![i](http://p) <script>",), (None,)], "t string")
+    got = [r[0] for r in md.select(texts.plain_markdown("t")).collect()]
+    assert got == ['<p><strong>a</strong> <em>b</em> <code>c&lt;d</code></p><p><a href="https://e.org/?q=1&amp;r=2">x</a> y ![i](http://p) &lt;script&gt;</p>', ""]
+    sample = registry.queries()["random_sample_sorted"](spark, sf_dir).collect()
+    whole = {(r.s_suppkey, r.s_nationkey) for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").collect()}
+    assert len(sample) == len(set(sample)) == min(5, len(whole)) and {tuple(r) for r in sample} <= whole
+    assert [(r.s_nationkey, r.s_suppkey) for r in sample] == sorted((r.s_nationkey, r.s_suppkey) for r in sample)
