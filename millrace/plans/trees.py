@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import tarfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators import paths
 from millrace.registry import query
-from millrace.sources import files, sinks
+from millrace.sources import files, members, nested_yaml, sinks
 from millrace.sources.publish import publish, published
 from millrace.sources.shared import shared_dir
 from millrace.sources.tables import table
@@ -100,3 +105,54 @@ def staged_load(spark: SparkSession, sf: str) -> DataFrame:
     sinks.write_staged(table(spark, sf, "documents").select("doc_id", "lang", "text"), at)
     got = files.staged_rows(spark, at, "doc_id long, lang string, text string")
     return got.select("doc_id", "lang", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def _tar(contents: dict[str, bytes]) -> bytes:
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as tar:
+        for name, data in contents.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+@F.pandas_udf(T.BinaryType())
+def _archive(names: pd.Series, pages: pd.Series) -> pd.Series:
+    """A tar file of pages, every second of which lies in a packed archive inside."""
+
+    def one(names: list[str], pages: list[str]) -> bytes:
+        each = {n: p.encode() for n, p in zip(names, pages, strict=True)}
+        inner = gzip.compress(_tar(dict(list(each.items())[1::2])), mtime=0)
+        return _tar({**dict(list(each.items())[::2]), "notes.txt": b"no page", "docs.tar.gz": inner})
+
+    return pd.Series([one(list(n), list(p)) for n, p in zip(names, pages, strict=True)])
+
+
+@query("archive_members", "SELECT page_id, sha256(html) AS content_sha256 FROM pages")
+def archive_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages are put into archives of about 50, half of them into one inside, and read back."""
+    at, p = _folder(spark), table(spark, sf, "pages").select("page_id", "html")
+    grouped = p.groupBy(F.pmod(F.xxhash64("page_id"), F.lit(-(-p.count() // 50) or 1)).alias("g")).agg(F.collect_list(F.struct(F.concat("page_id", F.lit(".html")).alias("name"), "html")).alias("m"))
+    sinks.write_each(grouped.select(F.concat(F.col("g"), F.lit(".tar")).alias("name"), _archive("m.name", "m.html").alias("content")), at)
+    got = members.archive_pages(spark, at)
+    return got.select(F.regexp_extract("name", r"^(\d+)", 1).cast("long").alias("page_id"), F.sha2("content", 256).alias("content_sha256"))
+
+
+@query(
+    "yaml_features",
+    """SELECT p_brand AS grp, p_name || ' #' || p_partkey AS feature, v AS version, CASE WHEN p_size % 3 = 0 THEN 'Yes' WHEN v = '9.6' THEN 'It''s "partial"' ELSE 'No: gone' END AS state
+    FROM part, (SELECT unnest(['9.6', '10']) AS v) WHERE v = '10' OR p_size % 2 = 0""",
+)
+def yaml_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature lists are written as nested files, one a brand, and their leaves are read."""
+    at, p = _folder(spark), table(spark, sf, "part")
+    low = F.when(F.col("p_size") % 3 == 0, "Yes").otherwise("It''s \"partial\"")
+    high = F.when(F.col("p_size") % 3 == 0, "Yes").otherwise("No: gone")
+    old = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("      '9.6': '"), low, F.lit("'\n"))).otherwise("")
+    name = F.concat(F.lit("  - name: '"), F.replace("p_name", F.lit("'"), F.lit("''")), F.lit(" #"), F.col("p_partkey"), F.lit("'\n"))
+    item = F.concat(name, F.lit("    description: some words that\n      go on # and end\n    versions:\n"), old, F.lit("      10: \""), high, F.lit("\"\n"))
+    whole = p.select("p_brand", item.alias("item")).groupBy("p_brand").agg(F.array_join(F.collect_list("item"), "").alias("items"))
+    head = F.concat(F.lit("# features\nversions:\n  min: 8.1\nfeaturematrix:\n  "), F.col("p_brand"), F.lit(":\n"))
+    sinks.write_each(whole.select(F.concat("p_brand", F.lit(".yaml")).alias("name"), F.encode(F.concat(head, "items"), "UTF-8").alias("content")), at)
+    return nested_yaml.features(nested_yaml.read_yaml(spark, at))

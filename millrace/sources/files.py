@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,34 +65,6 @@ def doc_pages(spark: SparkSession, folder: str, version: str) -> DataFrame:
     )
 
 
-def archive_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, name, content) of the .html members of tar files, and of tar.gz files in them.
-    Each archive is opened where Spark placed it, member by member."""
-    import pandas as pd
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-        import tarfile
-
-        def members(data: bytes) -> Iterator[tuple[str, bytes]]:
-            with tarfile.open(fileobj=io.BytesIO(data)) as tar:
-                for m in tar:
-                    if m.isfile():
-                        body = tar.extractfile(m).read()
-                        if m.name.endswith((".tar.gz", ".tgz", ".tar")):
-                            yield from members(body)
-                        elif m.name.endswith(".html"):
-                            yield m.name, body
-
-        for b in batches:
-            for archive, data in zip(b["path"], b["content"], strict=True):
-                rows = [(archive, name, body) for name, body in members(data)]
-                yield pd.DataFrame(rows, columns=["archive", "name", "content"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "archive string, name string, content binary")
-
-
 def file_tree(spark: SparkSession, folder: str, excluded: tuple[str, ...] = ("old", "timestamp")) -> DataFrame:
     """(parent, name, size, mtime) of the files under a folder without excluded names."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "modificationTime")

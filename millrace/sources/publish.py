@@ -26,6 +26,9 @@ _MOD = 1 << 128
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path in it; Hadoop writes local ones as file:/x."""
+    if path.startswith("file:/"):
+        return fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 

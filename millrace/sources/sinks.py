@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.texts import signed
+from millrace.sources.publish import located
 
 
 def write_sitemap(entries: DataFrame, path: str) -> None:
@@ -67,7 +67,7 @@ def write_each(files: DataFrame, folder: str) -> int:
     that all executors share, and returns their number. A repeated task writes the same again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system, root = located(folder)
         for batch in batches:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 path = f"{root}/{name}"
