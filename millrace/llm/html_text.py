@@ -44,14 +44,20 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var wbr".split()
 )
 RAW = frozenset("script style noscript template textarea title svg math iframe object".split())
-CHROME = frozenset("nav header footer aside form button select menu dialog head".split()) | RAW
+CHROME = frozenset("nav header footer aside button select menu dialog head".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 CLASSES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
+    "promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
     "header masthead footer sidebar aside widget cookie cookies consent notice notices banner popup modal newsletter subscribe signup "
     "share sharing social related login search pagination copyright legal".split()
 )
-COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+COMMENTS = frozenset("disqus reply replies respond".split())
+#: Parts of a class name that tell an advert or a reader comment whatever stands beside them,
+#: unless the name says that there is none, or that the element is only next to one.
+TOLD = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored comment comments".split())
+DENIED = frozenset("has no not non with without free off hide".split())
+#: Names that say little inside an article: there they stand for parts of it, too.
+MILD = frozenset("notice notices related banner legal copyright header".split())
 #: Words that may stand beside one of the above in a class name without changing what it means.
 BESIDE = frozenset("site main top bottom left right global primary secondary list area section thread user reader box bar buttons links".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -64,6 +70,9 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _LETTERS = re.compile(r"[a-z]+")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|[\s/\"'])hidden(?=[\s/=]|$)", re.I)
+_UNSHOWN = re.compile(r"(?:^|[\s/\"'])style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"'>]*)display\s*:\s*none", re.I)
 
 
 @dataclass
@@ -74,19 +83,21 @@ class Block:
     text: str
     chrome: bool
     article: bool
+    form: bool = False
 
 
 @dataclass
 class Element:
     """path: a hash of the names from the root down. chrome: without content by its kind or
-    role, or that of an element around it; looks: by class names alone, which an article or
-    main element inside overrules."""
+    role, or that of an element around it; looks: by class names alone, and form: inside a
+    form, both of which an article or main element inside overrules."""
 
     tag: str
     path: int
     chrome: bool
     looks: bool
     article: bool
+    form: bool = False
 
 
 @dataclass
@@ -102,10 +113,11 @@ def token(*parts: str) -> int:
 
 
 def _kind(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str]:
-    """Whether an element holds no content by its kind or role, whether it looks like that
-    by its class names, and a short name for its path."""
+    """Whether an element holds no content by its kind, role or being hidden, or as an advert
+    or comment; whether it looks like that by its class names; and a name for its path."""
     name, chrome, looks = tag, tag in CHROME and not (tag == "header" and in_article), False
     if attributes and tag not in ("html", "body"):
+        told = tag in ("article", "main")
         for m in _ATTRIBUTE.finditer(attributes):
             value = (m[2] or m[3] or m[4] or "").lower()
             words = value.split()
@@ -113,12 +125,21 @@ def _kind(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str]
                 chrome = chrome or not ROLES.isdisjoint(words)
                 continue
             name += ("#" if m[1].lower() == "id" else ".") + value
-            if tag not in ("article", "main"):
+            chrome = chrome or any(_tells(w) for w in words)
+            if not told:
                 chrome = chrome or any(_named(w, COMMENTS) for w in words)
-                looks = looks or any(_named(w, CLASSES) and not (w == "header" and in_article) for w in words)
+                looks = looks or any(_named(w, CLASSES - MILD if in_article else CLASSES) for w in words)
+        low = attributes.lower()
+        chrome = chrome or "hidden" in low and bool(_HIDDEN.search(_QUOTED.sub('""', attributes))) or "display" in low and bool(_UNSHOWN.search(attributes))
     return chrome, looks, name
 
 
+def _tells(word: str) -> bool:
+    """Whether a part of a class name tells an advert or a comment."""
+    parts = _LETTERS.findall(word)
+    return not TOLD.isdisjoint(parts) and DENIED.isdisjoint(parts)
+
+
 def _named(word: str, names: frozenset[str]) -> bool:
     """Whether all parts of a class name tell the same; has-sidebar says nothing of what is inside."""
     parts = _LETTERS.findall(word)
@@ -186,7 +207,7 @@ def parse(source: str) -> Page:
         pending.clear()
         if text:
             top = stack[-1]
-            page.blocks.append(Block(top.path, text, top.chrome or top.looks, top.article))
+            page.blocks.append(Block(top.path, text, top.chrome or top.looks, top.article, top.form))
 
     for text, sign, tag, attributes in markup(source):
         if text:
@@ -215,7 +236,8 @@ def parse(source: str) -> Page:
         if tag not in VOID and tag not in RAW and not attributes.endswith("/"):
             opened[tag] += 1
             told = tag in ("article", "main")
-            stack.append(Element(tag, path, up.chrome or chrome, looks or (up.looks and not (told and not up.article)), up.article or told))
+            anew = told and not up.article
+            stack.append(Element(tag, path, up.chrome or chrome, looks or (up.looks and not anew), up.article or told, tag == "form" or (up.form and not anew)))
     return page
 
 
@@ -237,10 +259,12 @@ def text_token(b: Block) -> int:
 
 
 def main_text(page: Page, template: set[int]) -> str:
-    """The blocks in slots of the template, outside chrome elements: those of the article if
-    there is one, else all. If the template takes more than MOST_FIXED of a page's text, the
+    """The blocks in slots of the template, outside chrome elements and forms: those of the
+    article if there is one, else all. Where all that is left lies in forms, a form is wrapped
+    around the page and says nothing. If the template takes more than MOST_FIXED of a page's text, the
     page is a variant of others and keeps its text."""
-    left = [b for b in page.blocks if not b.chrome]
+    plain = [b for b in page.blocks if not b.chrome]
+    left = [b for b in plain if not b.form] or plain
     if any(b.article for b in left):
         left = [b for b in left if b.article]
     slots = [b for b in left if text_token(b) not in template]

@@ -227,3 +227,57 @@ def test_large_templates_are_joined(spark, monkeypatch):
     sent = sorted(map(tuple, html_text.extract(df).collect()))
     monkeypatch.setattr(html_text, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, html_text.extract(df).collect())) == sent
+
+
+def text_of(source):
+    return html_text.main_text(html_text.parse(source), set())
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<form><div><article><p>one</p></article></div></form>", "one"),
+        ("<form id=aspnet><div id=content><p>one</p><p>two</p></div></form>", "one\ntwo"),
+        ("<form><input><p>mail</p></form><div><p>one</p></div>", "one"),
+        ("<article><p>one</p><form><p>mail</p></form></article>", "one"),
+        ("<aside><article><p>card</p></article></aside><main><p>one</p></main>", "one"),
+        *[(f"<article><p>one</p><div class='{c}'><p>buy</p></div></article>", "one") for c in ("ad-slot", "ad-300x250", "advert-wrap", "google-ads", "box ads", "sponsored_link")],
+        *[(f"<article><p>one</p></article><div id='{c}'><article><p>I say</p></article></div>", "one") for c in ("comments-wrap", "comment-form", "disqus")],
+        ("<article><p>one</p><div id=comments-wrap><div class=comment-body>I say</div></div></article>", "one"),
+        ("<main><p>one</p></main><article class=comment><p>I say</p></article>", "one"),
+        ("<article><p>one</p><div hidden><p>no</p></div><p hidden=until-found>no</p><p style='color:red; display : none'>no</p></article>", "one"),
+        ("<article><p class='hidden-gem'>one</p><p data-x='hidden'>two</p><p aria-hidden=false>three</p></article>", "one\ntwo\nthree"),
+        ("<article class='post no-comments'><p>one</p></article>", "one"),
+        ("<div class='page has-ads'><p>one</p></div>", "one"),
+        ("<article><p class=notice>one</p><div class=related><p>two</p></div></article>", "one\ntwo"),
+        ("<div class=notice><p>cookies</p></div><article><p>one</p></article>", "one"),
+        ("<div class=address><p>one</p></div><div class=loading><p>two</p></div>", "one\ntwo"),
+    ],
+)
+def test_what_holds_the_article(source, want):
+    assert text_of(f"<html><body>{source}</body></html>") == want
+
+
+def test_whole_texts_of_a_host_equal_brute_force(spark):
+    """Blocks in one row each, some on many pages: what enough different contents share goes."""
+    rng = random.Random(8)
+    shared = [f"shared line {i} " + "s" * i for i in range(8)]
+    pages = []
+    for i in range(40):
+        own = [f"own {i} {k} " + "text " * rng.randrange(6, 12) for k in range(rng.randrange(2, 5))]
+        blocks = [s for n, s in enumerate(shared) if rng.random() < n / 8] + own
+        pages.append((i, f"http://h.example/{i}", blocks))
+    pages += [(100 + i, f"http://h.example/c{i}", pages[0][2]) for i in range(5)] + [(200, "http://other.example/", pages[1][2])]
+    contents = {tuple(b) for i, u, b in pages if "//h." in u}
+    often = {s for s in shared if sum(s in c for c in contents) >= max(html_text.PAGES, html_text.SHARE * len(contents))}
+    assert 2 <= len(often) < 8
+
+    def expected(url, blocks):
+        kept = [b for b in blocks if b not in often or "//h." not in url]
+        if sum(map(len, kept)) < (1 - html_text.MOST_FIXED) * sum(map(len, blocks)):
+            kept = blocks
+        return "\n".join(b.strip() for b in kept)
+
+    rows = [(i, u, "<body>" + "".join(f"<div>{b}</div>" for b in blocks)) for i, u, blocks in pages]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: expected(u, b) for i, u, b in pages}
