@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 
 from millrace.operators import paths
 from millrace.registry import query
-from millrace.sources import files, members, nested_yaml, sinks
+from millrace.sources import catalogue, files, members, nested_yaml, sinks
 from millrace.sources.publish import publish, published
 from millrace.sources.shared import shared_dir
-from millrace.sources.tables import table
+from millrace.sources.tables import table, tables
 
 
 def _folder(spark: SparkSession) -> str:
@@ -156,3 +156,14 @@ def yaml_features(spark: SparkSession, sf: str) -> DataFrame:
     head = F.concat(F.lit("# features\nversions:\n  min: 8.1\nfeaturematrix:\n  "), F.col("p_brand"), F.lit(":\n"))
     sinks.write_each(whole.select(F.concat("p_brand", F.lit(".yaml")).alias("name"), F.encode(F.concat(head, "items"), "UTF-8").alias("content")), at)
     return nested_yaml.features(nested_yaml.read_yaml(spark, at))
+
+
+@query("second_catalogue", "SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 100 AND s_nationkey <> 3")
+def second_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers lie in another database, from which parts are read side by side and joined. The
+    database is one of this JVM's memory, so the query is for local sessions."""
+    s, n = tables(spark, sf, "supplier nation")
+    url = f"jdbc:derby:memory:catalogue-{uuid.uuid4().hex};create=true"
+    catalogue.foreign_write(s.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), url, "supplier")
+    rows = catalogue.foreign_table(spark, url, "supplier", "s_suppkey", parts=4).where("s_acctbal > 100 AND s_nationkey <> 3")
+    return rows.join(n, F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", "s_name", "n_name")
