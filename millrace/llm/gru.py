@@ -135,12 +135,12 @@ def _lanes(words: np.ndarray, offsets: np.ndarray, lanes: int) -> Iterator[tuple
         yield rows, offsets[rows], length[rows]
 
 
-def _windows(length: np.ndarray, longest: int) -> Iterator[tuple[int, int]]:
+def _windows(length: np.ndarray, longest: int, tokens: int = WINDOW_TOKENS) -> Iterator[tuple[int, int]]:
     """First step of each window and the one after its last; lengths fall."""
     t, end = 0, int(length[0]) if len(length) else 0
     while t < end:
         live = int(np.searchsorted(-length, -t, side="left"))
-        to = min(t + min(max(WINDOW, WINDOW_TOKENS // live), longest), end)
+        to = min(t + min(max(WINDOW, tokens // live), longest), end)
         yield t, to
         t = to
 
@@ -164,11 +164,12 @@ def score(m: Gru, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 class Trainer:
     """Truncated backpropagation with Adagrad on a copy of a model; gradients stop at the
-    border of a window, the state does not."""
+    border of a window, the state does not. A window has about ``tokens`` tokens and no
+    more than ``longest`` steps."""
 
-    def __init__(self, start: Gru, rate: float):
+    def __init__(self, start: Gru, rate: float, tokens: int = WINDOW_TOKENS, longest: int = LONGEST):
         self.model = start.with_vector(start.vector())
-        self.rate = rate
+        self.rate, self.tokens, self.longest = rate, tokens, longest
         self.squares = {n: np.full(getattr(start, n).shape, 1e-4, F32) for n in start.trained()}
 
     def learn(self, words: np.ndarray, offsets: np.ndarray, lanes: int = TRAIN_LANES) -> None:
@@ -176,7 +177,7 @@ class Trainer:
         m = self.model
         for rows, starts, length in _lanes(words, offsets, lanes):
             h = np.repeat(m.first[None, :], len(rows), axis=0)
-            for t0, t1 in _windows(length, LONGEST):
+            for t0, t1 in _windows(length, self.longest, self.tokens):
                 h = _window(m, self.squares, h, words, starts, length, t0, t1, self.rate)
 
 

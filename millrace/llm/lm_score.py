@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textvec
-from millrace.llm.gru import TRAIN_LANES, Gru, Trainer, score
+from millrace.llm.gru import LONGEST, TRAIN_LANES, WINDOW_TOKENS, Gru, Trainer, score
 from millrace.llm.scratch import Scratch
 
 #: Sizes of the recurrent model: its most frequent words (the rest share one output, split
@@ -22,8 +22,9 @@ from millrace.llm.scratch import Scratch
 VOCABULARY, CLASSES, HIDDEN = 8192, 64, 16
 #: Words whose counts every task holds; counts of rarer words are joined.
 HOT_WORDS = 1 << 18
-#: Documents that one task fits the common start on, before the rounds.
-WARM_DOCS, WARM_LANES = 400, 16
+#: Documents that one task fits the common start on, before the rounds: few at a time, in
+#: short windows of few tokens and at a high rate, so that it takes many steps.
+WARM_DOCS, WARM_LANES, WARM_TOKENS, WARM_LONGEST, WARM_RATE = 400, 16, 1024, 64, 0.3
 #: Learning rate of each round. A hash of doc_id deals the texts to the rounds, each text to one.
 RATES = (0.1, 0.1, 0.1, 0.05)
 #: Rows that a partition of a shuffle by word holds, so that partitions grow in number and not in size.
@@ -132,14 +133,14 @@ def hot_counts(counts: DataFrame, total: int) -> Counts:
     return Counts(keys, c, words, least, edges, frequencies)
 
 
-def learned_round(docs: DataFrame, model: Gru, counts: Counts, rate: float, lanes: int, scratch: Scratch) -> tuple[Gru, int, int]:
+def learned_round(docs: DataFrame, model: Gru, counts: Counts, rate: float, lanes: int, scratch: Scratch, window: tuple[int, int] = (WINDOW_TOKENS, LONGEST)) -> tuple[Gru, int, int]:
     """(model, texts, tokens): every partition of ``docs`` learns on from ``model``; the
     replicas' weights are averaged by the tokens they saw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, texts, seen = Trainer(model, rate), 0, 0
+        own, texts, seen = Trainer(model, rate, *window), 0, 0
         for b in runs(batches):
             keys, offsets = tokens(b.column("text"))
             own.learn(counts.ids(keys), offsets, lanes)
@@ -175,7 +176,7 @@ def fit(docs: DataFrame, counts: Counts, scratch: Scratch) -> tuple[Gru, int]:
     The weights depend on how ``docs`` is partitioned, less so the more rounds there are."""
     model, texts = Gru.start(counts.frequencies, counts.edges, HIDDEN), 0
     sample = docs.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(WARM_DOCS).repartition(1)
-    model, _, _ = learned_round(sample, model, counts, RATES[0], WARM_LANES, scratch)
+    model, _, _ = learned_round(sample, model, counts, WARM_RATE, WARM_LANES, scratch, (WARM_TOKENS, WARM_LONGEST))
     for r, rate in enumerate(RATES):
         part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(len(RATES))) == r)
         model, n, _ = learned_round(part, model, counts, rate, TRAIN_LANES, scratch)
@@ -216,7 +217,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
             ids = np.where(is_hot, hot.words[place], 0) if len(hot.keys) else np.zeros(len(keys), np.int64)
             value = np.where(is_hot, logs[place], 0.0) if len(hot.keys) else np.zeros(len(keys))
             total = lambda x, row=row, rows=rows: np.bincount(row, weights=x, minlength=rows)
-            cold = np.concatenate([[0], np.cumsum(np.bincount(row[~is_hot], minlength=rows))]).astype(np.int32)
+            # each word that is not hot once a text, with how often it is there
+            order = np.lexsort((keys[~is_hot], row[~is_hot]))
+            cold_row, cold_key = row[~is_hot][order], keys[~is_hot][order]
+            first = np.flatnonzero(np.r_[True, (cold_row[1:] != cold_row[:-1]) | (cold_key[1:] != cold_key[:-1])][: len(order)])
+            times = np.diff(np.r_[first, len(order)])
+            cold = np.concatenate([[0], np.cumsum(np.bincount(cold_row[first], minlength=rows))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(uid + np.arange(rows)),
@@ -227,25 +233,21 @@ def score_documents(docs: DataFrame) -> DataFrame:
                     pa.array(total(np.where(ids > 0, value, 0.0))),
                     pa.array(total(ids == 0).astype(np.int64)),
                     pa.array(score(model, ids, offsets) / np.log(10)),
-                    pa.ListArray.from_arrays(pa.array(cold), pa.array(keys[~is_hot].view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(cold), pa.array(cold_key[first].view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(cold), pa.array(times, pa.int64())),
                 ],
-                names=["uid", "doc_id", "n_tokens", "n_hot", "logs", "model_logs", "n_other", "p", "cold"],
+                names=["uid", "doc_id", "n_tokens", "n_hot", "logs", "model_logs", "n_other", "p", "cold", "times"],
             )
             uid += rows
 
-    schema = "uid long, doc_id long, n_tokens long, n_hot long, logs double, model_logs double, n_other long, p double, cold array<long>"
+    schema = "uid long, doc_id long, n_tokens long, n_hot long, logs double, model_logs double, n_other long, p double, cold array<long>, times array<long>"
     scored = scratch.save(plain.mapInArrow(run, schema))
     cold = counts.where(F.col("c") < hot.least)
-    size = _partitions(scored.agg(F.coalesce(F.sum(F.size("cold")), F.lit(0))).first()[0])
-    rest = (
-        scored.select("uid", F.explode("cold").alias("key"))
-        .repartition(size, "key")
-        .join(cold.repartition(size, "key"), "key")
-        .groupBy("uid")
-        .agg(F.count("*").alias("n_cold"), F.sum(F.log10(F.col("c") + 1.0)).alias("cold_logs"))
-    )
+    # the join shuffles both sides itself, so a word that very many texts hold can be split
+    each = scored.select("uid", F.explode(F.arrays_zip("cold", "times")).alias("x")).select("uid", F.col("x.cold").alias("key"), F.col("x.times").alias("times"))
+    rest = each.join(cold, "key").groupBy("uid").agg(F.sum("times").alias("n_cold"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("cold_logs"))
     logs_all = F.col("logs") + F.coalesce("cold_logs", F.lit(0.0))
-    return scored.drop("cold").join(rest, "uid", "left").select(
+    return scored.drop("cold", "times").join(rest, "uid", "left").select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "n_tokens",

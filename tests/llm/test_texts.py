@@ -319,3 +319,22 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
     for _, f in c.STAGES[:-1]:
         last = f(spark, last, sf_dir)
     assert sorted({r.doc_id for r in run.collect()}) == ids(last)
+
+
+def test_held_out_score_of_the_registered_query(spark):
+    """On the whole table at sf0.01: word frequencies alone reach -234375, and what round 1 learned -229064."""
+    r = lm_score.op5_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert round(r[1]) == -234375 and r[0] > -228500
+
+
+def test_a_word_that_only_held_out_texts_have_many_times(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "HOT_WORDS", 3)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    docs = [(i, "the odd " + "odd " * (i % 50) + "rare rare" if i in ids else f"the of w{i % 5} rare") for i in range(400)]
+    got = {r.doc_id: r for r in lm_score.score_documents(spark.createDataFrame(docs, TEXT)).collect()}
+    counts = Counter(w for i, t in docs if i not in ids for w in [*t.split(), "\n"])
+    z = math.log10(sum(counts.values()) + len(counts) + 1)
+    for i, t in docs:
+        ws = [*t.split(), "\n"]
+        assert (got[i].n_tokens, got[i].n_known) == (len(ws), sum(w in counts for w in ws))
+        assert got[i].base_score == pytest.approx(sum(math.log10(counts[w] + 1) - z for w in ws), abs=1e-6)
