@@ -167,3 +167,54 @@ def second_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     catalogue.foreign_write(s.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), url, "supplier")
     rows = catalogue.foreign_table(spark, url, "supplier", "s_suppkey", parts=4).where("s_acctbal > 100 AND s_nationkey <> 3")
     return rows.join(n, F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", "s_name", "n_name")
+
+
+@query("saved_tree", "SELECT 'd' || (page_id % 7) AS parent, page_id || '.html' AS name, octet_length(encode(html))::BIGINT AS size FROM pages WHERE page_id % 7 <> 3")
+def saved_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The listing of a folder without an excluded one is published as a tree and loaded from there."""
+    at, p = _folder(spark), table(spark, sf, "pages")
+    name = F.concat(F.when(F.col("page_id") % 7 == 3, "old").otherwise(F.concat(F.lit("d"), F.col("page_id") % 7)), F.lit("/"), F.col("page_id"), F.lit(".html"))
+    sinks.write_each(p.select(name.alias("name"), F.encode("html", "UTF-8").alias("content")), f"{at}/files")
+    publish(files.file_tree(spark, f"{at}/files").select("parent", "name", "size"), f"{at}/tree")
+    return published(spark, f"{at}/tree")
+
+
+@query(
+    "fixture_load",
+    "SELECT c_custkey::VARCHAR AS pk, c_name AS name, c_acctbal AS balance, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS segment FROM customer",
+)
+def fixture_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers and nations are written as one fixture file; the customers are loaded from it."""
+    at, (c, n) = _folder(spark), tables(spark, sf, "customer nation")
+    fields = F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("segment"), F.lit(1).alias("spare"))
+    own = c.select(F.to_json(F.struct(F.lit("shop.customer").alias("model"), F.col("c_custkey").alias("pk"), fields.alias("fields"))).alias("row"))
+    other = n.select(F.to_json(F.struct(F.lit("shop.nation").alias("model"), F.col("n_nationkey").alias("pk"), F.struct(F.col("n_name").alias("name")).alias("fields"))).alias("row"))
+    part = F.pmod(F.xxhash64("row"), F.lit(3))
+    whole = own.union(other).groupBy(part.alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ",\n"), F.lit("]")).alias("content"))
+    sinks.write_each(whole.select(F.concat(F.lit("f"), "part", F.lit(".json")).alias("name"), F.encode("content", "UTF-8").alias("content")), at)
+    return files.fixture_rows(files.fixtures(spark, at), "shop.customer", "name string, balance double, segment string")
+
+
+@query(
+    "list_info_file",
+    "SELECT r_name AS groupname, r_regionkey AS sortkey, lower(n_name) AS listname, CASE WHEN n_nationkey % 4 <> 0 THEN 'about ' || n_name END AS shortdesc, n_nationkey % 5 <> 0 AS active FROM nation JOIN region ON r_regionkey = n_regionkey",
+)
+def list_info_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups with their lists are written as JSON and read; what a list does not say is filled in."""
+    at, (n, r) = _folder(spark), tables(spark, sf, "nation region")
+    one = F.struct(F.lower("n_name").alias("name"), F.when(F.col("n_nationkey") % 4 != 0, F.concat(F.lit("about "), "n_name")).alias("shortdesc"), F.when(F.col("n_nationkey") % 5 == 0, False).alias("active"))
+    groups = n.join(r, F.col("r_regionkey") == F.col("n_regionkey")).groupBy(F.col("r_name").alias("name"), F.col("r_regionkey").alias("sortkey")).agg(F.collect_list(one).alias("lists"))
+    whole = groups.agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct("name", "sortkey", "lists"))), ","), F.lit("]")).alias("content"))
+    sinks.write_each(whole.select(F.lit("lists.json").alias("name"), F.encode("content", "UTF-8").alias("content")), at)
+    return files.list_info(spark, f"{at}/lists.json")
+
+
+@query("files_concatenated", "SELECT sha256(string_agg(n_name || chr(10), '' ORDER BY n_regionkey DESC, n_nationkey)) AS content_sha256, true AS dated FROM nation")
+def files_concatenated(spark: SparkSession, sf: str) -> DataFrame:
+    """A file a region, put one behind another from the last region to the first."""
+    at, n = _folder(spark), table(spark, sf, "nation")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(x["n_name"], F.lit("\n"))), "")
+    whole = n.groupBy("n_regionkey").agg(lines.alias("content"))
+    sinks.write_each(whole.select(F.concat("n_regionkey", F.lit(".css")).alias("name"), F.encode("content", "UTF-8").alias("content")), at)
+    got = files.concatenated(spark, at, [f"{i}.css" for i in (4, 3, 2, 1, 0)])
+    return got.select(F.sha2("content", 256).alias("content_sha256"), F.col("version").isNotNull().alias("dated"))

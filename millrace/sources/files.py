@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -104,3 +105,37 @@ def synonyms(spark: SparkSession, path: str) -> dict[str, str]:
 def staged_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a semicolon-separated load file."""
     return spark.read.schema(schema).csv(path, sep=";", quote='"', escape='"', multiLine=True)
+
+
+def fixtures(spark: SparkSession, path: str) -> DataFrame:
+    """(model, pk, field, value) of fixture files: JSON lists of rows with a model, a key and
+    fields. A row without a key has a null one; null fields stay; values are texts."""
+    raw = spark.read.schema("model string, pk string, fields map<string,string>").json(path, multiLine=True)
+    return raw.select("model", "pk", F.explode_outer("fields").alias("field", "value"))
+
+
+def fixture_rows(rows: DataFrame, model: str, schema: str) -> DataFrame:
+    """The rows of one model as a table: ``pk`` and the schema's columns, cast to their types.
+    Fields that a row lacks are null, fields that the schema lacks are left."""
+    columns = T.StructType.fromDDL(schema)
+    own = rows.where(F.col("model") == model).groupBy("pk").agg(*[F.max(F.when(F.col("field") == c.name, F.col("value"))).cast(c.dataType).alias(c.name) for c in columns])
+    return own.select("pk", *columns.names)
+
+
+def list_info(spark: SparkSession, path: str) -> DataFrame:
+    """(groupname, sortkey, listname, shortdesc, active) of a JSON file of groups with lists; a
+    list that does not say so is active, a group without lists has no row."""
+    raw = spark.read.schema("name string, sortkey int, lists array<struct<name: string, shortdesc: string, active: boolean>>").json(path, multiLine=True)
+    each = raw.select(F.col("name").alias("groupname"), "sortkey", F.explode("lists").alias("l"))
+    return each.select("groupname", "sortkey", F.col("l.name").alias("listname"), F.col("l.shortdesc").alias("shortdesc"), F.coalesce("l.active", F.lit(True)).alias("active"))
+
+
+def concatenated(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """(content, version): the named files of a folder, one behind another in the order of the
+    names, and the newest modification time. Meant for a few short files; a name that the
+    folder lacks is an error."""
+    files = spark.read.format("binaryFile").load([f"{folder.rstrip('/')}/{n}" for n in names])
+    order = F.array_position(F.array(*[F.lit(n) for n in names]), F.element_at(F.split("path", "/"), -1))
+    parts = files.select(order.alias("n"), F.decode("content", "UTF-8").alias("text"), "modificationTime")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda p: p["text"]), "")
+    return parts.agg(whole.alias("content"), F.max("modificationTime").alias("version"))

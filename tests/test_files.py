@@ -138,3 +138,22 @@ def test_one_partition_a_file(spark, tmp_path):
         (tmp_path / f"{n}.yaml").write_text(f"a: {n}\n")
     df = nested_yaml.read_yaml(spark, str(tmp_path))
     assert df.rdd.getNumPartitions() == 3 and sorted(r.value for r in df.collect()) == ["0", "1", "2"]
+
+
+def test_fixtures_lists_and_concatenated_files(spark, tmp_path):
+    from millrace.sources import files
+
+    (tmp_path / "a.json").write_text('[{"model": "m.x", "pk": 1, "fields": {"n": "one", "k": 5, "gone": null}}, {"model": "m.x", "fields": {"n": "no key"}}, {"model": "m.y", "pk": 2, "fields": {}}]')
+    rows = files.fixtures(spark, str(tmp_path / "a.json"))
+    got = sorted(((r.pk, r.n, r.k) for r in files.fixture_rows(rows, "m.x", "n string, k int").collect()), key=str)
+    assert got == [("1", "one", 5), (None, "no key", None)]
+    assert files.fixture_rows(rows, "m.z", "n string").count() == 0
+    (tmp_path / "l.json").write_text('[{"name": "g", "sortkey": 1, "lists": [{"name": "a"}, {"name": "b", "active": false}]}, {"name": "h", "lists": []}]')
+    assert sorted((r.listname, r.active) for r in files.list_info(spark, str(tmp_path / "l.json")).collect()) == [("a", True), ("b", False)]
+    for n, t in (("x.css", "x\n"), ("y.css", "ü")):
+        (tmp_path / n).write_text(t)
+    os.utime(tmp_path / "x.css", (1_700_000_000, 1_700_000_000))
+    r = files.concatenated(spark, str(tmp_path), ["y.css", "x.css"]).first()
+    assert r.content == "üx\n" and r.version.timestamp() > 1_700_000_000
+    with pytest.raises(Exception, match="z.css|exist"):
+        files.concatenated(spark, str(tmp_path), ["z.css"]).collect()
