@@ -372,8 +372,8 @@ def _visited(
         return pd.DataFrame({"query_id": right["query_id"].to_numpy()[i], "vec_id": ids, "score": s})
 
     asked = scratch.save(queries.select("vec_id", "v", "floor").mapInArrow(ask, "query_id long, q array<double>, floor double, shard long, leaves array<long>"))
-    many = {r.shard: r["count"] for r in asked.groupBy("shard").count().collect()}
-    cells = F.broadcast(queries.sparkSession.createDataFrame([(s, -(-n // CELL_QUERIES)) for s, n in sorted(many.items())], "shard long, cells long"))
+    # as many rows as there are shards that are asked: Spark sends them to the vectors while they are few
+    cells = scratch.save(asked.groupBy("shard").agg(F.ceil(F.count("*") / CELL_QUERIES).alias("cells")))
     held = placed.mapInArrow(deal, "vec_id long, v array<double>, leaf long, shard long").join(cells, "shard")
     held = held.select("vec_id", "v", "leaf", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"))
     asking = asked.join(cells, "shard").withColumn("cell", F.pmod(F.monotonically_increasing_id(), F.col("cells"))).drop("cells")
