@@ -231,12 +231,15 @@ def index(ready: DataFrame, scratch: Scratch) -> tuple[Tree, DataFrame, dict[int
     sample = np.array(ready.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()["v"].tolist())
     tree = fit_tree(sample, bound, leaf_sample=max(2 * BRANCH, leaf_rows * len(sample) // rows))
     tried: set[int] = set()
+    # vectors whose leaf stays, with how many each leaf has; only those of split leaves are placed again
+    settled: DataFrame | None = None
+    counted: dict[int, int] = {}
+    placed = _placed(ready, tree, scratch)
     while True:
-        placed = _placed(ready, tree, scratch)
         filled = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}
         large = {leaf: n for leaf, n in filled.items() if n > leaf_rows and leaf not in tried}
-        if rows <= len(sample) or not large or len(filled) >= MAX_LEAVES:
-            return tree, placed, filled
+        if rows <= len(sample) or not large or len(filled) + len(counted) >= MAX_LEAVES:
+            return tree, placed if settled is None else settled.union(placed), counted | filled
         share = {leaf: min(1.0, min(SAMPLE_ROWS, LEAF_SAMPLE * -(-n // leaf_rows)) / n) for leaf, n in large.items()}
 
         def chosen(batches: Iterator[pa.RecordBatch], share: dict[int, float] = share) -> Iterator[pa.RecordBatch]:
@@ -254,6 +257,7 @@ def index(ready: DataFrame, scratch: Scratch) -> tuple[Tree, DataFrame, dict[int
         draw = (F.pmod(F.xxhash64("vec_id", F.lit(len(tried))), F.lit(1 << 30)) / float(1 << 30)).alias("u")
         some = placed.select("leaf", "v", draw).mapInArrow(chosen, "leaf long, v array<double>, u double")
         parts = some.groupBy("leaf").applyInPandas(split, "leaf long, node long, parent long, centre array<double>").toPandas()
+        grafted = []
         for leaf, nodes in parts.groupby("leaf"):
             nodes = nodes.sort_values("node")
             children: list[list[int]] = [[] for _ in range(len(nodes))]
@@ -261,8 +265,14 @@ def index(ready: DataFrame, scratch: Scratch) -> tuple[Tree, DataFrame, dict[int
                 children[parent].append(node)
             if children[0]:
                 tree.graft(int(leaf), Tree(np.array(nodes["centre"].tolist()), children, bound))
+                grafted.append(int(leaf))
         tried |= large.keys()
-        scratch.drop(placed)
+        # at most MAX_LEAVES rows
+        split_leaves = F.broadcast(ready.sparkSession.createDataFrame([(leaf,) for leaf in grafted], "leaf long"))
+        staying = placed.join(split_leaves, "leaf", "left_anti").select("vec_id", "v", "leaf")
+        settled = staying if settled is None else settled.union(staying)
+        counted |= {leaf: n for leaf, n in filled.items() if leaf not in set(grafted)}
+        placed = _placed(placed.join(split_leaves, "leaf", "left_semi").select("vec_id", "v"), tree, scratch)
 
 
 def _calibrated(tree: Tree, placed: DataFrame, queries: DataFrame, filled: dict[int, int], k: int, recall: float) -> int:
