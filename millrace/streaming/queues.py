@@ -57,19 +57,30 @@ def applied(spark: SparkSession, target: str, key: str) -> DataFrame:
 
 def limited(events: DataFrame, key: str, step: Callable) -> DataFrame:
     """(key, ts, event_id, ok): a limit or lock with feedback as a stateful operator. The
-    state of a key is the list of accepted times that still count. Events of a key must
-    come in order across batches; inside a batch they are sorted."""
+    state of a key is the list of accepted times that still count, and the last time seen.
+
+    Inside a batch a key's events are sorted; of a batch, one task holds a key's times and
+    ids. What comes in a later batch than a newer event of its key is late: it cannot be
+    decided on as if it had come in time, so its ok is null and it changes nothing. So is
+    that of an event without a time.
+    """
     kind = dict(events.dtypes)[key]
 
     def run(own_key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = [pd.Timestamp(t, unit="us") for t in state.get[0]] if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        ok, held = decide(rows["ts"], step, held)
-        state.update(([int(t.value // 1000) for t in held],))
-        yield rows[[key, "ts", "event_id"]].assign(ok=ok)
-
-    state = T.StructType([T.StructField("accepted", T.ArrayType(T.LongType()))])
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, ts timestamp, event_id long, ok boolean", state, "append", "NoTimeout")
+        accepted, last = state.get if state.exists else ([], None)
+        held = [pd.Timestamp(t, unit="us") for t in accepted]
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])[[key, "ts", "event_id"]]
+        timely = rows["ts"].notna() & ((rows["ts"] >= pd.Timestamp(last, unit="us")) if last is not None else True)
+        ok, held = decide(rows.loc[timely, "ts"], step, held)
+        rows["ok"] = None
+        rows.loc[timely, "ok"] = ok
+        if timely.any():
+            last = int(rows.loc[timely, "ts"].iloc[-1].value // 1000)
+        state.update(([int(t.value // 1000) for t in held], last))
+        yield rows.astype({"ok": "boolean"})
+
+    state = T.StructType([T.StructField("accepted", T.ArrayType(T.LongType())), T.StructField("last", T.LongType())])
+    return events.select(key, "ts", "event_id").groupBy(key).applyInPandasWithState(run, f"{key} {kind}, ts timestamp, event_id long, ok boolean", state, "append", "NoTimeout")
 
 
 def counted(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

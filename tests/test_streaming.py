@@ -72,3 +72,19 @@ def test_windowed_counts_are_final_behind_the_watermark(spark, parts, tmp_path):
     e = spark.read.parquet(parts).withColumn("ts", F.col("ts").cast("timestamp"))
     want = {(r.start, r.event_type): r.n for r in e.groupBy(F.date_trunc("hour", "ts").alias("start"), "event_type").agg(F.count("*").alias("n")).collect()}
     assert got and all(want[k] == n for k, n in got.items()) and len(got) >= len(want) - 10
+
+
+def test_late_events_are_not_decided_on(spark, tmp_path):
+    import pandas as pd
+
+    at = tmp_path / "late"
+    os.makedirs(at)
+    t = lambda h: pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h)
+    files = [[(1, t(0), 1), (2, t(5), 1)], [(3, t(20), 1), (4, t(1), 2)], [(5, t(10), 1), (6, t(20), 1), (7, t(40), 1), (8, t(2), 2)]]
+    for i, rows in enumerate(files):
+        pd.DataFrame(rows, columns=["event_id", "ts", "user_id"]).to_parquet(at / f"{i}.parquet", coerce_timestamps="us")
+        os.utime(at / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = S.limited(S.event_stream(spark, str(at)), "user_id", Q.lock(timedelta(hours=12)))
+    S.to_parquet(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = {r.event_id: r.ok for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: True, 5: None, 6: False, 7: True, 8: False}
