@@ -27,6 +27,8 @@ HOT_WORDS = 1 << 18
 WARM_DOCS, WARM_LANES, WARM_TOKENS, WARM_LONGEST, WARM_RATE = 400, 16, 1024, 64, 0.3
 #: Learning rate of each round. A hash of doc_id deals the texts to the rounds, each text to one.
 RATES = (0.1, 0.1, 0.1, 0.05)
+#: Tokens of a round that a replica learns from at least: small partitions are read together.
+REPLICA_TOKENS = 250_000
 #: Rows that a partition of a shuffle by word holds, so that partitions grow in number and not in size.
 SHUFFLE_ROWS = 2_000_000
 #: Bytes of texts that are worked on at once; a longer text is a run of its own.
@@ -146,23 +148,25 @@ def learned_round(docs: DataFrame, model: Gru, counts: Counts, rate: float, lane
             own.learn(counts.ids(keys), offsets, lanes)
             texts, seen = texts + len(b), seen + len(keys)
         if seen:
-            v = own.model.vector() * seen
+            v = own.model.vector().astype(np.float32)
             parts = [v[a : a + CHUNK] for a in range(0, len(v), CHUNK)]
             n = len(parts)
             group = TaskContext.get().partitionId() // FAN_IN
             yield pa.RecordBatch.from_arrays(
-                [pa.array([group] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([texts] * n, pa.int64()), pa.array([seen] * n, pa.int64()), pa.array(parts, pa.list_(pa.float64()))],
+                [pa.array([group] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([texts] * n, pa.int64()), pa.array([seen] * n, pa.int64()), pa.array(parts, pa.list_(pa.float32()))],
                 names=["grp", "at", "texts", "seen", "v"],
             )
 
     def add(t: pa.Table) -> pa.Table:
-        whole = np.sum([x.values.to_numpy() for x in t["v"]], axis=0)
+        whole = np.sum([x.values.to_numpy().astype(np.float64) * n for x, n in zip(t["v"], t["weight"].to_pylist(), strict=True)], axis=0)
         sums = [pa.array([sum(t[c].to_pylist())], pa.int64()) for c in ("texts", "seen")]
         return pa.table([t["grp"].slice(0, 1), t["at"].slice(0, 1), *sums, pa.array([whole], pa.list_(pa.float64()))], names=["grp", "at", "texts", "seen", "v"])
 
     shape = "grp long, at long, texts long, seen long, v array<double>"
-    replicas = scratch.save(docs.select("text").mapInArrow(run, shape))
-    sums = replicas.groupBy("grp", "at").applyInArrow(add, shape).withColumn("grp", F.lit(0).cast("long")).groupBy("grp", "at").applyInArrow(add, shape)
+    replicas = scratch.save(docs.select("text").mapInArrow(run, shape.replace("double", "float")))
+    once = replicas.withColumn("weight", F.col("seen")).groupBy("grp", "at").applyInArrow(add, shape)
+    # what comes now is summed up already
+    sums = once.withColumns({"grp": F.lit(0).cast("long"), "weight": F.lit(1).cast("long")}).groupBy("grp", "at").applyInArrow(add, shape)
     rows = sums.orderBy("at").toArrow()
     scratch.drop(replicas)
     if not len(rows):
@@ -177,9 +181,10 @@ def fit(docs: DataFrame, counts: Counts, scratch: Scratch) -> tuple[Gru, int]:
     model, texts = Gru.start(counts.frequencies, counts.edges, HIDDEN), 0
     sample = docs.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(WARM_DOCS).repartition(1)
     model, _, _ = learned_round(sample, model, counts, WARM_RATE, WARM_LANES, scratch, (WARM_TOKENS, WARM_LONGEST))
+    replicas = max(1, int(counts.frequencies.sum()) // (len(RATES) * REPLICA_TOKENS))
     for r, rate in enumerate(RATES):
         part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(len(RATES))) == r)
-        model, n, _ = learned_round(part, model, counts, rate, TRAIN_LANES, scratch)
+        model, n, _ = learned_round(part.coalesce(replicas), model, counts, rate, TRAIN_LANES, scratch)
         texts += n
     return model, texts
 
