@@ -94,11 +94,25 @@ class Counts:
     edges: np.ndarray
     frequencies: np.ndarray
 
+    def __post_init__(self) -> None:
+        # the keys are hashes, so their first bits deal them evenly: about one to each start
+        bits = max(1, len(self.keys).bit_length())
+        self.shift = _U(64 - bits)
+        self.starts = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
     def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, hot) of tokens among the hot words."""
-        if not len(self.keys):
+        """(place, hot) of tokens among the hot words: from the first with the same first bits
+        on, a step at a time, as far as smaller keys stand there."""
+        n = len(self.keys)
+        if not n:
             return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
-        place = np.minimum(np.searchsorted(self.keys, tokens), len(self.keys) - 1)
+        place = np.minimum(self.starts[tokens >> self.shift], n - 1)
+        behind = np.flatnonzero(self.keys[place] < tokens)
+        while len(behind):
+            place[behind] += 1
+            behind = behind[place[behind] < n]
+            behind = behind[self.keys[place[behind]] < tokens[behind]]
+        place = np.minimum(place, n - 1)
         return place, self.keys[place] == tokens
 
     def ids(self, tokens: np.ndarray) -> np.ndarray:
@@ -179,7 +193,10 @@ def fit(docs: DataFrame, counts: Counts, scratch: Scratch) -> tuple[Gru, int]:
     """(model, texts learned from in the rounds). docs has doc_id and text, training only.
     The weights depend on how ``docs`` is partitioned, less so the more rounds there are."""
     model, texts = Gru.start(counts.frequencies, counts.edges, HIDDEN), 0
-    sample = docs.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(WARM_DOCS).repartition(1)
+    # hashes alone find where the first texts end, so that each partition sends few texts
+    place = F.xxhash64("doc_id", F.lit(5))
+    last = docs.select(place.alias("h")).orderBy("h").limit(WARM_DOCS).agg(F.max("h")).first()[0]
+    sample = docs.where(place <= F.lit(last)).orderBy(place, "doc_id").limit(WARM_DOCS).repartition(1)
     model, _, _ = learned_round(sample, model, counts, WARM_RATE, WARM_LANES, scratch, (WARM_TOKENS, WARM_LONGEST))
     replicas = max(1, int(counts.frequencies.sum()) // (len(RATES) * REPLICA_TOKENS))
     for r, rate in enumerate(RATES):

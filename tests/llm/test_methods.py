@@ -312,3 +312,17 @@ def test_rows_without_id_are_judged_one_by_one(spark):
     assert sorted((r.doc_id or 0, r.n_hit, r.contaminated) for r in got) == [(0, 0, False), (0, 0, False), (0, 13, True), (7, 0, False), (7, 13, True), (7, 13, True)]
     kept = decontaminate.clean(df, bench)
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, "clean words"), (7, "other words here")] and kept.columns == df.columns
+
+
+def test_hot_words_are_found_as_by_bisection():
+    rng = np.random.default_rng(2)
+    none = np.zeros(0)
+    for n in (0, 1, 2, 5, 1000, 20000):
+        keys = np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        if n > 4:
+            keys[:3], keys[-1] = (0, 1, 2), (1 << 64) - 1
+        own = lm_score.Counts(keys, none, none, 1, none, none)
+        tokens = np.concatenate([keys, rng.integers(0, 1 << 64, 5000, dtype=np.uint64), keys + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
+        place, hot = own.find(tokens)
+        assert (hot == np.isin(tokens, keys)).all()
+        assert n == 0 or (keys[place[hot]] == tokens[hot]).all() and place.max() < n
