@@ -18,6 +18,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from millrace.sources.publish import located
 
+#: Fixed value: the key under which settings files list features by group.
+FEATURES = "featurematrix"
+
 SCHEMA = "file string, mtime timestamp, keys array<string>, value string"
 
 _KEY = re.compile(r"""('(?:[^']|'')*'|"(?:[^"\\]|\\.)*"|[^\s'"\-\[\]{}&*!|>%@`#].*?|-[^\s].*?)\s*:(?=\s|$)""")
@@ -214,7 +217,7 @@ def features(rows: DataFrame) -> DataFrame:
     """(grp, feature, version, state) of the leaves of feature lists, in which each group holds
     items with a name and a map of versions."""
     k = F.col("keys")
-    own = rows.where((k[0] == "featurematrix") & (F.size(k) >= 4)).select("file", k[1].alias("grp"), k[2].alias("item"), "keys", "value")
+    own = rows.where((k[0] == FEATURES) & (F.size(k) >= 4)).select("file", k[1].alias("grp"), k[2].alias("item"), "keys", "value")
     names = own.where((F.size(k) == 4) & (k[3] == "name")).select("file", "grp", "item", F.rtrim("value").alias("feature"))
     states = own.where((F.size(k) == 5) & (k[3] == "versions")).select("file", "grp", "item", k[4].alias("version"), F.col("value").alias("state"))
     return names.join(states, ["file", "grp", "item"]).select("grp", "feature", "version", "state")
