@@ -1,8 +1,9 @@
 """A queue consumer that tries failed items again: keyed state with timers.
 
-Each item is a key of its own, so no consumer's items end in one task. An item that fails
-waits in state for its timer; one that failed too often is set apart as dead. What is
-settled is remembered for a while, so that an item delivered twice is acted on once.
+Items are dealt by a hash of their id to many buckets, so no consumer's items end in one
+task, and a micro-batch opens the state of a bucket once for all items of it. An item that
+fails waits in state for its bucket's timer; one that failed too often is set apart as dead.
+What is settled is remembered for a while, so that an item delivered twice is acted on once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -23,46 +25,75 @@ OUTCOMES = T.StructType([T.StructField("id", T.LongType()), T.StructField("mode"
 Act = Callable[[int, str, str, int], bool]
 
 
+#: Buckets of ids, fixed for a checkpoint: of 36 million remembered items each holds about 4400.
+BUCKETS = 8192
+
+
 class _Consumer(StatefulProcessor):
     def __init__(self, act: Act, modes: frozenset[str], wait_ms: int, most: int, keep_ms: int):
         self.act, self.modes, self.wait_ms, self.most, self.keep_ms = act, modes, wait_ms, most, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "mode string, expr string, tries int")
-        self.settled = handle.getValueState("settled", "outcome string", self.keep_ms)
+        self.open = handle.getValueState("open", "ids array<long>, modes array<string>, exprs array<string>, tries array<int>, due array<long>")
+        # an idle bucket's memory goes by itself; one in use leaves what is over
+        self.settled = handle.getValueState("settled", "ids array<long>, until array<long>", self.keep_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        first = next(rows)
-        for _ in rows:  # the same item delivered again
-            pass
-        if not self.settled.exists() and not self.open.exists():
-            yield from self._try(key, first["mode"], first["expr"], 1, timerValues)
+        start = timerValues.getCurrentProcessingTimeInMs()
+        waiting, settled = self._load(start)
+        before, fresh = min((due for *_, due in waiting.values()), default=None), False
+        for row in rows:
+            if row["id"] not in settled and row["id"] not in waiting:  # else it was delivered again
+                fresh = True
+                yield from self._try(row["id"], row["mode"], row["expr"], 1, start, waiting, settled)
+        if fresh:
+            self._store(waiting, settled, before)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        if self.open.exists():
-            mode, expr, tries = self.open.get()
-            yield from self._try(key, mode, expr, tries + 1, timerValues)
+        start = timerValues.getCurrentProcessingTimeInMs()
+        waiting, settled = self._load(start)
+        for item in [i for i, (*_, due) in waiting.items() if due <= start]:
+            mode, expr, tries, _ = waiting.pop(item)
+            yield from self._try(item, mode, expr, tries + 1, start, waiting, settled)
+        self._store(waiting, settled, None)
+
+    def _load(self, start: int) -> tuple[dict, dict]:
+        """Items that wait, id -> (mode, expr, tries, due), and those remembered, id -> until."""
+        found, known = self.open.get(), self.settled.get()
+        waiting = {i: tuple(rest) for i, *rest in zip(*found, strict=True)} if found else {}
+        return waiting, {i: until for i, until in zip(*known, strict=True) if until > start} if known else {}
+
+    def _store(self, waiting: dict, settled: dict, timer: int | None) -> None:
+        """Keeps both; ``timer`` is the earliest time for which the bucket has a timer already."""
+        if waiting:
+            self.open.update((list(waiting), *map(list, zip(*waiting.values(), strict=True))))
+            first = min(due for *_, due in waiting.values())
+            if timer is None or first < timer:
+                self.handle.registerTimer(first)
+        else:
+            self.open.clear()
+        if settled:
+            self.settled.update((list(settled), list(settled.values())))
+        else:
+            self.settled.clear()
 
-    def _try(self, key: Any, mode: str, expr: str, tries: int, timer: Any) -> Iterator[Row]:
+    def _try(self, item: int, mode: str, expr: str, tries: int, start: int, waiting: dict, settled: dict) -> Iterator[Row]:
         if mode not in self.modes:
             outcome = "unknown"
         else:
             try:
-                outcome = "done" if self.act(key[0], mode, expr, tries) else None
+                outcome = "done" if self.act(item, mode, expr, tries) else None
             except Exception:
                 outcome = None
             if outcome is None and tries >= self.most:
                 outcome = "dead"
         if outcome is None:
-            self.open.update((mode, expr, tries))
             # a batch's time is that of its start, the try may have ended much later
-            now = max(timer.getCurrentProcessingTimeInMs(), int(time.time() * 1000))
-            self.handle.registerTimer(now + self.wait_ms)
+            waiting[item] = (mode, expr, tries, max(start, int(time.time() * 1000)) + self.wait_ms)
             return
-        self.open.clear()
-        self.settled.update((outcome,))
-        yield Row(id=key[0], mode=mode, tries=tries, outcome=outcome)
+        settled[item] = start + self.keep_ms
+        yield Row(id=item, mode=mode, tries=tries, outcome=outcome)
 
     def close(self) -> None:
         pass
@@ -80,19 +111,28 @@ def retrying(queue: DataFrame, act: Act, modes: tuple[str, ...], wait_ms: int =
     queue.sparkSession.conf.set(*STORE)
     slim = queue.selectExpr("cast(id AS long) AS id", "cast(mode AS string) AS mode", "cast(expr AS string) AS expr")
     consumer = _Consumer(act, frozenset(modes), wait_ms, most, keep_ms)
-    return slim.groupBy("id").transformWithState(consumer, OUTCOMES, "Append", "ProcessingTime")
+    dealt = slim.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int"))
+    return dealt.groupBy("bucket").transformWithState(consumer, OUTCOMES, "Append", "ProcessingTime")
 
 
 def run_until(outcomes: DataFrame, out: str, checkpoint: str, settled: int, every: str = "200 milliseconds", limit_s: float = 300) -> None:
-    """Writes outcomes to ``out`` until there are ``settled`` of them, or fails after ``limit_s``."""
+    """Writes outcomes to ``out`` until there are ``settled`` of them. Fails if for ``limit_s``
+    no new items came and none was settled; a batch of items may take as long as it needs."""
     query = start(outcomes, out, checkpoint, every)
-    until = time.monotonic() + limit_s
+    since, seen, ended = time.monotonic(), _count(outcomes, out), None
     try:
-        while _count(outcomes, out) < settled:
+        while seen < settled:
             if query.exception() is not None:
                 raise query.exception()
-            if time.monotonic() > until:
-                raise TimeoutError(f"fewer than {settled} items settled in {limit_s} s")
+            last = query.lastProgress
+            if last["numInputRows"] if last is not None else query.status["isTriggerActive"]:
+                since = time.monotonic()
+            if last is not None and last["batchId"] != ended:  # outcomes come when a batch ends
+                ended, done = last["batchId"], _count(outcomes, out)
+                if done > seen:
+                    since, seen = time.monotonic(), done
+            if time.monotonic() - since > limit_s:
+                raise TimeoutError(f"{settled - seen} of {settled} items are open, and none was settled in {limit_s} s")
             time.sleep(0.2)
     finally:
         query.stop()

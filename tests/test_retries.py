@@ -81,3 +81,26 @@ def test_a_queue_that_does_not_settle_is_an_error(spark, store, tmp_path):
     stream = R.retrying(spark.readStream.schema(ITEMS).parquet(inbox), logged(str(calls)), ("P",), wait_ms=60_000)
     with pytest.raises(TimeoutError):
         R.run_until(stream, str(tmp_path / "out"), str(tmp_path / "state"), 1, limit_s=4)
+
+
+def test_a_bucket_keeps_its_items_apart(spark, store, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "BUCKETS", 2)
+    inbox, calls = str(tmp_path / "in"), tmp_path / "calls"
+    os.makedirs(calls)
+    expr = ("f0", "f1", "f2", "x")
+    deliver(spark, inbox, "a", [(i, "P", expr[i % 4]) for i in (*range(40), *range(40))])
+    out = str(tmp_path / "out")
+    R.run_until(R.retrying(spark.readStream.schema(ITEMS).parquet(inbox), logged(str(calls)), ("P",), wait_ms=500, most=3), out, str(tmp_path / "state"), 40)
+    got = sorted((r.id, r.tries, r.outcome) for r in spark.read.parquet(out).collect())
+    assert got == [(i, min(i % 4 + 1, 3), "dead" if i % 4 == 3 else "done") for i in range(40)]
+    assert {open(calls / f).read() for f in os.listdir(calls)} == {"P\n"}
+
+
+def test_the_limit_is_one_of_standstill(spark, store, tmp_path):
+    """Items that settle one after another take longer than the limit in all."""
+    inbox = str(tmp_path / "in")
+    deliver(spark, inbox, "a", [(i, "P", str(i)) for i in range(6)])
+    stream = R.retrying(spark.readStream.schema(ITEMS).parquet(inbox), lambda key, mode, expr, tries: tries > key, ("P",), wait_ms=2500, most=9)
+    began = time.monotonic()
+    R.run_until(stream, str(tmp_path / "out"), str(tmp_path / "state"), 6, limit_s=9)
+    assert time.monotonic() - began > 9
