@@ -84,12 +84,13 @@ def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'<a\s+href="([^"]*)"'), 1)
 
 
-def to_fetch(sitemap: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Pages never scanned, and those modified since their last scan. sitemap has url and
-    lastmod, scanned has url and lastscanned."""
-    known = scanned.select(F.col("url").alias("__url"), "lastscanned")
+def to_fetch(sitemap: DataFrame, scanned: DataFrame, key: str = "url") -> DataFrame:
+    """Pages never scanned, and those modified since their last scan, each once. sitemap has the
+    key and lastmod, scanned has the key and lastscanned, of which the newest counts. Where
+    several pages share a url, another ``key`` tells them apart."""
+    known = scanned.groupBy(F.col(key).alias("__key")).agg(F.max("lastscanned").alias("lastscanned"))
     fresh = F.col("lastscanned").isNull() | (F.col("lastmod") >= F.col("lastscanned"))
-    return sitemap.join(known, F.col("url") == F.col("__url"), "left").where(fresh).drop("__url")
+    return sitemap.join(known, F.col(key) == F.col("__key"), "left").where(fresh).drop("__key")
 
 
 def blocked(url: Column, prefixes: list[str], patterns: list[str]) -> Column:

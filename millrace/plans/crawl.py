@@ -45,8 +45,8 @@ def crawl_incremental(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages")
     start = F.lit("2024-01-01").cast("timestamp_ntz")
     sitemap = p.select("page_id", "url", (start + F.make_dt_interval(days=(F.col("page_id") % 30).cast("int"))).alias("lastmod"))
-    scanned = p.where("page_id % 7 <> 0").select("url", F.lit("2024-01-15").cast("timestamp_ntz").alias("lastscanned"))
-    return C.to_fetch(sitemap, scanned).select("page_id", "lastmod")
+    scanned = p.where("page_id % 7 <> 0").select("page_id", F.lit("2024-01-15").cast("timestamp_ntz").alias("lastscanned"))
+    return C.to_fetch(sitemap, scanned, key="page_id").select("page_id", "lastmod")
 
 
 @query(

@@ -314,3 +314,36 @@ def test_slugs_markdown_and_samples(spark, sf_dir):
     whole = {(r.s_suppkey, r.s_nationkey) for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").collect()}
     assert len(sample) == len(set(sample)) == min(5, len(whole)) and {tuple(r) for r in sample} <= whole
     assert [(r.s_nationkey, r.s_suppkey) for r in sample] == sorted((r.s_nationkey, r.s_suppkey) for r in sample)
+
+
+def test_pages_that_share_a_url_are_fetched_for_themselves(spark):
+    sitemap = spark.createDataFrame([(1, "/a", 5), (2, "/a", 1), (3, "/a", 9)], "page_id long, url string, lastmod int")
+    scanned = spark.createDataFrame([(1, "/a", 4), (1, "/a", 6), (3, "/a", 7), (3, "/a", 8)], "page_id long, url string, lastscanned int")
+    assert sorted(r.page_id for r in crawl.to_fetch(sitemap, scanned, key="page_id").collect()) == [2, 3]
+    assert sorted(r.page_id for r in crawl.to_fetch(sitemap, scanned.where("page_id = 3")).collect()) == [3]
+
+
+@pytest.fixture
+def shared_urls(spark, tmp_path):
+    """Pages of which many share a url."""
+    p = spark.range(40).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.example/"), F.col("id") % 4).alias("url"))
+    p.write.parquet(str(tmp_path / "pages.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["crawl_incremental", "delete_branch"])
+def test_shared_urls_give_the_rows_of_the_sql(spark, shared_urls, name):
+    assert_sql(spark, shared_urls, "pages", name)
+
+
+def assert_sql(spark, folder, table, name):
+    import duckdb
+
+    from millrace import registry
+
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+        ran = con.execute(registry.oracle_sql()[name])
+        columns = [d[0] for d in ran.description]
+        want = sorted(map(repr, ran.fetchall()))
+    assert sorted(repr(tuple(r)) for r in registry.queries()[name](spark, folder).select(*columns).collect()) == want
