@@ -128,11 +128,12 @@ def frontier(links: DataFrame, start: list[str], blocked_by: Column | None = Non
     return seen.select("url", "depth")
 
 
-def scan_results(pages: DataFrame, fetched: DataFrame) -> DataFrame:
+def scan_results(pages: DataFrame, fetched: DataFrame, key: str = "url") -> DataFrame:
     """The page table after a crawl: fetched rows (url, code, title) replace or add to pages
-    (url, title); a code other than 200 removes the page."""
-    f = fetched.select(F.col("url").alias("__url"), "code", F.col("title").alias("__title"))
-    both = pages.join(f, F.col("url") == F.col("__url"), "full")
+    (url, title); a code other than 200 removes the page. Where several pages share a url,
+    both tables need another ``key`` that tells them apart; it must not repeat in either."""
+    f = fetched.select(F.col(key).alias("__key"), F.col("url").alias("__url"), "code", F.col("title").alias("__title"))
+    both = pages.join(f, F.col(key) == F.col("__key"), "full")
     keep = F.col("code").isNull() | (F.col("code") == 200)
     return both.where(keep).select(F.coalesce("__url", "url").alias("url"), F.coalesce("__title", "title").alias("title"))
 

@@ -74,8 +74,8 @@ def path_prefixes(spark: SparkSession, sf: str) -> DataFrame:
 def delete_branch(spark: SparkSession, sf: str) -> DataFrame:
     """A crawl that finds some pages gone and some changed."""
     p = table(spark, sf, "pages")
-    fetched = p.where("page_id % 5 < 2").select("url", F.when(F.col("page_id") % 5 == 0, 404).otherwise(200).alias("code"), F.lit("new").alias("title"))
-    return C.scan_results(p.select("url", F.lit("old").alias("title")), fetched)
+    fetched = p.where("page_id % 5 < 2").select("page_id", "url", F.when(F.col("page_id") % 5 == 0, 404).otherwise(200).alias("code"), F.lit("new").alias("title"))
+    return C.scan_results(p.select("page_id", "url", F.lit("old").alias("title")), fetched, key="page_id")
 
 
 @query("worker_errors", "SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'ZeroDivisionError: division by zero' END AS error FROM pages")
