@@ -17,9 +17,10 @@ WEIGHTS = {
 METRICS = ("AV", "AC", "PR", "UI", "S", "C", "I", "A")
 
 
-def cve_number(cve: Column) -> Column:
-    """100000 * year + number; longer numbers run over into the year. Null if malformed."""
-    part = lambda n: F.regexp_extract(cve, r"^(\d{4})-(\d{4,7})$", n)
+def cve_number(cve: Column, digits: int = 7) -> Column:
+    """100000 * year + number; longer numbers run over into the year. Null if malformed or of
+    more than ``digits`` digits behind the year; 18 still fit."""
+    part = lambda n: F.regexp_extract(cve, rf"^(\d{{4}})-(\d{{4,{digits}}})$", n)
     return F.when(part(1) != "", part(1).try_cast("bigint") * 100000 + part(2).try_cast("bigint"))
 
 

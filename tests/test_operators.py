@@ -347,3 +347,11 @@ def assert_sql(spark, folder, table, name):
         columns = [d[0] for d in ran.description]
         want = sorted(map(repr, ran.fetchall()))
     assert sorted(repr(tuple(r)) for r in registry.queries()[name](spark, folder).select(*columns).collect()) == want
+
+
+def test_long_vulnerability_numbers(spark, tmp_path):
+    cves = spark.createDataFrame([("2024-12345678",), ("2024-123456789012345678",), ("2024-1234567890123456789",)], "c string")
+    assert [r[0] for r in cves.select(security.cve_number(F.col("c"), digits=18)).collect()] == [202400000 + 12345678, 202400000 + 123456789012345678, None]
+    assert [r[0] for r in cves.select(security.cve_number(F.col("c"))).collect()] == [None] * 3
+    spark.createDataFrame([(14_285, 2), (14_286, 4), (20_000_000, 50), (20_000_001, 11), (20_000_002, 3)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    assert_sql(spark, str(tmp_path), "part", "cve_number")
