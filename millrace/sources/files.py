@@ -8,16 +8,18 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
-def feed_items(spark: SparkSession, path: str, feed: str) -> DataFrame:
-    """(feed, title, url, posttime) of an RSS file; titles are cut to 100 characters."""
-    raw = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, pubDate string").load(path)
+def feed_items(spark: SparkSession, path: str, feed: str, guids: bool = False) -> DataFrame:
+    """(feed, title, url, posttime) of an RSS file, with ``guids`` also the items' own ids
+    (guid); titles are cut to 100 characters."""
+    raw = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, guid string, pubDate string").load(path)
     time = F.try_to_timestamp(F.regexp_extract("pubDate", r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("d MMM yyyy HH:mm:ss"))
-    return raw.select(F.lit(feed).alias("feed"), F.left("title", F.lit(100)).alias("title"), F.trim("link").alias("url"), time.alias("posttime"))
+    return raw.select(F.lit(feed).alias("feed"), F.left("title", F.lit(100)).alias("title"), F.trim("link").alias("url"), time.alias("posttime"), *[F.trim("guid").alias("guid")][: int(guids)])
 
 
-def new_items(items: DataFrame, known: DataFrame) -> DataFrame:
-    """Items whose (feed, url) is not known yet, each once."""
-    return items.dropDuplicates(["feed", "url"]).join(known.select("feed", "url"), ["feed", "url"], "left_anti")
+def new_items(items: DataFrame, known: DataFrame, key: str = "url") -> DataFrame:
+    """Items whose (feed, url) is not known yet, each once. Where several items of a feed share
+    a url, ``key`` names the column that tells them apart."""
+    return items.dropDuplicates(["feed", key]).join(known.select("feed", key), ["feed", key], "left_anti")
 
 
 def sitemap_entries(spark: SparkSession, path: str, internal: bool = False) -> DataFrame:

@@ -331,7 +331,7 @@ def shared_urls(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["crawl_incremental", "delete_branch"])
+@pytest.mark.parametrize("name", ["crawl_incremental", "delete_branch", "feed_files_new"])
 def test_shared_urls_give_the_rows_of_the_sql(spark, shared_urls, name):
     assert_sql(spark, shared_urls, "pages", name)
 
