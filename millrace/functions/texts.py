@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import hashlib
 import hmac
+import html as markup
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -161,6 +162,12 @@ def user_name_candidates(first: Column, last: Column, numbered: int = 100) -> Co
 
 # -- in Arrow batches, where SQL has no such function
 
+@F.pandas_udf(T.StringType())
+def without_references(texts: pd.Series) -> pd.Series:
+    """Character references decoded once, by name or number, also those without a semicolon."""
+    return texts.map(lambda t: None if t is None else markup.unescape(t))
+
+
 @F.pandas_udf(T.StringType())
 def slugify(texts: pd.Series) -> pd.Series:
     """ASCII letters and digits joined by hyphens; accents are dropped."""

@@ -88,5 +88,5 @@ def title_by_pattern_and_parser(spark: SparkSession, sf: str) -> DataFrame:
     from millrace.operators.crawl import parsed_page
 
     p = table(spark, sf, "pages").select("page_id", texts.page_title(F.col("html")).alias("t"), parsed_page("html")["title"].alias("u"))
-    plain = lambda c: F.replace(F.replace(F.regexp_replace(c, r"\s+", ""), F.lit("&amp;"), F.lit("&")), F.lit("&lt;"), F.lit("<"))
-    return p.select("page_id", (plain(F.col("t")) == plain(F.col("u"))).alias("same"))
+    plain = lambda c: F.regexp_replace(c, r"\s+", "")
+    return p.select("page_id", (plain(texts.without_references(F.col("t"))) == plain(F.col("u"))).alias("same"))

@@ -355,3 +355,13 @@ def test_long_vulnerability_numbers(spark, tmp_path):
     assert [r[0] for r in cves.select(security.cve_number(F.col("c"))).collect()] == [None] * 3
     spark.createDataFrame([(14_285, 2), (14_286, 4), (20_000_000, 50), (20_000_001, 11), (20_000_002, 3)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     assert_sql(spark, str(tmp_path), "part", "cve_number")
+
+
+def test_titles_with_references(spark, tmp_path):
+    titles = ["a &amp;&amp;&amp", "k = &quot;73ab", "x &#60;b&#x3E; y", "&amp;lt; twice", " plain \n title ", "caf&eacute; &nbsp; &unknown;"]
+    pages = [(i, f"<html><head><title>{t}</title></head><body><p>text</p></body></html>") for i, t in enumerate(titles)]
+    df = spark.createDataFrame([*pages, (99, "<p>no title")], "page_id long, html string")
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    assert_sql(spark, str(tmp_path), "pages", "title_by_pattern_and_parser")
+    some = spark.createDataFrame([("&amp;lt;&amp",), (None,)], "t string")
+    assert [r[0] for r in some.select(texts.without_references("t")).collect()] == ["&lt;&", None]
