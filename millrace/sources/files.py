@@ -111,8 +111,10 @@ def staged_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def fixtures(spark: SparkSession, path: str) -> DataFrame:
     """(model, pk, field, value) of fixture files: JSON lists of rows with a model, a key and
-    fields. A row without a key has a null one; null fields stay; values are texts."""
-    raw = spark.read.schema("model string, pk string, fields map<string,string>").json(path, multiLine=True)
+    fields. A row without a key has a null one; null fields stay; values are texts. A file is
+    read whole, once, by one task."""
+    rows = F.from_json("value", "array<struct<model: string, pk: string, fields: map<string,string>>>")
+    raw = spark.read.text(path, wholetext=True).select(F.explode_outer(rows).alias("r")).select("r.model", "r.pk", "r.fields")
     return raw.select("model", "pk", F.explode_outer("fields").alias("field", "value"))
 
 

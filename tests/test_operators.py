@@ -365,3 +365,31 @@ def test_titles_with_references(spark, tmp_path):
     assert_sql(spark, str(tmp_path), "pages", "title_by_pattern_and_parser")
     some = spark.createDataFrame([("&amp;lt;&amp",), (None,)], "t string")
     assert [r[0] for r in some.select(texts.without_references("t")).collect()] == ["&lt;&", None]
+
+
+def test_logins_behind_plain_forms_that_are_taken(spark, tmp_path):
+    """dodo is taken as dod, dodo by others' marks; its number 0 is taken too."""
+    names = ["do do", "do do", "do do", "do d", "ddo d", "dd o", "a b", "a b", "c dd", "x y z"]
+    spark.createDataFrame([(i * 3 + 1, n) for i, n in enumerate(names)] + [(i * 2, n) for i, n in enumerate(names, 50)], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    assert_sql(spark, str(tmp_path), "part", "first_free_name")
+
+
+def test_candidates_are_few_where_plain_names_are_free(spark, sf_dir):
+    from millrace import registry
+
+    df = registry.queries()["first_free_name"](spark, sf_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # candidates are made from distinct names, not behind every row
+    assert plan.count("Generate posexplode") >= 2 and "p_partkey" not in "".join(x for x in plan.splitlines() if "Generate" in x)
+
+
+def test_fixture_files_grow_in_number(spark, sf_dir, monkeypatch):
+    from millrace import registry
+    from millrace.plans import trees
+
+    monkeypatch.setattr(trees, "FIXTURES", 20)
+    seen = []
+    kept = trees.sinks.write_each
+    monkeypatch.setattr(trees.sinks, "write_each", lambda rows, at: seen.append(kept(rows, at)))
+    n = registry.queries()["fixture_load"](spark, sf_dir).count()
+    assert n == spark.read.parquet(f"{sf_dir}/customer.parquet").count() and seen[0] >= n // 20
