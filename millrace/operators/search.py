@@ -80,6 +80,20 @@ class Config:
     def words(self, text: Column) -> Column:
         return index_words(text, self.synonyms, unindexed=self.unindexed, stemmed=self.stemmed)
 
+    def plain(self, text: Column) -> Column:
+        """The words of a text before they become terms; each becomes one."""
+        return words(F.regexp_replace(text, self.unindexed, " "))
+
+    def term(self, word: Column) -> Column:
+        """The term that a plain word becomes."""
+        return index_words(word, self.synonyms, unindexed="^$", stemmed=self.stemmed)[0] if self.stemmed or self.synonyms else word
+
+    def term_of(self, word: str) -> str:
+        """``term`` of one word."""
+        if word in self.synonyms:
+            return self.synonyms[word]
+        return word if not self.stemmed or word in STOP_WORDS else stems.stem(word)
+
     def spellings(self, term: str) -> list[str]:
         """Texts that hold the term hold one of these."""
         return [stems.always_in(term) if self.stemmed else term, *sorted(w for w, meant in self.synonyms.items() if meant == term)]
@@ -88,10 +102,11 @@ class Config:
 def cover_ranks(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", config: Config | None = None) -> DataFrame:
     """(key, rank) of the documents that hold every term, in any of its spellings.
 
-    Documents without all terms are left by a containment test before any word is exploded.
-    The outer explode spares a test for empty lists that would split every text twice.
+    Documents without all terms are left by a containment test before any word is exploded,
+    words that can be no term before any is stemmed. The outer explode spares a test for empty
+    lists that would split every text twice.
     """
-    split = config.words if config else words
+    split = config.plain if config else words
     spelled = config.spellings if config else lambda t: [t]
     any_of = lambda t: reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(w)) for w in spelled(t)])
     has = reduce(lambda a, b: a & b, [any_of(t) for t in terms])
@@ -99,9 +114,11 @@ def cover_ranks(docs: DataFrame, terms: list[str], key: str = "doc_id", text: st
         docs.where(has)
         .select(key, F.size(split(title_of(F.col(text)))).alias("title"), split(F.col(text)).alias("words"))
         .select(key, "title", F.posexplode_outer("words").alias("pos", "term"))
-        .where(F.col("term").isin(*terms))
     )
-    return ranked(covers(held, terms, key), key)
+    if config:
+        able = reduce(lambda a, b: a | b, [F.contains("term", F.lit(w)) for t in terms for w in spelled(t)])
+        held = held.where(able).withColumn("term", config.term(F.col("term")))
+    return ranked(covers(held.where(F.col("term").isin(*terms)), terms, key), key)
 
 
 def covers(held: DataFrame, terms: list[str], key: str) -> DataFrame:
