@@ -8,9 +8,12 @@ that hides what older ones say of them, until ``merged`` writes one generation a
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,41 @@ SEND_ROWS = 100_000
 WRITERS = 4
 
 
+#: Documents whose words a task groups at once.
+AT_ONCE = 500
+_POSTING = "doc_id long, title int, term string, tf int, title_tf int, at array<int>"
+
+
+def _postings(term_of: Callable[[str], str] | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of documents (doc_id, title, words), one for each term of each. A word becomes a
+    term once in so many documents, however often it occurs."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(at, AT_ONCE)
+            lists = part.column("words")
+            lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            terms = coded.dictionary if term_of is None else pa.array([term_of(w) for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
+            codes = coded.indices.to_numpy().astype(np.int64)
+            if term_of is not None:
+                codes, terms = terms.indices.to_numpy().astype(np.int64)[codes], terms.dictionary
+            doc = np.repeat(np.arange(len(lengths)), lengths)
+            pos = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            key = doc * len(terms) + codes
+            order = np.argsort(key, kind="stable")
+            key, pos = key[order], pos[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            tf = np.diff(np.append(first, len(key)))
+            title = part.column("title").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32)
+            own = key[first] // len(terms)
+            in_title = np.add.reduceat(pos < title[doc[order]], first, dtype=np.int32)
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(pos.astype(np.int32)))
+            columns = [part.column("doc_id").take(pa.array(own)), pa.array(title[own]), terms.take(pa.array(key[first] % len(terms))).cast(pa.string()), pa.array(tf.astype(np.int32)), pa.array(in_title), places]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "title", "term", "tf", "title_tf", "at"])
+
+
 def bucket_of(term: str, buckets: int) -> int:
     return zlib.crc32(term.encode()) % buckets
 
@@ -39,25 +77,18 @@ class TermIndex:
     # -- writing
 
     def _words(self, text):
-        return self.config.words(text) if self.config else S.words(text)
+        return self.config.plain(text) if self.config else S.words(text)
 
     def add(self, docs: DataFrame, generation: int) -> None:
         """Indexes ``docs`` (doc_id, text) as a generation, the first being 0. Later ones hold
         the documents that changed since, with a null text for those that went."""
         text = F.col("text")
-        split = docs.select("doc_id", F.size(self._words(S.title_of(text))).alias("title"), self._words(text).alias("words"))
-        each = split.select("doc_id", "title", F.posexplode("words").alias("pos", "term"))
-        each = each.withColumn("bucket", F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(self.buckets)).cast("int"))
-        each = each.withColumn("writer", F.pmod(F.xxhash64("doc_id"), F.lit(WRITERS)).cast("int"))
-        # one shuffle: what lies together for the folders also lies together for the postings
-        dealt = each.repartition("bucket", "writer")
-        posting = dealt.groupBy("bucket", "writer", "term", "doc_id").agg(
-            F.first("title").alias("title"),
-            F.count("*").cast("int").alias("tf"),
-            F.count(F.when(F.col("pos") < F.col("title"), 1)).cast("int").alias("title_tf"),
-            F.array_sort(F.collect_list("pos")).alias("at"),
-        )
-        ordered = posting.drop("writer").sortWithinPartitions("bucket", "term", "doc_id")
+        split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(self._words(S.title_of(text))).alias("title"), self._words(text).alias("words"))
+        term_of = self.config.term_of if self.config else None
+        posting = split.mapInArrow(lambda batches: _postings(term_of, batches), _POSTING)
+        posting = posting.withColumn("bucket", F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(self.buckets)).cast("int"))
+        dealt = posting.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(WRITERS)))
+        ordered = dealt.sortWithinPartitions("bucket", "term", "doc_id")
         ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/generation={generation}")
         counted = self._read("postings", generation).groupBy("bucket", "term").agg(F.count("*").alias("df"))
         counted.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms/generation={generation}")
