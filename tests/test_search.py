@@ -163,3 +163,13 @@ def test_fragments_equal_brute_force(spark, terms, around, most):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.snippet for r in S.snippets(df.select("doc_id"), df, terms, around=around, most=most).collect()}
     assert got == {i: fragments(t or "", terms, around, most) for i, t in enumerate(texts)}
+
+
+def test_words_become_terms_alike_in_texts_and_one_by_one(spark):
+    from millrace.plans.search import CONFIG, STEMMED
+
+    text = "The running runners ran, thes der das Ering re@x.org 1.5 http://a.b/c caresses ponies was flies été"
+    df = spark.createDataFrame([(text,)], "text string")
+    for config in (CONFIG, STEMMED):
+        plain, whole = df.select(config.plain(F.col("text")), config.words(F.col("text"))).first()
+        assert [config.term_of(w) for w in plain] == whole
