@@ -23,11 +23,11 @@ class Gru:
     """Parameters. Word ids are sorted by class: class k holds ids edges[k] to edges[k+1]."""
 
     gates: np.ndarray  # (words, 3h): input part of update, reset and candidate
-    inner: np.ndarray  # (h, 3h)
+    inner: np.ndarray  # (3h, h): recurrent part of the same
     first: np.ndarray  # (h,): state before a document
-    to_class: np.ndarray  # (h, classes)
+    to_class: np.ndarray  # (classes, h)
     class_bias: np.ndarray
-    to_word: np.ndarray  # (h, words)
+    to_word: np.ndarray  # (words, h)
     word_bias: np.ndarray
     edges: np.ndarray
 
@@ -39,9 +39,9 @@ class Gru:
         mass = np.add.reduceat(counts + 1.0, edges[:-1])
         share = np.repeat(mass, np.diff(edges))
         return cls(
-            small(len(counts), 3 * hidden), small(hidden, 3 * hidden), np.zeros(hidden, F32),
-            np.zeros((hidden, len(mass)), F32), np.log(mass / mass.sum()).astype(F32),
-            np.zeros((hidden, len(counts)), F32), np.log((counts + 1.0) / share).astype(F32), edges,
+            small(len(counts), 3 * hidden), np.ascontiguousarray(small(hidden, 3 * hidden).T), np.zeros(hidden, F32),
+            np.zeros((len(mass), hidden), F32), np.log(mass / mass.sum()).astype(F32),
+            np.zeros((len(counts), hidden), F32), np.log((counts + 1.0) / share).astype(F32), edges,
         )
 
     def trained(self) -> list[str]:
@@ -59,18 +59,39 @@ class Gru:
         return Gru(**own)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return F32(0.5) * np.tanh(F32(0.5) * x) + F32(0.5)
+#: Factors of the update, reset and candidate part by which _sigmoid gives the gates, and the candidate as 2 s - 1.
+SIGNS = (-1, -1, -2)
 
 
-def _step(m: Gru, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The next state and what backpropagation needs of the step: both gates side by side,
-    the candidate and its recurrent part. x is the input's part of all three."""
-    n = h.shape[1]
-    u = h @ m.inner
-    zr = _sigmoid(x[:, : 2 * n] + u[:, : 2 * n])
-    c = np.tanh(x[:, 2 * n :] + zr[:, n:] * u[:, 2 * n :])
-    return c + zr[:, :n] * (h - c), zr, c, u[:, 2 * n :]
+def _signs(n: int) -> np.ndarray:
+    return np.repeat(np.array(SIGNS, F32), n)
+
+
+def _sigmoid(x: np.ndarray, out: np.ndarray) -> None:
+    """Of -x, which is lost. By exp, as tanh takes twice the time; where it overflows, 0 is right."""
+    np.exp(x, x)
+    np.add(x, F32(1), x)
+    np.reciprocal(x, out)
+
+
+def _step(inner: np.ndarray, h: np.ndarray, x: np.ndarray, zr: np.ndarray, c: np.ndarray, less: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The next states, and the candidate's recurrent part. A column is a document's, so that
+    all of a gate lies together. inner and x, the input's part of all three, are times _signs.
+    Both gates go to zr, the candidate to c, the old states less it to less."""
+    n = len(h)
+    y = np.dot(inner, h)
+    g, u = y[: 2 * n], y[2 * n :]
+    g += x[:, : 2 * n].T
+    _sigmoid(g.reshape(zr.shape), zr)
+    np.multiply(zr[1], u, c)
+    c += x[:, 2 * n :].T
+    _sigmoid(c, c)
+    np.add(c, c, c)
+    np.subtract(c, F32(1), c)
+    np.subtract(h, c, less)
+    new = less * zr[0]
+    new += c
+    return new, u
 
 
 def _window_words(words: np.ndarray, starts: np.ndarray, length: np.ndarray, t0: int, t1: int) -> tuple[np.ndarray, list[int]]:
@@ -79,48 +100,62 @@ def _window_words(words: np.ndarray, starts: np.ndarray, length: np.ndarray, t0:
     return np.concatenate([words[starts[:n] + t] for n, t in zip(live, range(t0, t1), strict=True)]), live
 
 
-#: exp of numbers within this and sums of thousands of them stay finite and normal.
-SAFE = 70.0
+#: exp of numbers within this, products of two and sums of thousands of them stay finite and normal.
+SAFE = 38.0
 
 
 def _safe(*layers: tuple[np.ndarray, np.ndarray]) -> bool:
     """Whether no score can leave SAFE: states lie between -1 and 1, so a score is at most the
     sum of its absolute weights."""
-    return all(float((np.abs(w).sum(axis=0) + np.abs(b)).max()) < SAFE for w, b in layers)
+    return all(float((np.abs(w) @ np.ones(w.shape[1], w.dtype) + np.abs(b)).max()) < SAFE for w, b in layers)
 
 
-def _exp_scores(x: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """exp of each row, less its largest value unless that is needless, in place; and the row sums."""
-    if not safe:
+def _exp_scores(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(e, f, totals): a row's probabilities are e * f / total. f is exp of the biases, which
+    saves adding them to each row; or 1, where scores must first be less their largest."""
+    x = states @ weights.T
+    if safe:
+        f = np.exp(bias)
+    else:
+        x += bias
         x -= x.max(axis=1, keepdims=True)
+        f = np.ones_like(bias)
     np.exp(x, out=x)
-    return x, x @ np.ones(x.shape[1], x.dtype)
+    return x, f, x @ f
 
 
 def _by_class(m: Gru, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
     """(order that sorts words by class, class of each word so sorted, (class, from, to))."""
-    own = np.searchsorted(m.edges, words, side="right") - 1
+    # numpy sorts short integers by their digits
+    own = np.repeat(np.arange(len(m.edges) - 1, dtype=np.uint16), np.diff(m.edges)).take(words)
     order = np.argsort(own, kind="stable")
-    own = own[order]
-    cuts = np.searchsorted(own, np.arange(len(m.edges))).tolist()
+    own = own.take(order)
+    cuts = np.searchsorted(own, np.arange(len(m.edges), dtype=np.uint16)).tolist()
     return order, own, [(k, cuts[k], cuts[k + 1]) for k in range(len(m.edges) - 1) if cuts[k] < cuts[k + 1]]
 
 
-def log_probs(m: Gru, states: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """ln p(word | state): that of its class times that within the class."""
-    order, own, runs = _by_class(m, words)
-    states, words = states[order], words[order]
-    safe = _safe((m.to_class, m.class_bias), (m.to_word, m.word_bias))
-    p = np.empty(len(own))
+def _parts(m: Gru, own: np.ndarray, words: np.ndarray, runs: list[tuple[int, int, int]]) -> Iterator[tuple[str, slice, slice, np.ndarray]]:
+    """(layer, rows, outputs, target of each row among these): what a softmax each is over, of
+    words that are sorted by class. The classes come in blocks, then each class with its words."""
     for a in range(0, len(own), BLOCK):
-        b = min(a + BLOCK, len(own))
-        e, total = _exp_scores(states[a:b] @ m.to_class + m.class_bias, safe)
-        p[a:b] = np.log(e[np.arange(b - a), own[a:b]] / total)
+        yield "class", slice(a, a + BLOCK), slice(None), own[a : a + BLOCK]
     for k, a, b in runs:
-        lo, hi = m.edges[k], m.edges[k + 1]
+        lo, hi = int(m.edges[k]), int(m.edges[k + 1])
         if hi - lo > 1:
-            e, total = _exp_scores(states[a:b] @ m.to_word[:, lo:hi] + m.word_bias[lo:hi], safe)
-            p[a:b] += np.log(e[np.arange(b - a), words[a:b] - lo] / total)
+            yield "word", slice(a, b), slice(lo, hi), words[a:b] - lo
+
+
+def log_probs(m: Gru, states: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """ln p(word | state): that of its class times that within the class."""
+    order, own, runs = _by_class(m, words)
+    states, words = states.take(order, axis=0), words.take(order)
+    layers = {"class": (m.to_class, m.class_bias), "word": (m.to_word, m.word_bias)}
+    safe, rows = _safe(*layers.values()), np.arange(len(own))
+    p = np.zeros(len(own))
+    for layer, now, outputs, target in _parts(m, own, words, runs):
+        weights, bias = (w[outputs] for w in layers[layer])
+        e, f, total = _exp_scores(states[now], weights, bias, safe)
+        p[now] += np.log(e.ravel().take(rows[: len(e)] * e.shape[1] + target) * f.take(target) / total)
     out = np.empty(len(order))
     out[order] = p
     return out
@@ -147,18 +182,25 @@ def _windows(length: np.ndarray, longest: int, tokens: int = WINDOW_TOKENS) -> I
 
 def score(m: Gru, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """ln p of each row's whole word sequence, the state running through all of it."""
-    total = np.zeros(len(offsets) - 1)
+    total, n = np.zeros(len(offsets) - 1), len(m.first)
+    signs = _signs(n)
+    inner, gates = m.inner * signs[:, None], m.gates * signs
     for rows, starts, length in _lanes(words, offsets, LANES):
-        h = np.repeat(m.first[None, :], len(rows), axis=0)
+        h = np.repeat(m.first[:, None], len(rows), axis=1)
         for t0, t1 in _windows(length, WINDOW_TOKENS):
             seen, live = _window_words(words, starts, length, t0, t1)
-            x, states, at = m.gates[seen], [], 0
-            for n in live:
-                states.append(h[:n])
-                h = _step(m, h[:n], x[at : at + n])[0]
-                at += n
+            x, states, at = gates.take(seen, axis=0), np.empty((len(seen), n), h.dtype), 0
+            for own in live:
+                if at == 0 or own < h.shape[1]:
+                    h = h[:, :own]
+                    zr, c, less = np.empty((2, n, own), h.dtype), np.empty((n, own), h.dtype), np.empty((n, own), h.dtype)
+                now = slice(at, at + own)
+                states[now] = h.T
+                with np.errstate(over="ignore"):
+                    h, _ = _step(inner, h, x[now], zr, c, less)
+                at += own
             lane = np.concatenate([np.arange(n) for n in live])
-            total[rows] += np.bincount(lane, weights=log_probs(m, np.concatenate(states), seen), minlength=len(rows))
+            total[rows] += np.bincount(lane, weights=log_probs(m, states, seen), minlength=len(rows))
     return total
 
 
@@ -182,76 +224,89 @@ class Trainer:
 
 
 def _window(m: Gru, squares: dict, h: np.ndarray, words: np.ndarray, starts: np.ndarray, length: np.ndarray, t0: int, t1: int, rate: float) -> np.ndarray:
-    n = h.shape[1]
+    n, kind = h.shape[1], h.dtype
     seen, live = _window_words(words, starts, length, t0, t1)
-    x, tape, at = m.gates[seen], [], 0
-    for own in live:
-        h = h[:own]
-        new, *kept = _step(m, h, x[at : at + own])
-        tape.append((h, *kept))
-        h, at = new, at + own
-    before, zr, c, u = (np.concatenate(p) for p in zip(*tape, strict=True))
+    size, at, signs = len(seen), 0, _signs(n)
+    inner, x = m.inner * signs[:, None], m.gates.take(seen, axis=0)
+    x *= signs
+    # what backpropagation needs, step after step: gates; old states less the candidates, and
+    # these; reset gates and the candidates' recurrent part
+    zr, lc, ru = (np.empty((2, n * size), kind) for _ in range(3))
+    h, states = np.ascontiguousarray(h.T), np.empty((size, n), kind)
+    with np.errstate(over="ignore"):
+        for own in live:
+            now, flat = slice(at, at + own), slice(n * at, n * (at + own))
+            h = h[:, :own]
+            states[now] = h.T
+            less, c = lc[:, flat].reshape(2, n, own)
+            h, u = _step(inner, h, x[now], zr[:, flat].reshape(2, n, own), c, less)
+            ru[1, flat] = u.ravel()
+            at += own
     order, own, runs = _by_class(m, seen)
-    states, target = before[order], seen[order]
-    scale = F32(1 / len(seen))
-
-    grad = {name: np.zeros(getattr(m, name).shape, F32) for name in m.trained() if name != "gates"}
-    d_sorted, safe = np.empty_like(states), _safe((m.to_class, m.class_bias), (m.to_word, m.word_bias))
-    for a in range(0, len(own), BLOCK):
-        b = min(a + BLOCK, len(own))
-        e, total = _exp_scores(states[a:b] @ m.to_class + m.class_bias, safe)
-        e *= (scale / total)[:, None]
-        e[np.arange(b - a), own[a:b]] -= scale
-        grad["to_class"] += states[a:b].T @ e
-        grad["class_bias"] += e.sum(axis=0)
-        d_sorted[a:b] = e @ m.to_class.T
-    for k, a, b in runs:
-        lo, hi = m.edges[k], m.edges[k + 1]
-        if hi - lo > 1:
-            e, total = _exp_scores(states[a:b] @ m.to_word[:, lo:hi] + m.word_bias[lo:hi], safe)
-            e *= (scale / total)[:, None]
-            e[np.arange(b - a), target[a:b] - lo] -= scale
-            d_sorted[a:b] += e @ m.to_word[:, lo:hi].T
-            grad["to_word"][:, lo:hi] = states[a:b].T @ e
-            grad["word_bias"][lo:hi] = e.sum(axis=0)
+    before, target = states.take(order, axis=0), seen.take(order)
+    scale = F32(1 / size)
+
+    grad = {name: np.zeros(getattr(m, name).shape, kind) for name in m.trained() if name not in ("gates", "inner")}
+    layers = {"class": (m.to_class, m.class_bias), "word": (m.to_word, m.word_bias)}
+    d_sorted, safe, rows = np.zeros_like(before), _safe(*layers.values()), np.arange(size)
+    for layer, now, outputs, hit in _parts(m, own, target, runs):
+        weights, bias = (w[outputs] for w in layers[layer])
+        e, f, total = _exp_scores(before[now], weights, bias, safe)
+        # what is the same for a row or for an output is multiplied in where there is less of it
+        flat, at = e.ravel(), rows[: len(e)] * e.shape[1] + hit
+        flat[at] -= total / f.take(hit)
+        share = scale / total
+        grad[f"to_{layer}"][outputs] += (e.T @ (before[now] * share[:, None])) * f[:, None]
+        grad[f"{layer}_bias"][outputs] += (share @ e) * f
+        d_sorted[now] += (e @ (weights * f[:, None])) * share[:, None]
     d_states = np.empty_like(d_sorted)
     d_states[order] = d_sorted
 
-    # what does not depend on later steps is worked out for the whole window
-    z, r = zr[:, :n], zr[:, n:]
-    by_c, by_z, by_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), u * r * (1 - r)
-    d_x, d_u = np.empty((len(seen), 3 * n), F32), np.empty((len(seen), 3 * n), F32)
-    at, back, inner = len(seen), np.zeros((0, n), F32), np.ascontiguousarray(m.inner.T)
+    # what does not depend on later steps is worked out for the whole window: slopes of update
+    # gate and candidate by the new state, of the recurrent part and reset gate by the candidate
+    z, r = zr
+    keep = 1 - z
+    lc[0] *= z
+    lc[1] *= -lc[1]
+    lc[1] += 1
+    lc *= keep
+    ru[0] = r
+    ru[1] *= r * (1 - r) / kind.type(SIGNS[2])
+    # of the recurrent part, update, reset and candidate, in rows that caches do not map to one place
+    d = np.empty((4, n, size + 16), kind)[:, :, :size]
+    at, back, rolled = size, np.zeros((n, 0), kind), np.ascontiguousarray(np.roll(m.inner, n, axis=0).T)
     for own in reversed(live):
-        now = slice(at - own, at)
+        now, flat = slice(at - own, at), slice(n * (at - own), n * at)
         at -= own
-        d_new = np.zeros((own, n), F32)
-        d_new[: len(back)] = back
-        d = d_x[now]
-        np.multiply(d_new, by_z[now], out=d[:, :n])
-        np.multiply(d_new, by_c[now], out=d[:, 2 * n :])
-        np.multiply(d[:, 2 * n :], by_r[now], out=d[:, n : 2 * n])
-        e = d_u[now]
-        e[:, : 2 * n] = d[:, : 2 * n]
-        np.multiply(d[:, 2 * n :], r[now], out=e[:, 2 * n :])
-        back = d_new * z[now] + e @ inner + d_states[now]
-    grad["inner"] = before.T @ d_u
+        d_new = back
+        if back.shape[1] < own:
+            d_new = np.zeros((n, own), kind)
+            d_new[:, : back.shape[1]] = back
+        np.multiply(lc[:, flat].reshape(2, n, own), d_new, d[1::2, :, now])
+        np.multiply(ru[:, flat].reshape(2, n, own), d[3, :, now], d[::2, :, now])
+        back = np.dot(rolled, d[:3, :, now].reshape(3 * n, own))
+        d_new *= z[flat].reshape(n, own)
+        back += d_new
+        back += d_states[now].T
+    d = d.reshape(4 * n, size)
+    grad["inner"] = np.roll(d[: 3 * n] @ states, -n, axis=0)
     if t0 == 0:
-        grad["first"] = back.sum(axis=0)
+        grad["first"] = back.sum(axis=1)
     # gradients of equal words are added up
-    order = np.argsort(seen, kind="stable")
-    in_order = seen[order]
-    first = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1]))
-    held = in_order[first]
-    nth = np.empty(len(seen), np.int64)
-    nth[order] = np.repeat(np.arange(len(held)), np.diff(np.append(first, len(seen))))
-    grad["gates"] = np.stack([np.bincount(nth, weights=column, minlength=len(held)) for column in np.ascontiguousarray(d_x.T)], axis=1).astype(F32)
-
-    size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-    shrink = F32(min(1.0, 1.0 / max(size, 1e-12)))
+    held = np.flatnonzero(np.bincount(seen, minlength=len(m.gates)))
+    place = np.zeros(len(m.gates), np.int64)
+    place[held] = np.arange(len(held))
+    nth = place.take(seen)
+    grad["gates"] = np.stack([np.bincount(nth, weights=row, minlength=len(held)) for row in d[n:]], axis=1).astype(kind)
+
+    norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
+    shrink = F32(min(1.0, 1.0 / max(norm, 1e-12)))
     for name, g in grad.items():
         at = held if name == "gates" else slice(None)
         g *= shrink
-        squares[name][at] += g * g
-        getattr(m, name)[at] -= F32(rate) * g / np.sqrt(squares[name][at])
-    return h
+        size = squares[name][at] + g * g
+        squares[name][at] = size
+        g *= F32(rate)
+        g /= np.sqrt(size, size)
+        getattr(m, name)[at] -= g
+    return h.T

@@ -28,7 +28,11 @@ WARM_DOCS, WARM_LANES, WARM_TOKENS, WARM_LONGEST, WARM_RATE = 400, 16, 1024, 64,
 #: Learning rate of each round. A hash of doc_id deals the texts to the rounds, each text to one.
 RATES = (0.1, 0.1, 0.1, 0.05)
 #: Tokens of a round that a replica learns from at least: small partitions are read together.
-REPLICA_TOKENS = 250_000
+#: Where there are more than REPLICAS, it is the larger number.
+REPLICA_TOKENS, LARGE_REPLICA_TOKENS, REPLICAS = 250_000, 2_000_000, 16
+#: Tokens that are learned from or scored together: a step costs much where few long texts
+#: are left, and among more texts there are fewer such steps.
+TOGETHER = 4_000_000
 #: Rows that a partition of a shuffle by word holds, so that partitions grow in number and not in size.
 SHUFFLE_ROWS = 2_000_000
 #: Bytes of texts that are worked on at once; a longer text is a run of its own.
@@ -66,6 +70,24 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(i, j - i)
 
 
+def together(parts: Iterator[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple]]]:
+    """(word ids, row offsets, parts) of about TOGETHER tokens; a part begins with the word
+    ids and the row offsets of a run."""
+
+    def joined() -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+        lengths = np.concatenate([np.diff(p[1]) for p in held])
+        return np.concatenate([p[0] for p in held]), np.concatenate([[0], np.cumsum(lengths)]), held
+
+    held: list[tuple] = []
+    for p in parts:
+        held.append(p)
+        if sum(len(q[0]) for q in held) >= TOGETHER:
+            yield joined()
+            held = []
+    if held:
+        yield joined()
+
+
 def token_counts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, c) of each distinct token; a key is the token's 64-bit hash."""
 
@@ -117,7 +139,7 @@ class Counts:
 
     def ids(self, tokens: np.ndarray) -> np.ndarray:
         place, hot = self.find(tokens)
-        return np.where(hot, self.words[place], 0) if len(self.keys) else np.zeros(len(tokens), np.int64)
+        return np.where(hot, self.words[place], 0) if len(self.keys) else np.zeros(len(tokens), np.int32)
 
 
 def hot_counts(counts: DataFrame, total: int) -> Counts:
@@ -137,7 +159,7 @@ def hot_counts(counts: DataFrame, total: int) -> Counts:
     # ids: 0 stands for all other words, 1 for the end, then words by frequency
     ranked = np.lexsort((keys, -c))
     ranked = ranked[keys[ranked] != END_KEY][: VOCABULARY - 2]
-    words = np.zeros(len(keys), np.int64)
+    words = np.zeros(len(keys), np.int32)
     words[ranked] = np.arange(2, len(ranked) + 2)
     words[keys == END_KEY] = 1
     ends = int(c[keys == END_KEY].sum())
@@ -157,10 +179,9 @@ def learned_round(docs: DataFrame, model: Gru, counts: Counts, rate: float, lane
         from pyspark import TaskContext
 
         own, texts, seen = Trainer(model, rate, *window), 0, 0
-        for b in runs(batches):
-            keys, offsets = tokens(b.column("text"))
-            own.learn(counts.ids(keys), offsets, lanes)
-            texts, seen = texts + len(b), seen + len(keys)
+        for ids, offsets, _ in together((counts.ids(k), o) for k, o in (tokens(b.column("text")) for b in runs(batches))):
+            own.learn(ids, offsets, lanes)
+            texts, seen = texts + len(offsets) - 1, seen + len(ids)
         if seen:
             v = own.model.vector().astype(np.float32)
             parts = [v[a : a + CHUNK] for a in range(0, len(v), CHUNK)]
@@ -198,7 +219,8 @@ def fit(docs: DataFrame, counts: Counts, scratch: Scratch) -> tuple[Gru, int]:
     last = docs.select(place.alias("h")).orderBy("h").limit(WARM_DOCS).agg(F.max("h")).first()[0]
     sample = docs.where(place <= F.lit(last)).orderBy(place, "doc_id").limit(WARM_DOCS).repartition(1)
     model, _, _ = learned_round(sample, model, counts, WARM_RATE, WARM_LANES, scratch, (WARM_TOKENS, WARM_LONGEST))
-    replicas = max(1, int(counts.frequencies.sum()) // (len(RATES) * REPLICA_TOKENS))
+    small, large = (int(counts.frequencies.sum()) // (len(RATES) * n) for n in (REPLICA_TOKENS, LARGE_REPLICA_TOKENS))
+    replicas = max(1, min(small, max(REPLICAS, large)))
     for r, rate in enumerate(RATES):
         part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(len(RATES))) == r)
         model, n, _ = learned_round(part.coalesce(replicas), model, counts, rate, TRAIN_LANES, scratch)
@@ -227,42 +249,46 @@ def score_documents(docs: DataFrame) -> DataFrame:
     others = (n - int(hot.counts[in_model].sum())) + (v - int(in_model.sum())) + 1
     logs = np.log10(hot.counts + 1.0)
 
+    def looked_up(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+        keys, offsets = tokens(b.column("text"))
+        rows = len(offsets) - 1
+        row = np.repeat(np.arange(rows), np.diff(offsets))
+        place, is_hot = hot.find(keys)
+        ids = np.where(is_hot, hot.words[place], 0) if len(hot.keys) else np.zeros(len(keys), np.int32)
+        value = np.where(is_hot, logs[place], 0.0) if len(hot.keys) else np.zeros(len(keys))
+        total = lambda x: np.bincount(row, weights=x, minlength=rows)
+        # each word that is not hot once a text, with how often it is there
+        order = np.lexsort((keys[~is_hot], row[~is_hot]))
+        cold_row, cold_key = row[~is_hot][order], keys[~is_hot][order]
+        first = np.flatnonzero(np.r_[True, (cold_row[1:] != cold_row[:-1]) | (cold_key[1:] != cold_key[:-1])][: len(order)])
+        times = np.diff(np.r_[first, len(order)])
+        cold = np.concatenate([[0], np.cumsum(np.bincount(cold_row[first], minlength=rows))]).astype(np.int32)
+        return ids, offsets, [
+            b.column("doc_id"),
+            pa.array(np.diff(offsets)),
+            pa.array(total(is_hot).astype(np.int64)),
+            pa.array(total(value)),
+            pa.array(total(np.where(ids > 0, value, 0.0))),
+            pa.array(total(ids == 0).astype(np.int64)),
+            pa.ListArray.from_arrays(pa.array(cold), pa.array(cold_key[first].view(np.int64))),
+            pa.ListArray.from_arrays(pa.array(cold), pa.array(times, pa.int64())),
+        ]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         uid = TaskContext.get().partitionId() << 40
-        for b in runs(batches):
-            keys, offsets = tokens(b.column("text"))
-            rows = len(offsets) - 1
-            row = np.repeat(np.arange(rows), np.diff(offsets))
-            place, is_hot = hot.find(keys)
-            ids = np.where(is_hot, hot.words[place], 0) if len(hot.keys) else np.zeros(len(keys), np.int64)
-            value = np.where(is_hot, logs[place], 0.0) if len(hot.keys) else np.zeros(len(keys))
-            total = lambda x, row=row, rows=rows: np.bincount(row, weights=x, minlength=rows)
-            # each word that is not hot once a text, with how often it is there
-            order = np.lexsort((keys[~is_hot], row[~is_hot]))
-            cold_row, cold_key = row[~is_hot][order], keys[~is_hot][order]
-            first = np.flatnonzero(np.r_[True, (cold_row[1:] != cold_row[:-1]) | (cold_key[1:] != cold_key[:-1])][: len(order)])
-            times = np.diff(np.r_[first, len(order)])
-            cold = np.concatenate([[0], np.cumsum(np.bincount(cold_row[first], minlength=rows))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(uid + np.arange(rows)),
-                    b.column("doc_id"),
-                    pa.array(np.diff(offsets)),
-                    pa.array(total(is_hot).astype(np.int64)),
-                    pa.array(total(value)),
-                    pa.array(total(np.where(ids > 0, value, 0.0))),
-                    pa.array(total(ids == 0).astype(np.int64)),
-                    pa.array(score(model, ids, offsets) / np.log(10)),
-                    pa.ListArray.from_arrays(pa.array(cold), pa.array(cold_key[first].view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(cold), pa.array(times, pa.int64())),
-                ],
-                names=["uid", "doc_id", "n_tokens", "n_hot", "logs", "model_logs", "n_other", "p", "cold", "times"],
-            )
-            uid += rows
-
-    schema = "uid long, doc_id long, n_tokens long, n_hot long, logs double, model_logs double, n_other long, p double, cold array<long>, times array<long>"
+        for words, ends, parts in together(looked_up(b) for b in runs(batches)):
+            p, at = score(model, words, ends) / np.log(10), 0
+            for _, offsets, columns in parts:
+                rows = len(offsets) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(uid + np.arange(rows)), *columns, pa.array(p[at : at + rows])],
+                    names=["uid", "doc_id", "n_tokens", "n_hot", "logs", "model_logs", "n_other", "cold", "times", "p"],
+                )
+                uid, at = uid + rows, at + rows
+
+    schema = "uid long, doc_id long, n_tokens long, n_hot long, logs double, model_logs double, n_other long, cold array<long>, times array<long>, p double"
     scored = scratch.save(plain.mapInArrow(run, schema))
     cold = counts.where(F.col("c") < hot.least)
     # the join shuffles both sides itself, so a word that very many texts hold can be split

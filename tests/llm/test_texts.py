@@ -338,3 +338,45 @@ def test_a_word_that_only_held_out_texts_have_many_times(spark, monkeypatch):
         ws = [*t.split(), "\n"]
         assert (got[i].n_tokens, got[i].n_known) == (len(ws), sum(w in counts for w in ws))
         assert got[i].base_score == pytest.approx(sum(math.log10(counts[w] + 1) - z for w in ws), abs=1e-6)
+
+
+def test_runs_are_stepped_through_together(monkeypatch):
+    """A step costs much where few texts are left: three runs with a long text each take the steps of one."""
+    steps = []
+    monkeypatch.setattr(gru, "_step", lambda *a, own=gru._step: steps.append(a[1].shape[1]) or own(*a))
+    m = gru.Gru.start(np.arange(1, 13).astype(float), np.array([0, 1, 2, 6, 12]), 4)
+    rng = np.random.default_rng(3)
+    m = m.with_vector(m.vector() + rng.normal(0, 0.5, len(m.vector())))
+    parts = [(rng.integers(0, 12, 305 + k).astype(np.int32), np.array([0, 5, 305 + k]), k) for k in range(3)]
+    ((words, offsets, held),) = lm_score.together(iter(parts))
+    assert [p[2] for p in held] == [0, 1, 2]
+    joined = gru.score(m, words, offsets)
+    assert (len(steps), sum(steps)) == (302, 3 * 305 + 3)
+    assert joined == pytest.approx(np.concatenate([gru.score(m, w, o) for w, o, _ in parts]), rel=1e-5)
+    steps.clear()
+    gru.Trainer(m, 0.1).learn(words, offsets)
+    assert len(steps) == 302
+    monkeypatch.setattr(lm_score, "TOGETHER", 400)
+    assert [[p[2] for p in held] for _, _, held in lm_score.together(iter(parts))] == [[0, 1], [2]]
+
+
+@pytest.mark.filterwarnings("ignore:divide by zero")
+@pytest.mark.parametrize("large", [1.0, 30.0, 200.0])
+def test_probabilities_of_large_weights(large):
+    """Scores within reach of exp, where biases are multiplied in, and beyond it."""
+    m = gru.Gru.start(np.arange(1, 13).astype(float), np.array([0, 1, 2, 6, 12]), 4)
+    rng = np.random.default_rng(4)
+    m.gates, m.inner = m.gates * np.float32(50 * large), m.inner * np.float32(50)
+    m.to_class, m.to_word = (rng.uniform(-large / 4, large / 4, w.shape).astype(np.float32) for w in (m.to_class, m.to_word))
+    m.word_bias = rng.uniform(-7, 7, 12).astype(np.float32)
+    assert gru._safe((m.to_class, m.class_bias), (m.to_word, m.word_bias)) == (large < 38)
+    states = rng.choice([-1.0, 1.0], (6, 4)).astype(np.float32)
+    p = np.array([gru.log_probs(m, states, np.full(6, w)) for w in range(12)])
+    plain = lambda w, b: (x := states.astype(float) @ w.T.astype(float) + b) - np.log(np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) - x.max(axis=1, keepdims=True)
+    of_class = np.searchsorted(m.edges, np.arange(12), side="right") - 1
+    want = plain(m.to_class, m.class_bias)[:, of_class] + np.concatenate([plain(m.to_word[a:b], m.word_bias[a:b]) for a, b in zip(m.edges[:-1], m.edges[1:], strict=True)], axis=1)
+    seen = want > -80
+    assert p.T[seen] == pytest.approx(want[seen], abs=1e-2)
+    own = gru.Trainer(m, 0.1)
+    own.learn(rng.integers(0, 12, 60), np.array([0, 20, 60]))
+    assert np.isfinite(own.model.vector()).all()
